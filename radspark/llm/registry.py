@@ -61,3 +61,40 @@ def queries() -> dict:
         op6_quality, op7_tokens, op8_quality_rules, op9_urls, op10_jaccard,
     )
     return {f.__name__: f for f in found}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that SQL can express over whole tables."""
+    return {"op2_mixing": _MIXING, "op9_urls": _URLS}
+
+
+_MIXING = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    ('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), '')), 1, 15))::bigint as key,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as tie
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, source) as rank from d group by source),
+w as (select *, cast([5, 2, 1][cast((rank - 1) % 3 + 1 as int)] as double) as w, 2.0::double * source_size as cap, 1.5::double * sum(source_size) over () as pot from s),
+l as (select *, cap / w as ratio,
+    (pot - coalesce(sum(cap) over (order by cap / w, rank rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by cap / w, rank rows between current row and unbounded following) as level
+  from w),
+t as (select source, source_size, least(cap, coalesce((select arg_min(level, (ratio, rank)) from l where level <= ratio) * w, cap)) as target from l),
+p as (
+  select d.*, t.source_size, t.target, floor(t.target + 1e-6) as budget, coalesce(sum(size) over (partition by d.source order by key, tie rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  cast(case when source_size > 0 then floor(budget / source_size) * size + greatest(0, least(size, budget - floor(budget / source_size) * source_size - before)) else 0 end as bigint) as taken
+from p
+"""
+
+_URLS = r"""
+with u as (select page_id, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from h),
+r(host, path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f as (
+  select p.page_id, p.host, p.path, r.host || r.path as rule, r.verdict, row_number() over (partition by p.page_id order by length(r.host || r.path) desc nulls last) as k
+  from p left join r on (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
+"""
