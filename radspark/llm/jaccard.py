@@ -12,10 +12,13 @@ as many sets share them; each is left out for a segment of the band's pool (the
 all one-deletion neighbours) that holds three or more, the emptiest for the fullest, as long as that lowers the expected
 number of candidates.
 
+Every pair passes a parity sketch before its sets meet: each shingle flips one of ``SKETCH`` bits of its set, so two sets whose
+sketches differ in k bits differ in k shingles at least.
+
 Candidates meet by signature.  In each signature's group the smallest probing set is the centre, and only (centre, member)
 pairs are verified exactly at first; links among the rest of a group are looked for only between members of different
-components, and only where the triangle inequality of the Jaccard distance (their exact distances to the centre) leaves
-room.  So a group of n similar sets costs n pairs, and no link between components is lost.
+components, and only where the triangle inequality of the Jaccard distance (with their distances to the centre, exact or
+bounded by the sketch) leaves room; the join of these members also compares folded sketches, so it gives near pairs only.  So a group of n similar sets costs n pairs, and no link between components is lost.
 
 Null texts and texts without words have an empty set (0 shingles) and are linked with nothing; fewer words than a shingle make
 one shingle of them all; equal sets are one node.
@@ -23,6 +26,8 @@ one shingle of them all; equal sets are one node.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,9 +36,9 @@ from pyspark.sql import functions as F
 from radspark.llm import _text
 from radspark.llm._bitmap import bitmap, passes
 from radspark.plans.components import connected_components
-from radspark.plans.storage import materialize
+from radspark.plans.storage import materialize, release
 
-RATIO, POOL = 1.6, 16
+RATIO, POOL, SKETCH, FOLDED = 1.6, 16, 2048, 512
 
 
 class Bands:
@@ -127,23 +132,36 @@ def signatures(doc: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, o
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
 
 
+def sketches(doc: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
+    """Parity sketch of each row's set, SKETCH / 64 longs."""
+    bit = (code >> np.uint64(7)) % np.uint64(SKETCH)
+    odd = np.bincount(doc * SKETCH + bit.astype(np.int64), minlength=rows * SKETCH) % 2
+    return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH), axis=1, bitorder="little").view(np.int64)
+
+
 def _members(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (null for an empty set) of every row."""
+    """doc_id, text_hash, n_shingles, node and sketch (null for an empty set) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            sizes, ids, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((0, SKETCH // 64), np.int64)]
             for i, j, data, offsets in _text.slices(batch.column(2)):
-                n, node = nodes(*sets(data, offsets, words), j - i)
+                doc, code = sets(data, offsets, words)
+                n, node = nodes(doc, code, j - i)
                 sizes.append(n)
                 ids.append(node)
-            n, node = np.concatenate(sizes), np.concatenate(ids).view(np.int64)
+                marks.append(sketches(doc, code, j - i))
+            n, node, marks = np.concatenate(sizes), np.concatenate(ids).view(np.int64), np.concatenate(marks)
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel()), SKETCH // 64).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0)], ["doc_id", "text_hash", "n_shingles", "node"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), sketch],
+                ["doc_id", "text_hash", "n_shingles", "node", "sketch"],
             )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, sketch array<bigint>"
+    )
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -175,6 +193,14 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig bigint, node bigint, n int, role tinyint")
 
 
+def _sketched(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """pairs (a, b, na, nb) with ``differ``: a lower bound of the symmetric difference."""
+    some = members.where("node is not null").dropDuplicates(["node"])
+    left, right = (some.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", bits.alias("differ"))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """pairs (a, b, na, nb) with both, the exact size of the intersection."""
     spark = docs.sparkSession
@@ -194,13 +220,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep].view(np.int64)), lists], ["node", "tokens"])
 
     found = docs.select("text").mapInArrow(run, "node bigint, tokens array<bigint>")
-    found = materialize(found.join(ends.distinct(), F.col("node") == F.col("k"), "left_semi").dropDuplicates(["node"]), "sets")
+    found = found.dropDuplicates(["node"])
     left, right = found.withColumnsRenamed({"node": "a", "tokens": "ta"}), found.withColumnsRenamed({"node": "b", "tokens": "tb"})
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
 
 
-def links(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified pairs (a, b, na, nb, both) that hold every link between components, linked or not."""
+def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component of every node with a link. members: see _members."""
+    spark = docs.sparkSession
     of_sig = Window.partitionBy("sig")
     probing = F.min(F.when(F.col("role") >= 2, F.struct("node", "n"))).over(of_sig)
     met = _signatures(docs, words, percent).select(
@@ -208,22 +235,38 @@ def links(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
     met = met.where("_lo <> _hi and _c is not null and _index = 1")
     met = materialize(met.select("sig", "node", "n", "role", F.col("_c.node").alias("c"), F.col("_c.n").alias("cn")).distinct(), "candidates")
+    release(spark)
+    both_n = F.col("na") + F.col("nb")
     compatible = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
-    linked = F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+    open_ = F.col("differ") * (100 + percent) <= (100 - percent) * both_n
+    linked = F.col("both") * 100 >= percent * (both_n - F.col("both"))
     stars = met.where((F.col("node") != F.col("c")) & compatible(F.col("n"), F.col("cn")))
-    stars = materialize(stars.select(F.col("c").alias("a"), F.col("node").alias("b"), F.col("cn").alias("na"), F.col("n").alias("nb")).distinct(), "stars")
-    first = materialize(_verified(docs, stars, words), "verified")
+    stars = stars.select(F.col("c").alias("a"), F.col("node").alias("b"), F.col("cn").alias("na"), F.col("n").alias("nb")).distinct()
+    stars = materialize(_sketched(stars, members), "stars")
+    first = materialize(_verified(docs, stars.where(open_).drop("differ"), words), "verified")
+    release(spark)
     labels = connected_components(first.where(linked))
-    # the rest: members of one signature in different components
+    # the rest: members of one signature in different components; away_lo and away_hi bound the distance to the centre
     placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("cn")
     mixed = placed.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("sig")
-    away = first.select(F.col("a").alias("c"), F.col("b").alias("node"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"))
+    exact = 1 - F.col("both") / (both_n - F.col("both"))
+    away = first.select(F.col("a").alias("c"), F.col("b").alias("node"), exact.alias("lo"), exact.alias("hi")).union(
+        stars.where(~open_).select("a", "b", 2 * F.col("differ") / (both_n + F.col("differ")), F.lit(1.0))
+    )
     left = placed.join(mixed, "sig", "left_semi").where("node <> c").join(away, ["c", "node"], "left")
-    left = materialize(left.select("sig", "node", "n", "role", "component", "away"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    near = F.coalesce(F.abs(F.col("x.away") - F.col("y.away")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    # a folded sketch in plain columns, so that the join itself drops pairs that differ too much
+    longs, m = SKETCH // 64, FOLDED // 64
+    fold = [reduce(lambda p, q: p.bitwiseXOR(q), (F.get("sketch", F.lit(i)) for i in range(k, longs, m))).alias(f"s{k}") for k in range(m)]
+    left = left.join(members.where("node is not null").dropDuplicates(["node"]).select("node", *fold), "node")
+    bounds = (F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
+    left = materialize(left.select("sig", "node", "n", "role", "component", *bounds, *(f"s{k}" for k in range(m))), "mixed")
+    x, y, room = left.alias("x"), left.alias("y"), (100 - percent) / 100 + 1e-9
+    near = (F.col("x.lo") - F.col("y.hi") <= room) & (F.col("y.lo") - F.col("x.hi") <= room)
+    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(m)))
+    near = near & (bits * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
+    roles = (F.col("x.role") >= 2) & (F.col("y.role") % 2 == 1)
     rest = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.role") >= 2) & (F.col("y.role") % 2 == 1) & compatible(F.col("x.n"), F.col("y.n")) & near)
+        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & roles & compatible(F.col("x.n"), F.col("y.n")) & near)
         .select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
             F.when(F.col("x.node") < F.col("y.node"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
@@ -231,20 +274,19 @@ def links(docs: DataFrame, words: int, percent: int) -> DataFrame:
         )
         .distinct()
     )
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(seen, ["a", "b"], "left_anti"), "rest")
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialize(_sketched(rest.join(seen, ["a", "b"], "left_anti"), members).where(open_).drop("differ"), "rest")
     if rest.isEmpty():
-        return first
-    return materialize(first.union(_verified(docs, rest, words)), "verified")
+        return labels
+    found = _verified(docs, rest, words).where(linked).select("a", "b")
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
 
 def groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node, component_id of every row."""
+    """doc_id, text_hash, n_shingles, node, component, component_id of every row."""
     members = materialize(_members(docs, words), "members")
-    pairs = links(docs, words, percent)
-    linked = F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))
-    labels = connected_components(pairs.where(linked))
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = linked_nodes(docs, members, words, percent)
+    placed = members.drop("sketch").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
     return placed.join(least, "component", "left").select(
         "doc_id", "text_hash", "n_shingles", "node", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id")
