@@ -12,13 +12,16 @@ as many sets share them; each is left out for a segment of the band's pool (the
 all one-deletion neighbours) that holds three or more, the emptiest for the fullest, as long as that lowers the expected
 number of candidates.
 
-Every pair passes a parity sketch before its sets meet: each shingle flips one of ``SKETCH`` bits of its set, so two sets whose
-sketches differ in k bits differ in k shingles at least.
+Every pair passes a parity sketch before its sets meet: each shingle flips one bit of its set's sketch, so two sets whose
+sketches differ in k bits differ in k shingles at least.  A sketch has at least two bits for each shingle, in powers of two
+from ``FOLDED``, so that it doesn't saturate in long texts; the longer of two sketches is folded to the shorter one's length.
 
 Candidates meet by signature.  In each signature's group the smallest probing set is the centre, and only (centre, member)
 pairs are verified exactly at first; links among the rest of a group are looked for only between members of different
 components, and only where the triangle inequality of the Jaccard distance (with their distances to the centre, exact or
-bounded by the sketch) leaves room; the join of these members also compares folded sketches, so it gives near pairs only.  So a group of n similar sets costs n pairs, and no link between components is lost.
+bounded by the sketch) leaves room; the join of these members also compares folded sketches, so it gives near pairs only, and
+it gives a pair at the smallest of its common signatures alone (where that one is among the ``LISTED`` smallest of both).  So
+a group of n similar sets costs n pairs, and no link between components is lost.
 
 Null texts and texts without words have an empty set (0 shingles) and are linked with nothing; fewer words than a shingle make
 one shingle of them all; equal sets are one node.
@@ -38,7 +41,9 @@ from radspark.llm._bitmap import bitmap, passes
 from radspark.plans.components import connected_components
 from radspark.plans.storage import materialize, release
 
-RATIO, POOL, SKETCH, FOLDED = 1.6, 16, 2048, 512
+RATIO, POOL, FOLDED, LISTED = 1.6, 16, 512, 16
+#: Sketch bits made at once, if no single row needs more.
+BITS_AT_ONCE = 1 << 22
 
 
 class Bands:
@@ -132,35 +137,51 @@ def signatures(doc: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, o
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
 
 
-def sketches(doc: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
-    """Parity sketch of each row's set, SKETCH / 64 longs."""
-    bit = (code >> np.uint64(7)) % np.uint64(SKETCH)
-    odd = np.bincount(doc * SKETCH + bit.astype(np.int64), minlength=rows * SKETCH) % 2
-    return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH), axis=1, bitorder="little").view(np.int64)
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of a set of n shingles: a power of two, 2 n or more."""
+    return np.maximum(FOLDED, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+
+
+def sketches(doc: np.ndarray, code: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Parity sketches of the rows one after another, bits[k] / 64 longs for row k."""
+    ends, at, out, i = np.cumsum(bits), np.searchsorted(doc, np.arange(len(bits) + 1)), [np.zeros(0, np.int64)], 0
+    base = ends - bits
+    while i < len(bits):
+        j = max(i + 1, int(np.searchsorted(ends, base[i] + BITS_AT_ONCE, "right")))
+        d = doc[at[i] : at[j]]
+        place = (code[at[i] : at[j]] >> np.uint64(7)) % bits[d].astype(np.uint64)
+        odd = np.bincount(base[d] - base[i] + place.astype(np.int64), minlength=int(ends[j - 1] - base[i])) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+        i = j
+    return np.concatenate(out)
 
 
 def _members(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node and sketch (null for an empty set) of every row."""
+    """doc_id, text_hash, n_shingles, node, sketch and folded sketch of every row; node is null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            sizes, ids, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((0, SKETCH // 64), np.int64)]
+            sizes, ids, longs, marks, folds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j, data, offsets in _text.slices(batch.column(2)):
                 doc, code = sets(data, offsets, words)
                 n, node = nodes(doc, code, j - i)
+                bits = sketch_bits(n)
                 sizes.append(n)
                 ids.append(node)
-                marks.append(sketches(doc, code, j - i))
-            n, node, marks = np.concatenate(sizes), np.concatenate(ids).view(np.int64), np.concatenate(marks)
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel()), SKETCH // 64).cast(pa.list_(pa.int64()))
+                longs.append(bits // 64)
+                marks.append(sketches(doc, code, bits))
+                folds.append(sketches(doc, code, np.full(j - i, FOLDED)))
+            n, node, ends = np.concatenate(sizes), np.concatenate(ids).view(np.int64), np.cumsum(np.concatenate(longs))
+            sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks)))
+            folded = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(folds)), FOLDED // 64).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), sketch],
-                ["doc_id", "text_hash", "n_shingles", "node", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), sketch, folded],
+                ["doc_id", "text_hash", "n_shingles", "node", "sketch", "folded"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, sketch array<bigint>"
+        run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, sketch array<bigint>, folded array<bigint>"
     )
 
 
@@ -197,7 +218,13 @@ def _sketched(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """pairs (a, b, na, nb) with ``differ``: a lower bound of the symmetric difference."""
     some = members.where("node is not null").dropDuplicates(["node"])
     left, right = (some.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    m = F.least(F.size("sa"), F.size("sb"))
+
+    def folded(x):
+        whole = lambda _, i: F.aggregate(F.sequence(i, F.size(x) - 1, m), F.lit(0).cast("bigint"), lambda p, k: p.bitwiseXOR(F.get(x, k)))
+        return F.when(F.size(x) == m, F.col(x)).otherwise(F.transform(F.slice(x, F.lit(1), m), whole))
+
+    bits = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", bits.alias("differ"))
 
 
@@ -234,7 +261,7 @@ def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int)
         "*", F.min("node").over(of_sig).alias("_lo"), F.max("node").over(of_sig).alias("_hi"), probing.alias("_c"), F.max(F.col("role") % 2).over(of_sig).alias("_index"),
     )
     met = met.where("_lo <> _hi and _c is not null and _index = 1")
-    met = materialize(met.select("sig", "node", "n", "role", F.col("_c.node").alias("c"), F.col("_c.n").alias("cn")).distinct(), "candidates")
+    met = materialize(met.select("sig", "node", "n", F.col("_c.node").alias("c"), F.col("_c.n").alias("cn")).distinct(), "candidates")
     release(spark)
     both_n = F.col("na") + F.col("nb")
     compatible = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
@@ -255,23 +282,23 @@ def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int)
     )
     left = placed.join(mixed, "sig", "left_semi").where("node <> c").join(away, ["c", "node"], "left")
     # a folded sketch in plain columns, so that the join itself drops pairs that differ too much
-    longs, m = SKETCH // 64, FOLDED // 64
-    fold = [reduce(lambda p, q: p.bitwiseXOR(q), (F.get("sketch", F.lit(i)) for i in range(k, longs, m))).alias(f"s{k}") for k in range(m)]
+    m = FOLDED // 64
+    fold = [F.get("folded", F.lit(k)).alias(f"s{k}") for k in range(m)]
     left = left.join(members.where("node is not null").dropDuplicates(["node"]).select("node", *fold), "node")
     bounds = (F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
-    left = materialize(left.select("sig", "node", "n", "role", "component", *bounds, *(f"s{k}" for k in range(m))), "mixed")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("sig"))
+    listed = F.collect_list(F.when(F.col("_place") <= LISTED, F.col("sig"))).over(Window.partitionBy("node")).alias("sigs")
+    left = left.withColumn("_place", place).select("sig", "node", "n", "component", *bounds, *(f"s{k}" for k in range(m)), listed)
+    left = materialize(left, "mixed")
     x, y, room = left.alias("x"), left.alias("y"), (100 - percent) / 100 + 1e-9
     near = (F.col("x.lo") - F.col("y.hi") <= room) & (F.col("y.lo") - F.col("x.hi") <= room)
     bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(m)))
     near = near & (bits * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
-    roles = (F.col("x.role") >= 2) & (F.col("y.role") % 2 == 1)
+    once = F.coalesce(F.array_min(F.array_intersect("x.sigs", "y.sigs")), F.col("x.sig")) == F.col("x.sig")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     rest = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & roles & compatible(F.col("x.n"), F.col("y.n")) & near)
-        .select(
-            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"),
-            F.when(F.col("x.node") < F.col("y.node"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
-            F.when(F.col("x.node") < F.col("y.node"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"),
-        )
+        x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & compatible(F.col("x.n"), F.col("y.n")) & near & once)
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         .distinct()
     )
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -286,7 +313,7 @@ def groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, node, component, component_id of every row."""
     members = materialize(_members(docs, words), "members")
     labels = linked_nodes(docs, members, words, percent)
-    placed = members.drop("sketch").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.drop("sketch", "folded").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
     return placed.join(least, "component", "left").select(
         "doc_id", "text_hash", "n_shingles", "node", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id")
