@@ -31,6 +31,13 @@ def training_ids(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     return some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
+def examples(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """doc_id, y, text of at most ``max_rows`` training rows: of a repeated id the text with the smallest hash."""
+    some = docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, label, max_rows)), "doc_id")
+    one = some.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_first"))
+    return one.select("doc_id", "y", "_first.text")
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Distinct feature places of each row of a slice."""
     n = len(data)
@@ -133,8 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, label, max_rows)), "doc_id").select("doc_id", "y", "text")
-    got = rows.mapInArrow(take, f"doc_id {kind}, y int, x binary").collect()
+    got = examples(docs, labels, label, max_rows).mapInArrow(take, f"doc_id {kind}, y int, x binary").collect()
     got.sort(key=lambda g: (g["doc_id"], bytes(g["x"])))
     y = np.array([g["y"] for g in got], np.int64)
     if not len(y) or y.min() == y.max():
@@ -156,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return {"w": (w[:DIM] * r).astype(np.float32), "rr": (r * r).astype(np.float32), "bias": float(w[DIM]), "a": a, "b": b}
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_ROWS, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; with ``keep`` all columns of ``docs`` and _score, _predicted instead."""
+def _scorer(docs: DataFrame, labels: DataFrame, label: str, max_rows: int):
+    """A function that scores a text column."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, max_rows))
 
     def scores(column) -> np.ndarray:
@@ -168,6 +174,23 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
         z = m["a"] * np.array(out) + m["b"]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
+    return scores
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows whose score reaches ``threshold``, with their own columns alone (whatever their names)."""
+    scores, at = _scorer(docs, labels, label, max_rows), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_ROWS, keep: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; with ``keep`` all columns of ``docs`` and _score, _predicted instead."""
+    scores = _scorer(docs, labels, label, max_rows)
     if keep:
         at = docs.columns.index("text")
 

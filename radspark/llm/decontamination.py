@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from radspark.llm import _text
 from radspark.llm._bitmap import bitmap, passes
+from radspark.llm._columns import fresh
 from radspark.llm.toxicity import _OUTER
 
 WINDOW, LITERALS, SHORTEST, LEAST = 8, 5, 4, 3
@@ -139,6 +140,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    bad = hits(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_x")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_x")), "left_anti")
+    """The documents without a hit, with all their columns (whatever their names)."""
+    d, x = fresh(docs, "_d", "_x")
+    bad = hits(docs, benchmark).select(F.col("doc_id").alias(d), F.col("text_hash").alias(x)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(x)), "left_anti")

@@ -6,7 +6,8 @@ rows beyond a full shard continue clockwise to the next virtual node whose shard
 cell (at most ``2**ring_bits`` rows whatever the input) reaches the driver, which walks the ring once and returns, for each
 cell, the rank intervals that go to each shard.  Ranks and slots come from a window within a cell.
 
-Null texts count 0 bytes and have checksum 0; repeated rows are placed one by one; an empty table gives an empty result.
+Null texts count 0 bytes and have checksum 0; repeated rows are placed one by one; an empty table gives an empty result.  A
+kept column with the name of a result (in any case) gets underscores before its name.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from radspark.llm._columns import fresh
+
+RESULT = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "home_shard"]
+
 
 def ring(n_shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
     """(cell, shard) of every virtual node, clockwise."""
@@ -78,7 +83,7 @@ def shard(docs: DataFrame, n_shards: int = 8, vnodes: int = 128, ring_bits: int
         F.broadcast(intervals), (F.col("_cell") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     ).select(
         "doc_id",
-        *(F.col(f"_keep_{c}").alias(c) for c in keep),
+        *(F.col(f"_keep_{c}").alias(fresh(RESULT, c)[0]) for c in keep),
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),

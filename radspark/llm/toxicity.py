@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from radspark.llm import _text
-from radspark.llm.classifier import logistic, training_ids
+from radspark.llm.classifier import examples, logistic
 
 MAX_ROWS, MAX_TERMS, LEAST_Z, K, BLOCK = 6000, 4096, 4.0, 15, 64
 _OUTER = np.zeros(256, bool)
@@ -125,8 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_terms
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "y", "x", "tf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(training_ids(labels, label, max_rows)), "doc_id").select("doc_id", "y", "text")
-    got = rows.mapInArrow(take, f"doc_id {kind}, y int, x binary, tf binary").collect()
+    got = examples(docs, labels, label, max_rows).mapInArrow(take, f"doc_id {kind}, y int, x binary, tf binary").collect()
     got.sort(key=lambda g: (g["doc_id"], bytes(g["x"])))
     return index(
         [g["doc_id"] for g in got],
