@@ -14,7 +14,7 @@ from radspark.plans.storage import materialize
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of 0.3 or more)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classifier.classify(docs, labels, keep=True).where("_predicted = 1").select(*docs.columns)
+    return classifier.accepted(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
