@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radspark.functions.geometry import disk_share, hull_of, inside
@@ -117,6 +117,18 @@ def area_share(pts: DataFrame, r: float, area: Area, pid: str = "pid") -> DataFr
     return found.withColumnRenamed("pid", pid)
 
 
+def frame_cells(spark: SparkSession, bounds: tuple, grid, r: float) -> DataFrame:
+    """row, col, valid (share inside the box) of the cells that a disk around a point of the box can touch and that aren't wholly inside."""
+    a, b, c, d = map(float, bounds)
+    s, reach = float(grid.size), int(-(-r // grid.size)) + 1
+    steps = lambda n: spark.range(-reach, n + reach)
+    cells = steps(grid.n_y).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(grid.n_x + reach - 1).cast("long"))))
+    x0, y0 = F.lit(float(grid.xmin)) + F.col("col") * s, F.lit(float(grid.ymin)) + F.col("row") * s
+    wide = F.greatest(F.lit(0.0), F.least(F.lit(c), x0 + s) - F.greatest(F.lit(a), x0))
+    high = F.greatest(F.lit(0.0), F.least(F.lit(d), y0 + s) - F.greatest(F.lit(b), y0))
+    return cells.withColumn("valid", wide * high / (s * s)).where("valid < 1")
+
+
 def cell_share(pts: DataFrame, r: float, cells: DataFrame, grid, variant: str = "binary", fraction: float = 0.5, b: float = 8.0, q: float = 1.0) -> DataFrame:
     """pid, share by approximation. cells: row, col, valid (share of the cell inside the area) of the cells that aren't wholly inside.
 

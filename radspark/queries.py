@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from radspark import api
 from radspark.functions.geometry import hull_of, inside, utm
 from radspark.operators import clusters, detect
-from radspark.operators.study_area import area_share, study_area
+from radspark.operators.study_area import area_share, cell_share, frame_cells, study_area
 from radspark.plans import grid as grids
 from radspark.plans.spec import STATS
 from radspark.sources.points import points, regular_null_points
@@ -179,6 +179,16 @@ def weight_exact(spark, d) -> DataFrame:
     return area_share(pts, R, study_area(pts, R, "bbox")).select("pid", F.round("share", 9).alias("share"))
 
 
+def _weight(variant: str):
+    def query(spark, d):
+        pts = points(spark, d, "events")
+        area, g = study_area(pts, R, "bbox"), grids.build_grid(pts, R // 2)
+        found = cell_share(pts, R, frame_cells(spark, area.bounds, g, R), g, variant)
+        return found.select("pid", F.round("share", 9).alias("share"))
+
+    return query
+
+
 def convex_hull(spark, d) -> DataFrame:
     ring = hull_of(points(spark, d, "events"))
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(ring)], "seq int, x double, y double")
@@ -222,6 +232,20 @@ def _utm_sql() -> str:
     ) + f"select pid, round({EASTING}::double + {K0 * a!r}::double * ({east}), 3) as east, round({K0 * a!r}::double * ({up}), 3) as north from ab"
 
 
+def _weight_sql(weigh: str) -> str:
+    s, n = R // 2, "(select min(x) as a, max(x) as c, min(y) as b, max(y) as d from events_pts)"
+    span = f"greatest(0.0::double, least({{1}}::double, {{0}} + k * {s} + {s}) - greatest({{0}}::double, {{0}} + k * {s})) as part, {{0}} + (k + 0.5::double) * {s} as mid, k"
+    line = lambda lo, hi: f"select {span.format(lo, hi)} from box, unnest(range(-3, cast(floor(({hi} - {lo}) / {s}.0) as bigint) + 4)) t(k)"
+    return _with(
+        EVENTS,
+        f"box as {n}",
+        f"cells as (select w.mid as mx, h.mid as my, w.part * h.part / {s * s}.0::double as valid from ({line('a', 'c')}) w, ({line('b', 'd')}) h where w.part * h.part / {s * s}.0::double < 1)",
+        "met as (select pid, abs(x - mx) as dx, abs(y - my) as dy, valid from events_pts, cells)",
+        f"touched as (select *, power(dx + {s / 2}, 2) + power(dy + {s / 2}, 2) <= {R * R} as within from met where power(greatest(dx - {s / 2}, 0), 2) + power(greatest(dy - {s / 2}, 0), 2) <= {R * R})",
+        f"bad as (select pid, sum(case when within then 1 - valid else {weigh} end * {s * s}) as bad from touched group by pid)",
+    ) + f"select pid, round(greatest(0.0::double, 1 - coalesce(bad, 0) / (pi() * {R * R})), 9) as share from events_pts left join bad using (pid)"
+
+
 def queries() -> dict:
     found = {f"radius_{s}": _stat(s) for s in STATS}
     found |= {
@@ -231,7 +255,7 @@ def queries() -> dict:
         "sparse_grid": sparse_grid, "full_grid": full_grid, "null_thresholds": null_thresholds, "detect_pts": detect_pts, "detect_pts_bands": detect_pts_bands,
         "study_bbox": study_bbox, "study_cells_members": study_cells_members, "study_buffer_points": study_buffer_points, "polygon_filter": polygon_filter,
         "seed_cells": seed_cells, "contiguity_components": contiguity_components, "cluster_table": cluster_table, "spatial_stats": spatial_stats,
-        "utm_forward": utm_forward, "weight_exact": weight_exact, "convex_hull": convex_hull, "cluster_cells": cluster_cells,
+        "utm_forward": utm_forward, "weight_exact": weight_exact, "weight_binary": _weight("binary"), "weight_flat": _weight("flat"), "weight_logit": _weight("logit"), "convex_hull": convex_hull, "cluster_cells": cluster_cells,
     }
     return found
 
@@ -270,5 +294,8 @@ def oracle_sql() -> dict[str, str]:
         "polygon_filter": _with(EVENTS) + "select pid from events_pts where (" + " + ".join(_cross(*p, *q) for p, q in zip(RING, [*RING[1:], RING[0]], strict=True)) + ") % 2 = 1",
         "spatial_stats": _with(EVENTS, _sql_cells(size=1000), "n as (select count(*) as n from cells group by row, col)") + "select (select count(*) from events_pts) as n_points, (select min(x) from events_pts) as xmin, (select max(x) from events_pts) as xmax, (select min(y) from events_pts) as ymin, (select max(y) from events_pts) as ymax, count(*) as n_cells, quantile_cont(cast(n as double), 0.9) as p90, max(n) as most from n",
         "utm_forward": _utm_sql(),
+        "weight_binary": _weight_sql("0.5::double"),
+        "weight_flat": _weight_sql("1 - valid"),
+        "weight_logit": _weight_sql(f"(1 - valid) * (1 - 1 / (1 + exp(-8.0::double * (sqrt(dx * dx + dy * dy) / {R} - 1))))"),
     }
     return found
