@@ -17,7 +17,7 @@ sketches differ in k bits differ in k shingles at least.  A sketch has at least
 from ``FOLDED``, so that it doesn't saturate in long texts; the longer of two sketches is folded to the shorter one's length.
 
 Candidates meet by signature.  In each signature's group the smallest probing set is the centre, and only (centre, member)
-pairs are verified exactly at first; links among the rest of a group are looked for only between members of different
+pairs are verified exactly at first, then those of a second centre outside the first one's component; links among the rest of a group are looked for only between members of different
 components, and only where the triangle inequality of the Jaccard distance (with their distances to the centre, exact or
 bounded by the sketch) leaves room; the join of these members also compares folded sketches, so it gives near pairs only, and
 it gives a pair at the smallest of its common signatures alone (where that one is among the ``LISTED`` smallest of both).  So
@@ -38,10 +38,13 @@ from pyspark.sql import functions as F
 
 from radspark.llm import _text
 from radspark.llm._bitmap import bitmap, passes
+from radspark.llm._columns import fresh
 from radspark.plans.components import connected_components
 from radspark.plans.storage import materialize, release
 
 RATIO, POOL, FOLDED, LISTED = 1.6, 16, 512, 16
+#: Sets of more than LARGE shingles also bring a sketch of LARGE_BITS to the residual join.
+LARGE, LARGE_BITS = 1024, 2048
 #: Sketch bits made at once, if no single row needs more.
 BITS_AT_ONCE = 1 << 22
 
@@ -129,8 +132,8 @@ def signatures(doc: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, o
         t = np.repeat(at[some] - np.concatenate(([0], np.cumsum(size[some])[:-1])), size[some]) + np.arange(len(k))
         parts.append((row[k], sign(content[k] - value[t], k, salt), np.full(len(k), role)))
 
-    if own:
-        deleted(np.flatnonzero(pool & (size > 0)), 1, 1)
+    if own:  # a probe of three or more finds only segments of four or more this way
+        deleted(np.flatnonzero(pool & (size >= 4)), 1, 1)
     if len(up):
         deleted(up, 0, 2)
         parts.append((row[up], sign(content[up], up, 1), np.full(len(up), 2)))
@@ -157,31 +160,35 @@ def sketches(doc: np.ndarray, code: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _members(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node, sketch and folded sketch of every row; node is null for an empty set."""
+    """doc_id, text_hash, n_shingles, node, sketch and folded sketches of every row; node is null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            sizes, ids, longs, marks, folds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ids, (sizes, marks, folds, large) = [np.zeros(0, np.uint64)], ([np.zeros(0, np.int64)] for _ in range(4))
             for i, j, data, offsets in _text.slices(batch.column(2)):
                 doc, code = sets(data, offsets, words)
                 n, node = nodes(doc, code, j - i)
                 bits = sketch_bits(n)
                 sizes.append(n)
                 ids.append(node)
-                longs.append(bits // 64)
                 marks.append(sketches(doc, code, bits))
                 folds.append(sketches(doc, code, np.full(j - i, FOLDED)))
-            n, node, ends = np.concatenate(sizes), np.concatenate(ids).view(np.int64), np.cumsum(np.concatenate(longs))
-            sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks)))
-            folded = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(folds)), FOLDED // 64).cast(pa.list_(pa.int64()))
+                long = n[doc] > LARGE
+                large.append(sketches(doc[long], code[long], np.where(n > LARGE, LARGE_BITS, 0)))
+            n, node = np.concatenate(sizes), np.concatenate(ids).view(np.int64)
+            lengths = (sketch_bits(n), np.full(len(n), FOLDED), np.where(n > LARGE, LARGE_BITS, 0))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(bits // 64))), pa.int32()), pa.array(np.concatenate(some)))
+                for bits, some in zip(lengths, (marks, folds, large), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), sketch, folded],
-                ["doc_id", "text_hash", "n_shingles", "node", "sketch", "folded"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64(), mask=n == 0), *lists],
+                ["doc_id", "text_hash", "n_shingles", "node", "sketch", "folded", "large"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, sketch array<bigint>, folded array<bigint>"
+        run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, sketch array<bigint>, folded array<bigint>, large array<bigint>"
     )
 
 
@@ -273,6 +280,18 @@ def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int)
     first = materialize(_verified(docs, stars.where(open_).drop("differ"), words), "verified")
     release(spark)
     labels = connected_components(first.where(linked))
+    # a second centre for each signature: its smallest node outside the centre's component
+    placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    core = F.max(F.when(F.col("node") == F.col("c"), F.col("component"))).over(of_sig)
+    other = F.min(F.when(F.col("component") != F.col("_core"), F.struct("node", "n", "component"))).over(of_sig)
+    again = placed.withColumn("_core", core).withColumn("_o", other).where((F.col("component") != F.col("_o.component")) & compatible(F.col("n"), F.col("_o.n")))
+    again = again.select(F.col("_o.node").alias("a"), F.col("node").alias("b"), F.col("_o.n").alias("na"), F.col("n").alias("nb")).distinct()
+    ordered = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    again = again.join(ordered(stars).union(ordered(stars).select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    again = materialize(_sketched(again, members), "stars")
+    if not again.where(open_).isEmpty():
+        more = _verified(docs, again.where(open_).drop("differ"), words).where(linked).select("a", "b")
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     # the rest: members of one signature in different components; away_lo and away_hi bound the distance to the centre
     placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("cn")
     mixed = placed.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("sig")
@@ -284,24 +303,27 @@ def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int)
     # a folded sketch in plain columns, so that the join itself drops pairs that differ too much
     m = FOLDED // 64
     fold = [F.get("folded", F.lit(k)).alias(f"s{k}") for k in range(m)]
-    left = left.join(members.where("node is not null").dropDuplicates(["node"]).select("node", *fold), "node")
+    left = left.join(members.where("node is not null").dropDuplicates(["node"]).select("node", "large", *fold), "node")
     bounds = (F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("sig"))
     listed = F.collect_list(F.when(F.col("_place") <= LISTED, F.col("sig"))).over(Window.partitionBy("node")).alias("sigs")
-    left = left.withColumn("_place", place).select("sig", "node", "n", "component", *bounds, *(f"s{k}" for k in range(m)), listed)
+    left = left.withColumn("_place", place).select("sig", "node", "n", "component", *bounds, *(f"s{k}" for k in range(m)), "large", listed)
     left = materialize(left, "mixed")
     x, y, room = left.alias("x"), left.alias("y"), (100 - percent) / 100 + 1e-9
     near = (F.col("x.lo") - F.col("y.hi") <= room) & (F.col("y.lo") - F.col("x.hi") <= room)
     bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(m)))
-    near = near & (bits * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
+    fits = lambda n: n * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    # plain columns first: a condition with one column for each long would be too long a method for the JVM to compile
+    more = F.aggregate(F.zip_with("x.large", "y.large", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    large = (F.least("x.n", "y.n") <= LARGE) | fits(more)
     once = F.coalesce(F.array_min(F.array_intersect("x.sigs", "y.sigs")), F.col("x.sig")) == F.col("x.sig")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     rest = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & compatible(F.col("x.n"), F.col("y.n")) & near & once)
+        x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & compatible(F.col("x.n"), F.col("y.n")) & near & fits(bits) & once & large)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         .distinct()
     )
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    seen = ordered(stars).union(ordered(again))
     rest = materialize(_sketched(rest.join(seen, ["a", "b"], "left_anti"), members).where(open_).drop("differ"), "rest")
     if rest.isEmpty():
         return labels
@@ -313,7 +335,7 @@ def groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, node, component, component_id of every row."""
     members = materialize(_members(docs, words), "members")
     labels = linked_nodes(docs, members, words, percent)
-    placed = members.drop("sketch", "folded").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.drop("sketch", "folded", "large").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
     return placed.join(least, "component", "left").select(
         "doc_id", "text_hash", "n_shingles", "node", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id")
@@ -324,10 +346,10 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     """One row of each group (smallest doc_id, then text hash), with all columns; rows with an empty set stay."""
     found = materialize(groups(docs, words, percent), "groups")
     best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_k"))
-    keep = best.select("_k.doc_id", "_k.text_hash").withColumn("_one", F.lit(True))
-    keep = keep.union(found.where("component is null").select("doc_id", "text_hash").distinct().withColumn("_one", F.lit(False)))
-    keep = keep.withColumnsRenamed({"doc_id": "_d", "text_hash": "_x"})
-    names = docs.columns
-    rows = docs.withColumn("_h", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_x")))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h"))
-    return rows.withColumn("_rank", rank).where("not _one or _rank = 1").select(*names)
+    one, d, x, h, rank = fresh(docs, "_one", "_d", "_x", "_h", "_rank")
+    keep = best.select(F.col("_k.doc_id").alias(d), F.col("_k.text_hash").alias(x), F.lit(True).alias(one))
+    alone = found.where("component is null").select("doc_id", "text_hash").distinct()
+    keep = keep.union(alone.select(F.col("doc_id").alias(d), F.col("text_hash").alias(x), F.lit(False).alias(one)))
+    rows = docs.withColumn(h, F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(x)))
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(h)))
+    return rows.where(~F.col(one) | (F.col(rank) == 1)).select(*docs.columns)
