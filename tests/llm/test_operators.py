@@ -360,3 +360,13 @@ def test_deduplicated(docs, empty, rows):
     assert len([r for r in got if words(r.text)]) == plain_groups.number
     assert len([r for r in got if not words(r.text)]) == len([r for r in rows if not words(r[1])])
     assert jaccard.groups(empty).count() == 0 and jaccard.deduplicated(empty).count() == 0
+
+
+def test_examples_take_one_text_of_a_repeated_id(spark):
+    a, b = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5][:2]
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 0)
+    docs = spark.createDataFrame([*((a, f"text {i % 3}") for i in range(60)), (b, None), (held, "x"), (None, "y")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0), (held, 1), (None, 1)], "doc_id bigint, quality int")
+    got = classifier.examples(docs, labels, "quality", 10).collect()
+    assert sorted((r.doc_id, r.y) for r in got) == sorted([(a, 1), (b, 0)])
+    assert set(got) == set(classifier.examples(docs.repartition(5), labels, "quality", 10).collect())
