@@ -3,8 +3,8 @@
 Word unigrams and bigrams of every document are hashed to ``2 * BUCKETS`` buckets and counted, once for all documents (raw)
 and once for the trusted ones: rows labelled ``quality = 1``, at most ``trusted_rows`` of them in hash order.  A document's
 score is the mean log-ratio of its buckets, so it doesn't depend on length; it passes if the score is at least ``threshold``.
-Ratios are smoothed, and those within chance of even are 0: else words that merely aren't in a small trusted sample would
-count against a document.  Nothing is drawn at random.
+The smoothed ratio of every bucket counts: a bucket with few expected trusted hits has a ratio near 0.  Nothing is drawn at
+random.
 
 Each scan keeps a document in its row: counts meet in one aggregate over buckets, and the finished ratios, an array of fixed
 length, come back as a scalar subquery.  Null texts have no words; a document without words scores 0 and fails the base rule.
@@ -20,8 +20,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Mean log-ratio in nats from which a document is kept.
 THRESHOLD = -0.1
 TRUSTED_ROWS = 20_000
-#: Standard deviations between trusted and expected count of a bucket from which its ratio counts, and pseudo-counts.
-GATE, SMOOTH = 4.0, 20.0
+#: Pseudo-counts.
+SMOOTH = 20.0
 
 
 def _let(value: Column, body) -> Column:
@@ -63,9 +63,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_R
 
 
 def _ratio(good: Column, expected: Column, smooth: float) -> Column:
-    """Log-ratio of trusted to expected count, both smoothed; 0 where they differ by less than chance allows."""
-    sure = F.abs(good - expected) >= GATE * F.sqrt(expected + 1)
-    return F.when(sure, F.log((good + smooth) / (expected + smooth))).otherwise(F.lit(0.0))
+    """Log-ratio of trusted to expected count, both smoothed."""
+    return F.log((good + smooth) / (expected + smooth))
 
 
 def repeated_words() -> Column:

@@ -370,3 +370,15 @@ def test_examples_take_one_text_of_a_repeated_id(spark):
     got = classifier.examples(docs, labels, "quality", 10).collect()
     assert sorted((r.doc_id, r.y) for r in got) == sorted([(a, 1), (b, 0)])
     assert set(got) == set(classifier.examples(docs.repartition(5), labels, "quality", 10).collect())
+
+
+@pytest.mark.parametrize("n", [60, 600])
+def test_quality_rules_reject_planted_junk(spark, n):
+    """Junk of 50 words and more is rejected whatever the table's size; its words are each too rare for a test of chance."""
+    g = random.Random(n)
+    junk = [f"zq{i}" for i in range(n * 5 // 3)]  # each about eight times
+    texts = [" ".join(g.choice(junk if i % 6 == 0 else VOCABULARY) for _ in range(80)) for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i in range(0, n)], "doc_id bigint, quality int")
+    got = quality_rules.judge(df, labels).collect()
+    assert all(r.kept == (r.doc_id % 6 != 0) for r in got)
