@@ -1,13 +1,13 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus, in DataFrame operations only.
 
 Word unigrams and bigrams of every document are hashed to ``2 * BUCKETS`` buckets and counted, once for all documents (raw)
-and once for the trusted ones: rows labelled ``quality = 1``, at most ``trusted_rows`` of them in hash order.  A document's
-score is the mean log-ratio of its buckets, so it doesn't depend on length; it passes if the score is at least ``threshold``.
-The smoothed ratio of every bucket counts: a bucket with few expected trusted hits has a ratio near 0.  Nothing is drawn at
-random.
+and once for the trusted ones: all rows labelled ``quality = 1``.  A document's score is the mean log-ratio of its buckets, so
+it doesn't depend on length; it passes if the score is at least ``threshold``.  The smoothed ratio of every bucket counts: a
+bucket with few expected trusted hits has a ratio near 0.  Nothing is drawn at random.
 
-Each scan keeps a document in its row: counts meet in one aggregate over buckets, and the finished ratios, an array of fixed
-length, come back as a scalar subquery.  Null texts have no words; a document without words scores 0 and fails the base rule.
+A join by id flags the trusted texts; else each scan keeps a document in its row: counts meet in one aggregate over buckets,
+and the finished ratios, an array of fixed length, come back as a scalar subquery.  Null texts have no words; a document
+without words scores 0 and fails the base rule.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ BUCKETS = 1 << 15
 SPACES = r"[\x20\x09-\x0D]+"
 #: Mean log-ratio in nats from which a document is kept.
 THRESHOLD = -0.1
-TRUSTED_ROWS = 20_000
 #: Pseudo-counts.
 SMOOTH = 20.0
 
@@ -43,12 +42,10 @@ def buckets() -> Column:
     return F.concat(one, two)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, smooth: float = SMOOTH) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, smooth: float = SMOOTH) -> DataFrame:
     """One row: an array with the log-ratio of each bucket."""
-    trusted = (
-        labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
-    )
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_t", F.lit(1))), "doc_id", "left")
+    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    flagged = docs.select("doc_id", "text").join(trusted.withColumn("_t", F.lit(1)), "doc_id", "left")
     counts = (
         words(flagged, "_t")
         .select("_t", F.explode(buckets()).alias("_b"))
@@ -104,11 +101,9 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(
-    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS, smooth: float = SMOOTH
-) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, smooth: float = SMOOTH) -> DataFrame:
     """doc_id, the base figures, base_failed, log_ratio and kept of every row."""
-    ratios = log_ratios(docs, labels, trusted_rows, smooth).scalar()
+    ratios = log_ratios(docs, labels, smooth).scalar()
     # One use of the subquery's alias, so that the optimizer puts it in its place and rows don't carry the array.
     scored = measure(docs).withColumn("_llr", ratios)
     scored = scored.select("*", F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get("_llr", b.cast("int"))).alias("_sum")).drop("_llr")

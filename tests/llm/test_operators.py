@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from radspark.llm import _text, classifier, decontamination, jaccard, mixing, quality_rules, secrets, sharding, tokens, toxicity, urls
 
@@ -382,3 +383,12 @@ def test_quality_rules_reject_planted_junk(spark, n):
     labels = spark.createDataFrame([(i, int(i % 6 != 0)) for i in range(0, n)], "doc_id bigint, quality int")
     got = quality_rules.judge(df, labels).collect()
     assert all(r.kept == (r.doc_id % 6 != 0) for r in got)
+
+
+def test_quality_rules_count_every_trusted_row(spark):
+    """All 25,000 rows are trusted, so no bucket's count may differ from the expected one, and a join by id takes all."""
+    n = 25_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 1000).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    ratios = quality_rules.log_ratios(docs, labels).first()[0]
+    assert max(map(abs, ratios)) < 1e-9
