@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping, all in DataFrames."""
+"""Connected components by contraction, all in DataFrames."""
 
 from __future__ import annotations
 
@@ -8,30 +8,30 @@ from pyspark.sql import functions as F
 from radspark.plans.storage import materialize
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Columns ``node, component`` (smallest node of the component) for every node of an edge.
 
-    Each round takes the smallest label among a node's neighbours, then replaces labels by their own labels
-    (pointer jumping), so path length halves at least.  Round tables go to the shared folder.
+    Each round every node joins its first neighbour (or itself) in the order of a hash that changes every two rounds, and
+    edges are carried over to the nodes that were joined.  The last node of a component is never joined, so rounds end;
+    a constant share of the nodes is expected to go every two rounds, so their number grows with the logarithm of the
+    longest chain.  Round tables go to the shared folder.
     Loops and repeated edges are allowed; an empty edge table gives an empty result.
     """
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = materialize(one.union(one.select("v", "u")).where("u is not null and v is not null").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("top"))
-        new = materialize(
-            step.join(jump, "mid").select("node", F.least("mid", "top").alias("component"), (F.col("old") != F.least("mid", "top")).alias("moved")),
-            "labels",
-        )
-        moved = not new.where("moved").isEmpty()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left = materialize(one.union(one.select("v", "u")).where("u is not null and v is not null").distinct(), "edges")
+    joins = []
+    while not joins or not left.isEmpty():
+        key = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(joins) // 2)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        first = left.groupBy("u").agg(F.min(key("v")).alias("_v")).withColumn("_u", key("u"))
+        to = materialize(first.select(F.col("u").alias("node"), F.least("_u", "_v")["n"].alias("to")), "joins")
+        joins.append(to)
+        ends = left.where("u <> v").join(to.select(F.col("node").alias("u"), F.col("to").alias("_u")), "u")
+        ends = ends.join(to.select(F.col("node").alias("v"), F.col("to").alias("_v")), "v").where("_u <> _v")
+        left = materialize(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct(), "edges")
+    labels = joins.pop()
+    while joins:
+        tops = labels.select(F.col("node").alias("to"), F.col("to").alias("_top"))
+        labels = joins.pop().join(tops, "to", "left").select("node", F.coalesce("_top", "to").alias("to"))
+    labels = materialize(labels, "labels")
+    least = labels.groupBy("to").agg(F.min("node").alias("component"))
+    return materialize(labels.join(least, "to").select("node", "component"), "labels")

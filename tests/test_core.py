@@ -12,6 +12,7 @@ from radspark.functions.geometry import convex_hull, disk_share, inside, utm, ut
 from radspark.operators import clusters
 from radspark.operators.radius import same_place
 from radspark.plans import grid as grids
+from radspark.plans.components import connected_components
 from radspark.plans.spec import cluster_id, column_name, parse_merge_dist, parse_r
 from radspark.queries import oracle_sql, queries
 
@@ -114,3 +115,15 @@ def test_entry_without_the_subpackage(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "radius_sum" in entry.queries() and "pipeline" not in entry.queries() and entry.oracle_sql()
     sys.modules.pop("__spark_entry__")
+
+
+def test_components_of_a_long_path(spark):
+    """A shuffled path of 1,000 nodes, a path in order, a star, a loop and repeated edges."""
+    path = random.Random(5).sample(range(1 << 40), 1000)
+    star = [(1 << 50, (1 << 50) + i) for i in range(1, 50)]
+    edges = [*zip(path, path[1:]), *((-i, -i - 1) for i in range(1, 300)), *star, star[0][::-1], (7 << 50, 7 << 50), (None, 5)]
+    random.Random(6).shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = dict.fromkeys(path, min(path)) | dict.fromkeys(range(-300, 0), -300) | {1 << 50 | i: 1 << 50 for i in range(50)} | {7 << 50: 7 << 50}
+    assert got == want
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
