@@ -87,8 +87,12 @@ def merge_by_distance(clusters: list[_Cluster], rules, size: float) -> list[_Clu
         clusters[pair[0]].annex(clusters.pop(pair[1]))
 
 
-def fill_convex(clusters: list[_Cluster], totals: dict) -> None:
-    """Adds free cells whose centre lies strictly inside the hull of the cluster's cell corners; larger clusters first."""
+def fill_convex(clusters: list[_Cluster]) -> dict:
+    """Adds, with total 0, free cells whose centre lies strictly inside the hull of the cluster's cell corners; larger clusters first.
+
+    The cluster of each added cell.
+    """
+    filled = {}
     taken = {k for c in clusters for k in c.cells}
     for c in clusters:
         ring = convex_hull([(k[0] + i, k[1] + j) for k in c.cells for i in (0, 1) for j in (0, 1)])
@@ -97,9 +101,10 @@ def fill_convex(clusters: list[_Cluster], totals: dict) -> None:
         for i in range(low[0], high[0]):
             for j in range(low[1], high[1]):
                 if (i, j) not in taken and all((q[0] - p[0]) * (j + 0.5 - p[1]) - (q[1] - p[1]) * (i + 0.5 - p[0]) > 1e-9 for p, q in edges):
-                    c.cells[i, j] = totals.get((i, j), 0)
-                    c.total += c.cells[i, j]
+                    c.cells[i, j] = 0
+                    filled[i, j] = c
                     taken.add((i, j))
+    return filled
 
 
 def outline(cells, grid: Grid) -> str:
@@ -143,13 +148,13 @@ def build_clusters(pts: DataFrame, grid: Grid, flag: str, c: str, *, contingency
         by[x["component"]][x["row"], x["col"]] = x["total"]
     clusters = merge_by_distance([_Cluster(v, sum(v.values())) for v in by.values()], rules, grid.size)
     clusters = [k for k in clusters if k.total >= largest * shares[1]]
-    if make_convex and clusters:
-        rows_, cols_ = [k[0] for q in clusters for k in q.cells], [k[1] for q in clusters for k in q.cells]
-        near = grid.assign(pts).where(F.col("row").between(min(rows_), max(rows_)) & F.col("col").between(min(cols_), max(cols_)))
-        totals = {}
-        if sum((len(q.cells) > 2) for q in clusters):
-            totals = {(x["row"], x["col"]): x["t"] for x in near.groupBy("row", "col").agg(F.sum(c).alias("t")).limit(MOST).collect()}
-        fill_convex(clusters, totals)
+    filled = fill_convex(clusters) if make_convex else {}
+    if filled:
+        cells = spark.createDataFrame([(int(r), int(q)) for r, q in filled], "row bigint, col bigint")
+        for x in grid.assign(pts).join(cells, ["row", "col"]).groupBy("row", "col").agg(F.sum(c).alias("t")).collect():
+            k = filled[x["row"], x["col"]]
+            k.cells[x["row"], x["col"]] = x["t"] or 0
+            k.total += x["t"] or 0
     clusters = sorted((k for k in clusters if k.total >= largest * shares[2]), key=lambda k: (-k.total, min(k.cells)))
     at = lambda v, low: float(low + v * grid.size)
     table = [(i, at(k.centre[1], grid.xmin), at(k.centre[0], grid.ymin), float(k.total), len(k.cells), float(len(k.cells) * grid.size**2), outline(k.cells, grid)) for i, k in enumerate(clusters, 1)]

@@ -89,6 +89,16 @@ def test_contiguity_and_clusters(spark):
     assert all(r.geometry.startswith("MULTIPOLYGON") for r in got)
 
 
+def test_filled_cells_have_their_totals_whatever_the_bound(spark, monkeypatch):
+    """A ring of 20 flagged cells around 16 others with a value each, under a bound that the ring just meets."""
+    monkeypatch.setattr(clusters, "MOST", 20)
+    flagged = {(r, c) for r in range(6) for c in range(6) if r in (0, 5) or c in (0, 5)}
+    rows = [(r * 6 + c, c * 10 + 5, r * 10 + 5, 1 + r * 6 + c, (r, c) in flagged) for r in range(6) for c in range(6)]
+    df = spark.createDataFrame(rows, "pid bigint, x bigint, y bigint, v bigint, cluster boolean")
+    table, cells = clusters.build_clusters(df, grids.build_grid(df, 10, bounds=(0, 0, 60, 60)), "cluster", "v")
+    assert [(r.n_cells, r.total) for r in table.collect()] == [(36, sum(r[3] for r in rows))] and cells.count() == 36
+
+
 def test_geometry(spark):
     ring = convex_hull(np.array([(0, 0), (4, 0), (4, 4), (0, 4), (2, 2)]))
     assert len(ring) == 4
