@@ -1,12 +1,12 @@
 """Benchmark decontamination by template windows.
 
 Each word loses its outer punctuation and ASCII case; numbers, names and units become typed placeholders.  A window is
-``WINDOW`` words of which at least ``LITERALS`` are literal (a benchmark item with fewer words is one window of its length, from
-``SHORTEST`` words).  Windows of documents and items meet in a hash join on the window's hash; a bitmap of fixed size over the
+``WINDOW`` words (a benchmark item with fewer words is one window of its length).  Where fewer than ``LITERALS`` are literal, or
+one of fewer than ``SHORTEST`` words has a placeholder, all words of the window stand for themselves.  Windows of documents and items meet in a hash join on the window's hash; a bitmap of fixed size over the
 items' hashes keeps other windows of documents out of the join.  Matches of one document and item are grouped by alignment
 (document place minus item place); an alignment counts if its slots are consistent: equal item values stand for equal
 document values.  A document and item are a hit if consistent alignments hold ``LEAST`` different windows of the item, or all
-of them where it has fewer.  Hits whose slot values are all equal are ``verbatim``, others ``template``.
+of them where it has fewer; or that many of its windows with placeholders or enough literals.  Hits whose slot values are all equal are ``verbatim``, others ``template``.
 
 A number is digits with inner signs, digits with up to three letters, or a number word; a name is a capital followed by a small
 letter that doesn't begin a sentence or line; words in capitals count as their small form.  Rows with equal doc_id and text
@@ -39,16 +39,16 @@ def _known(words: list[str]) -> np.ndarray:
 
 
 def template(data: np.ndarray, offsets: np.ndarray):
-    """Row, code, slot flag, start and end (without outer punctuation) of each word of a slice."""
+    """Row, code, slot flag, plain code, start and end (without outer punctuation) of each word of a slice."""
     w = _text.Words(data, offsets, fold=True)
     s, e = w.start.copy(), w.end.copy()
     if not len(s):
-        return w.doc, np.zeros(0, np.uint64), np.zeros(0, bool), s, e
+        return w.doc, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64), s, e
     last = data[w.end - 1]
     for _ in range(4):
         s += (s < e - 1) & _OUTER[data[s]]
         e -= (s < e - 1) & _OUTER[data[e - 1]]
-    code = w.span(s, e)
+    code = plain = w.span(s, e)
     digit = (data >= 48) & (data <= 57)
     letter = ((w.data >= 97) & (w.data <= 122)) | (data >= 0x80)
     digits, letters = (np.concatenate(([0], np.cumsum(x))) for x in (digit, letter))
@@ -64,77 +64,84 @@ def template(data: np.ndarray, offsets: np.ndarray):
     begins[1:] = ends[:-1] | (w.doc[1:] != w.doc[:-1]) | (newline[w.start[1:]] > newline[w.end[:-1]])
     name = upper & small & ~begins & ~number & ~unit
     code = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, code)))
-    return w.doc, code, number | unit | name, s, e
+    return w.doc, code, number | unit | name, plain, s, e
 
 
 def windows(data, offsets, lengths, table=None):
-    """(row, place, length, hash, slots) of each window. lengths: WINDOW first, then those of short items."""
-    doc, code, slot, s, e = template(data, offsets)
+    """(row, place, length, hash, slots, free) of each window; free: not of plain words. lengths: WINDOW first, then those of short items."""
+    doc, code, slot, plain, s, e = template(data, offsets)
     slots_before = np.concatenate(([0], np.cumsum(slot)))
     first = np.searchsorted(doc, doc)
     for n in lengths:
-        h, at = _text.grams(code, doc, n)
-        h = _text.mix(h + np.uint64(n))
-        keep = n - (slots_before[at + n] - slots_before[at]) >= min(LITERALS, n - 1)
-        if table is not None:
-            keep &= passes(table, h)
-        for i in np.flatnonzero(keep):
-            k = at[i]
-            values = [_text.FOLD[data[s[j] : e[j]]].tobytes().decode(errors="replace") for j in range(k, k + n) if slot[j]]
-            yield int(doc[k]), int(k - first[k]), n, h[i], values
+        need = min(LITERALS, n - 1) if n >= SHORTEST else n
+        for free, codes in ((True, code), (False, plain)):
+            h, at = _text.grams(codes, doc, n)
+            h = _text.mix(h + np.uint64(n))
+            keep = (n - (slots_before[at + n] - slots_before[at]) >= need) == free
+            if table is not None:
+                keep &= passes(table, h)
+            for i in np.flatnonzero(keep):
+                k = at[i]
+                values = [_text.FOLD[data[s[j] : e[j]]].tobytes().decode(errors="replace") for j in range(k, k + n) if free and slot[j]]
+                yield int(doc[k]), int(k - first[k]), n, h[i], values, free
 
 
 def _emit(rows, extra: int, lengths, table=None):
-    """A function for mapInArrow: the first columns, then place, n, h and slots of each window of the last column."""
+    """A function for mapInArrow: the first columns, then place, n, h, slots and free of each window of the last column."""
 
     def run(batches):
         t = None if table is None else table.value
         for batch in batches:
-            row, place, size, hashes, slots = [], [], [], [], []
+            row, place, size, hashes, slots, free = [], [], [], [], [], []
             for i, _, data, offsets in _text.slices(batch.column(extra)):
-                for d, p, n, h, v in windows(data, offsets, lengths, t):
+                for d, p, n, h, v, f in windows(data, offsets, lengths, t):
                     row.append(i + d)
                     place.append(p)
                     size.append(n)
                     hashes.append(h)
                     slots.append(v)
+                    free.append(f)
             took = pa.array(row, pa.int64())
             arrays = [batch.column(k).take(took) for k in range(extra)]
-            arrays += [pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:extra], "place", "n", "h", "slots"])
+            arrays += [pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(free, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:extra], "place", "n", "h", "slots", "free"])
 
-    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:extra]), "place int, n int, h bigint, slots array<string>"]))
+    return rows.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:extra]), "place int, n int, h bigint, slots array<string>, free boolean"]))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, kind, n_windows, n_slots, first_word of each contaminated (document, item)."""
     items = benchmark.select("item_id", F.col("text").alias("_t")).where("_t is not null")
     sized = items.select(F.regexp_count("_t", F.lit(_text.WORD)).alias("n"))
-    short = sorted(r["n"] for r in sized.where(F.col("n").between(SHORTEST, WINDOW - 1)).distinct().collect())
+    short = sorted(r["n"] for r in sized.where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
     lengths = [WINDOW, *short]
     known = _emit(items, 1, lengths)
     size = items.select("item_id", F.regexp_count("_t", F.lit(_text.WORD)).alias("_words")).groupBy("item_id").agg(F.max("_words").alias("_words"))
     known = known.join(size, "item_id").where((F.col("n") == WINDOW) | (F.col("n") == F.col("_words"))).withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
-    all_of = known.groupBy("item_id").agg(F.count_distinct("item_place").alias("_all"))
+    all_of = known.groupBy("item_id").agg(
+        F.count_distinct("item_place").alias("_all"), F.count_distinct(F.when(F.col("free"), F.col("item_place"))).alias("_all_free")
+    )
     table = docs.sparkSession.sparkContext.broadcast(bitmap(known, "h"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text"))
-    found = _emit(rows, 2, lengths, table)
+    found = _emit(rows, 2, lengths, table).drop("free")
     match = found.join(known, ["h", "n"]).select(
         "doc_id", "text_hash", "item_id", "item_place", "place", (F.col("place") - F.col("item_place")).alias("_shift"),
-        F.arrays_zip("item_slots", "slots").alias("_pairs"),
+        F.arrays_zip("item_slots", "slots").alias("_pairs"), F.when(F.col("free"), F.col("item_place")).alias("_free"),
     )
     by = ["doc_id", "text_hash", "item_id", "_shift"]
     aligned = match.groupBy(*by).agg(
-        F.collect_set("item_place").alias("_places"), F.min("place").alias("_first"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs")
+        F.collect_set("item_place").alias("_places"), F.collect_set("_free").alias("_frees"), F.min("place").alias("_first"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs")
     )
     values = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["item_slots"])))
     same = F.forall("_pairs", lambda p: p["item_slots"] == p["slots"])
     good = aligned.where(values == F.size("_pairs")).withColumn("_same", same)
     one = good.groupBy("doc_id", "text_hash", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).alias("n_windows"),
-        F.min("_same").alias("_same"), F.max(F.size("_pairs")).alias("n_slots"), F.min("_first").alias("first_word"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("_frees")))).alias("_n_free"), F.min("_same").alias("_same"), F.max(F.size("_pairs")).alias("n_slots"), F.min("_first").alias("first_word"),
     )
-    return one.join(all_of, "item_id").where(F.col("n_windows") >= F.least(F.lit(LEAST), F.col("_all"))).select(
+    enough = F.col("n_windows") >= F.least(F.lit(LEAST), F.col("_all"))
+    free = (F.col("_all_free") > 0) & (F.col("_n_free") >= F.least(F.lit(LEAST), F.col("_all_free")))
+    return one.join(all_of, "item_id").where(enough | free).select(
         "doc_id", "text_hash", "item_id", F.when(F.col("_same"), "verbatim").otherwise("template").alias("kind"), "n_windows", "n_slots", "first_word"
     )
 

@@ -392,3 +392,13 @@ def test_quality_rules_count_every_trusted_row(spark):
     labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     ratios = quality_rules.log_ratios(docs, labels).first()[0]
     assert max(map(abs, ratios)) < 1e-9
+
+
+def test_decontamination_of_slot_heavy_items(spark):
+    items = ["What is 7 times 8?", "12 + 7 - 3 * 4 + 9 - 2 * 5 + 1 - 6 = 20", "we saw Anna Berta Clara Dora Emil Fritz Gustav Hans Ida Jonas", "42", "exactly thus", "7 green kites"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [prose(20) + " " + x + " " + prose(20) for x in items]
+    texts += ["so 43 red", "13 + 6 - 3 * 4 + 8 - 2 * 5 + 1 - 6 = 21", "9 green kites"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.hits(df, bench).collect()}
+    assert got == {(i, i, "verbatim") for i in range(len(items))}
