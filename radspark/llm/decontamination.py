@@ -9,7 +9,8 @@ document values.  A document and item are a hit if consistent alignments hold ``
 of them where it has fewer; or that many of its windows with placeholders or enough literals.  Hits whose slot values are all equal are ``verbatim``, others ``template``.
 
 A number is digits with inner signs, digits with up to three letters, or a number word; a name is a capital followed by a small
-letter that doesn't begin a sentence or line; words in capitals count as their small form.  Rows with equal doc_id and text
+letter that doesn't begin a sentence or line.  As names depend on case, windows with names are also compared with the names as
+literal words in their small form, so that a copy in capitals or small letters matches.  Rows with equal doc_id and text
 give one result; null and empty texts and items match nothing.
 """
 
@@ -39,16 +40,16 @@ def _known(words: list[str]) -> np.ndarray:
 
 
 def template(data: np.ndarray, offsets: np.ndarray):
-    """Row, code, slot flag, plain code, start and end (without outer punctuation) of each word of a slice."""
+    """Row, word code, flags of numbers, units and names, start and end (without outer punctuation) of each word of a slice."""
     w = _text.Words(data, offsets, fold=True)
     s, e = w.start.copy(), w.end.copy()
     if not len(s):
-        return w.doc, np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64), s, e
+        return w.doc, np.zeros(0, np.uint64), *[np.zeros(0, bool)] * 3, s, e
     last = data[w.end - 1]
     for _ in range(4):
         s += (s < e - 1) & _OUTER[data[s]]
         e -= (s < e - 1) & _OUTER[data[e - 1]]
-    code = plain = w.span(s, e)
+    code = w.span(s, e)
     digit = (data >= 48) & (data <= 57)
     letter = ((w.data >= 97) & (w.data <= 122)) | (data >= 0x80)
     digits, letters = (np.concatenate(([0], np.cumsum(x))) for x in (digit, letter))
@@ -63,27 +64,29 @@ def template(data: np.ndarray, offsets: np.ndarray):
     newline = np.concatenate(([0], np.cumsum(data == 10)))
     begins[1:] = ends[:-1] | (w.doc[1:] != w.doc[:-1]) | (newline[w.start[1:]] > newline[w.end[:-1]])
     name = upper & small & ~begins & ~number & ~unit
-    code = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, code)))
-    return w.doc, code, number | unit | name, plain, s, e
+    return w.doc, code, number, unit, name, s, e
 
 
 def windows(data, offsets, lengths, table=None):
-    """(row, place, length, hash, slots, free) of each window; free: not of plain words. lengths: WINDOW first, then those of short items."""
-    doc, code, slot, plain, s, e = template(data, offsets)
-    slots_before = np.concatenate(([0], np.cumsum(slot)))
+    """(row, place, length, hash, slots, free) of each window; free: with names as slots. lengths: WINDOW first, then those of short items."""
+    doc, plain, number, unit, name, s, e = template(data, offsets)
+    some = np.where(number, NUM, np.where(unit, UNIT, plain))
+    slots = [number | unit | name, number | unit, np.zeros(len(plain), bool)]
+    named, typed, _ = (np.concatenate(([0], np.cumsum(x))) for x in slots)
     first = np.searchsorted(doc, doc)
     for n in lengths:
         need = min(LITERALS, n - 1) if n >= SHORTEST else n
-        for free, codes in ((True, code), (False, plain)):
+        for kind, codes in enumerate((np.where(name, NAME, some), some, plain)):
             h, at = _text.grams(codes, doc, n)
             h = _text.mix(h + np.uint64(n))
-            keep = (n - (slots_before[at + n] - slots_before[at]) >= need) == free
+            all_slots, typed_slots = named[at + n] - named[at], typed[at + n] - typed[at]
+            keep = n - all_slots >= need if kind == 0 else (n - typed_slots >= need) & (all_slots > typed_slots) if kind == 1 else n - typed_slots < need
             if table is not None:
                 keep &= passes(table, h)
             for i in np.flatnonzero(keep):
                 k = at[i]
-                values = [_text.FOLD[data[s[j] : e[j]]].tobytes().decode(errors="replace") for j in range(k, k + n) if free and slot[j]]
-                yield int(doc[k]), int(k - first[k]), n, h[i], values, free
+                values = [_text.FOLD[data[s[j] : e[j]]].tobytes().decode(errors="replace") for j in range(k, k + n) if slots[kind][j]]
+                yield int(doc[k]), int(k - first[k]), n, h[i], values, kind == 0
 
 
 def _emit(rows, extra: int, lengths, table=None):

@@ -402,3 +402,14 @@ def test_decontamination_of_slot_heavy_items(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.hits(df, bench).collect()}
     assert got == {(i, i, "verbatim") for i in range(len(items))}
+
+
+def test_decontamination_in_any_case(spark):
+    """Copies in capitals, small letters and title case, of an item with a name in most windows."""
+    item = "the mean weight of 12 kg parcels that Anna sent by rail from Oslo within 30 days was seven units and Anna paid for all of them"
+    low = "we heard that berta and clara met dora in hall 4 near the old mill last spring"
+    bench = spark.createDataFrame([(1, item), (2, low)], "item_id bigint, text string")
+    copies = [f(x) for x in (item, low) for f in (str, str.upper, str.lower, str.title)] + [item.upper().replace("12", "15")]
+    df = spark.createDataFrame([(i, prose(20) + ". " + x + " " + prose(20)) for i, x in enumerate(copies)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.hits(df, bench).collect()}
+    assert {(i, k) for i, k, _ in got} == {(i, 1 if i < 4 or i == 8 else 2) for i in range(9)} and (1, 1, "verbatim") in got and (8, 1, "template") in got
