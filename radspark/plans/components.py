@@ -13,8 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round every node joins its first neighbour (or itself) in the order of a hash that changes every two rounds, and
     edges are carried over to the nodes that were joined.  The last node of a component is never joined, so rounds end;
-    a constant share of the nodes is expected to go every two rounds, so their number grows with the logarithm of the
-    longest chain.  Round tables go to the shared folder.
+    rounds are expected (not proved) to grow with the logarithm of the number of nodes.  Round tables go to the shared folder.
     Loops and repeated edges are allowed; an empty edge table gives an empty result.
     """
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
