@@ -1,7 +1,8 @@
 """Vectorised access to words of Arrow string columns: positions and 64-bit hashes without Python strings.
 
-A word is ``[^\\x20\\x09-\\x0D]+``.  Hashes are polynomials over Z/2^64 from prefix sums, finished with an avalanche step;
-two different words share one with a probability of about 2^-64.
+A word is ``[^\\x20\\x09-\\x0D]+``.  A span's hash chains its eight-byte pieces through an avalanche step (long spans: xxhash64),
+so two different words that weren't made for it share one with a probability of about 2^-64.  No key is secret: who knows
+the code can search for collisions; where a result must hold all the same, ``same_spans`` compares the bytes.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ODD, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x1D8E4E27C47D124F)
+#: Spans of more bytes are hashed one by one.
+LONG = 256
 #: Bytes handled at once; a longer document makes a slice of its own.
 SLICE = 1 << 21
 
@@ -31,13 +33,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INV)):
-            p = np.full(max(n, SLICE + 1), base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros beyond the end) as a number."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def _cut(eight: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first ``left`` bytes of each number, left > 0."""
+    return eight & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    eight, size = _eights(data), end - start
+    out = mix(size.astype(np.uint64) * _ODD + _SEED)
+    rows, at, left = np.flatnonzero((size > 0) & (size <= LONG)), 0, size
+    while len(rows):
+        left = size[rows] - at
+        out[rows] = mix((out[rows] ^ _cut(eight[start[rows] + at], left)) * _ODD)
+        rows, at = rows[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes())
+    return out
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each pair of spans are equal."""
+    eight, size = _eights(data), end - start
+    out = size == end2 - start2
+    rows, at = np.flatnonzero(out & (size > 0) & (size <= LONG)), 0
+    while len(rows):
+        left = size[rows] - at
+        equal = _cut(eight[start[rows] + at], left) == _cut(eight[start2[rows] + at], left)
+        out[rows[~equal]] = False
+        rows, at = rows[equal & (left > 8)], at + 8
+    for k in np.flatnonzero(out & (size > LONG)).tolist():
+        out[k] = np.array_equal(data[start[k] : end[k]], data[start2[k] : end2[k]])
+    return out
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,18 +103,13 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self._sums: np.ndarray | None = None
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=len(self.offsets) - 1)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each span."""
-        if self._sums is None:
-            n = len(self.data)
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers(n + 1)[1][:n], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * _powers(len(self.data) + 1)[0][start])
+        return span_hashes(self.data, start, end)
 
     def hashes(self) -> np.ndarray:
         return self.span(self.start, self.end)
@@ -93,9 +120,9 @@ def grams(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     m = len(codes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    power, out = _powers(n + 1)[0], np.zeros(m, np.uint64)
+    out = np.zeros(m, np.uint64)
     for k in range(n):
-        out += codes[k : k + m] * power[k]
+        out = out * _ODD + codes[k : k + m]
     at = np.flatnonzero(doc[:m] == doc[n - 1 : n - 1 + m])
     return mix(out[at]), at
 

@@ -1,20 +1,23 @@
 """Token counts of a byte-level BPE by overlap resynchronisation.
 
-A stable boundary is a space that a character other than white space follows.  The byte-level pre-tokenizer always starts a
-piece there, whatever stands before, and BPE merges only inside pieces, so the tokens before and after such a boundary are
-those of the two sides encoded apart.
-
-Huge texts (over ``HUGE`` characters) are encoded in overlapping chunks with offsets.  Neighbouring chunks are spliced at a
-stable boundary inside their overlap at which both have a token start; where there is none the overlap doubles, and where
-it has reached the last splice the chunk grows.  Other texts are cut at all their stable boundaries, and each
-distinct piece of a batch is encoded once (pieces are told apart by 64-bit hashes; a memory of bounded size carries over).
-
-Null and empty texts have no tokens.  A special string inside a text is handled as the library's default does.
+A stable boundary is a space that a character other than white space follows, or one of ``MARKS`` after a letter.  The
+byte-level pre-tokenizer always starts a piece there, whatever stands before, and BPE merges only inside pieces, so the
+tokens before and after such a boundary are those of the two sides encoded apart.
+
+Huge texts (over ``HUGE`` bytes) are encoded in overlapping chunks with offsets.  Neighbouring chunks are spliced at the
+last stable boundary of the first one, if both have a token start there; where they don't, the overlap widens.  Without
+a boundary, or where the overlap has reached the last splice, the chunk doubles, so the time stays linear.  Other texts are cut
+at all their spaces that are stable, and each distinct piece of a batch is encoded once (pieces meet by hash and are compared byte
+for byte; a memory of bounded size carries over).
+
+Null and empty texts have no tokens; repeated rows are counted one by one; texts of any length are counted whole; an empty
+table gives an empty result.  A special string inside a text is handled as the library's default does.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -25,12 +28,15 @@ from radspark.llm import _text
 
 HUGE = 1 << 16
 CHUNK, OVERLAP = 1 << 14, 1 << 8
-#: Pieces a worker remembers; it starts anew beyond.
-MEMORY = 400_000
+#: Pieces a worker remembers, of at most REMEMBERED bytes; it starts anew beyond.
+MEMORY, REMEMBERED = 400_000, 64
 #: Bytes that may follow the space of a stable boundary: no white space and no first byte of a white-space character.
 FOLLOWS = np.ones(256, bool)
 FOLLOWS[:0x21] = False
 FOLLOWS[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: Marks that end a run of letters in texts without spaces.
+MARKS = "。、，！？；："
+_CANDIDATES = re.compile(f"[ {MARKS}]")
 
 
 @cache
@@ -45,28 +51,34 @@ def load(path: str):
 
 
 def stable(text: str, at: int) -> bool:
-    return text[at] == " " and at + 1 < len(text) and bool(FOLLOWS[text[at + 1].encode()[0]])
+    if text[at] != " ":
+        return text[at] in MARKS and text[at - 1].isalpha()
+    return at + 1 < len(text) and bool(FOLLOWS[text[at + 1].encode()[0]])
+
+
+def last_stable(text: str, begin: int, end: int) -> int | None:
+    places = [m.start() for m in _CANDIDATES.finditer(text, begin, max(begin, end))]
+    return next((p for p in reversed(places) if stable(text, p)), None)
 
 
 def spliced(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of ``text``. encode: gives the character offset of each token's start."""
-    n, total, done, begin, end, wide = len(text), 0, 0, 0, min(len(text), chunk), overlap
-    left = np.asarray(encode(text[begin:end])) + begin
+    n, total, done, end = len(text), 0, 0, min(len(text), chunk)
+    left = np.asarray(encode(text[:end]))
     while end < n:
-        begin2 = max(done, end - wide)
-        end2 = min(n, end + chunk)
-        right = np.asarray(encode(text[begin2:end2])) + begin2
-        both = np.intersect1d(left, right)
-        both = both[(both > done) & (both > begin2) & (both < end - 1)]
-        cut = next((int(p) for p in both[::-1] if stable(text, p)), None)
-        if cut is None:
-            if begin2 > done:
-                wide *= 2
-                continue
-            begin, end, left = begin2, end2, right  # the whole of what is open is one chunk now
+        end2 = min(n, end + max(chunk, end - done))
+        cut, wide = last_stable(text, done + 1, end - 1), overlap
+        while True:
+            begin2 = done if cut is None else max(done, cut - wide)
+            right = np.asarray(encode(text[begin2:end2])) + begin2
+            if begin2 == done or (np.any(left == cut) and np.any(right == cut)):
+                break
+            wide *= 4
+        if cut is None or not (np.any(left == cut) and np.any(right == cut)):
+            end, left = end2, right  # the whole of what is open is one chunk now
             continue
         total += int(np.count_nonzero((left >= done) & (left < cut)))
-        done, begin, end, left, wide = cut, begin2, end2, right, overlap
+        done, end, left = cut, end2, right
     return total + int(np.count_nonzero(left >= done))
 
 
@@ -89,22 +101,26 @@ class Counter:
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        spans = _text.Words.__new__(_text.Words)
-        spans.data, spans._sums = data, None
-        codes, first, inverse = np.unique(spans.span(start, end), return_index=True, return_inverse=True)
+        codes, first, inverse = np.unique(_text.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        other = np.flatnonzero(~_text.same_spans(data, start, end, start[first][inverse], end[first][inverse]))
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        known = [self.memory.get(c, -1) for c in codes.tolist()]
-        counts = np.array(known, np.int64)
-        new = np.flatnonzero(counts < 0)
         raw = data.tobytes()
-        texts = [raw[start[first[k]] : end[first[k]]].decode() for k in new]
-        for at in range(0, len(texts), 20_000):
-            got = [len(e) for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
-            counts[new[at : at + 20_000]] = got
-        self.memory.update(zip(codes[new].tolist(), counts[new].tolist(), strict=True))
+        shown = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        counts = np.array([self.memory.get(x, -1) for x in shown], np.int64)
+        new = np.flatnonzero(counts < 0)
+        counts[new] = self.encoded([shown[k] for k in new])
+        self.memory.update((shown[k], int(counts[k])) for k in new.tolist() if len(shown[k]) <= REMEMBERED)
+        each = counts[inverse]
+        each[other] = self.encoded([raw[start[k] : end[k]] for k in other])
         doc = np.searchsorted(offsets, start, "right") - 1
-        return np.bincount(doc, counts[inverse], len(offsets) - 1).astype(np.int64)
+        return np.bincount(doc, each, len(offsets) - 1).astype(np.int64)
+
+    def encoded(self, some: list[bytes]) -> list[int]:
+        out: list[int] = []
+        for at in range(0, len(some), 20_000):
+            out += [len(e) for e in self.tokenizer.encode_batch_fast([x.decode() for x in some[at : at + 20_000]], add_special_tokens=False)]
+        return out
 
 
 _COUNTERS: dict[str, Counter] = {}
