@@ -7,7 +7,8 @@ the leftmost non-overlapping matches.
 
 Beside the base kinds the scan finds tokens that carry their own proof: prefixed tokens whose last six characters are the
 base-62 CRC-32 of the thirty before (github, npm), JSON web tokens whose header decodes to an object with "alg" (jwt), and
-private-key header lines (pem).  Null texts count as empty; offsets are code points.
+private-key header lines (pem).  Null texts count as empty; offsets are code points.  Texts are scanned whole whatever their
+length, repeated rows one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ KEYWORDS = {
     "jwt": ("eyj",),
     "pem": ("-----begin ",),
 }
+#: Longer headers prove nothing.
+MOST_HEADER = 1 << 16
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,10 +64,13 @@ def _has_checksum(token: str) -> bool:
 
 def _has_header(token: str) -> bool:
     head = token.split(".", 1)[0]
+    if len(head) > MOST_HEADER:
+        return False
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, RecursionError):  # nested too deeply for a header
         return False
+    return isinstance(found, dict) and "alg" in found
 
 
 #: Expression and validation of the match.

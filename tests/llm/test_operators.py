@@ -413,3 +413,76 @@ def test_decontamination_in_any_case(spark):
     df = spark.createDataFrame([(i, prose(20) + ". " + x + " " + prose(20)) for i, x in enumerate(copies)], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id, r.kind) for r in decontamination.hits(df, bench).collect()}
     assert {(i, k) for i, k, _ in got} == {(i, 1 if i < 4 or i == 8 else 2) for i in range(9)} and (1, 1, "verbatim") in got and (8, 1, "template") in got
+
+
+def thue_morse(n):
+    return "".join("on"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_made_for_equal_polynomials_differ(spark, bpe):
+    """Strings on which any polynomial over Z/2^64 agrees, as words and as pieces of a text."""
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("on", "no"))
+    raw = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    start, end = np.array([0, 1025, 2050]), np.array([1024, 2049, 3074])
+    x, y, z = _text.span_hashes(raw, start, end)
+    assert x == z != y
+    assert _text.same_spans(raw, start, end, start[[2, 0, 0]], end[[2, 0, 0]]).tolist() == [True, False, True]
+    docs = spark.createDataFrame([(1, f"{a} {b}"), (2, a), (3, b)], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, bpe).collect()}
+    assert got == {r.doc_id: len(tokens.load(bpe).encode(r.text, add_special_tokens=False)) for r in docs.collect()}
+    assert {r.component_id for r in jaccard.groups(docs).collect()} == {1, 2, 3}
+
+
+def test_spans_of_every_length():
+    g = np.random.default_rng(2)
+    data = g.integers(0, 3, 4000).astype(np.uint8)
+    start = g.integers(0, 3000, 6000)
+    end = start + g.integers(0, 12, 6000)
+    end[:40] = start[:40] + g.integers(200, 900, 40)
+    told = defaultdict(set)
+    for code, s, e in zip(_text.span_hashes(data, start, end).tolist(), start, end, strict=True):
+        told[code].add(data[s:e].tobytes())
+    assert all(len(x) == 1 for x in told.values()) and len(told) == len({x for t in told.values() for x in t})
+    other = g.permutation(6000)
+    want = [data[start[i] : end[i]].tobytes() == data[start[j] : end[j]].tobytes() for i, j in enumerate(other)]
+    assert _text.same_spans(data, start, end, start[other], end[other]).tolist() == want
+
+
+def test_texts_without_boundaries_take_linear_time(bpe):
+    counter = tokens.Counter(bpe)
+    encoded = []
+
+    def starts(text):
+        encoded.append(len(text))
+        return counter.starts(text)
+
+    g = random.Random(4)
+    for text in ("".join(g.choice("あいうえおかきくけこ日本語") for _ in range(200_000)), "、".join("日本" * g.randint(1, 9) for _ in range(20_000)), " " * 150_000, "ab" * 60_000):
+        encoded.clear()
+        assert tokens.spliced(text, starts) == len(counter.tokenizer.encode(text, add_special_tokens=False))
+        assert sum(encoded) <= 4 * len(text)
+
+
+def test_headers_that_are_no_objects(spark):
+    import base64
+
+    def token(head):
+        return base64.urlsafe_b64encode(head.encode()).decode().rstrip("=") + ".abc.def"
+
+    deep = token('{"a":' * 200_000)
+    assert [k for *_, k in secrets.scan(f"x {token('{"alg":"none"}')} y")] == ["jwt"]
+    assert not [k for *_, k in secrets.scan(f"{deep} {token('{"a":' * 5_000)} {token('{"a":"alg"}')}") if k == "jwt"]
+    assert not secrets._has_header(base64.urlsafe_b64encode(b'"alg"').decode())
+
+
+def test_groups_of_many_unlinked_clusters(spark):
+    """Clusters of copies that share a long passage, more of them than there are centres, and rows of a repeated id."""
+    shared, g = prose(60), random.Random(9)
+    rows = []
+    for c in range(7):
+        own = prose(70)
+        rows += [(c * 100 + i, near(own, g.randint(0, 2)) + " " + shared, None, None, None, 1, "") for i in range(12)]
+    rows += [(5000, None, None, None, None, 1, ""), (5000, "", None, None, None, 1, ""), rows[0], rows[0]]
+    got = jaccard.groups(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_groups(rows, 5, 80)
