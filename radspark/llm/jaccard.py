@@ -9,22 +9,24 @@ sufficient size.
 Allocation: a probe may leave out a segment if it looks up another one with a tolerance of one shingle, since what must be
 given in all, sum(tolerance + 1) >= D + 1, stays the same.  Segments that hold none or one of the probe's shingles cost most,
 as many sets share them; each is left out for a segment of the band's pool (the first sixteenth, for which the index also has
-all one-deletion neighbours) that holds three or more, the emptiest for the fullest, as long as that lowers the expected
-number of candidates.
+all one-deletion neighbours) that holds two or more, the emptiest for the fullest, as long as that lowers the expected
+number of candidates.  Narrow bands keep the segments of a band's smallest sets from being empty too often.
 
 Every pair passes a parity sketch before its sets meet: each shingle flips one bit of its set's sketch, so two sets whose
 sketches differ in k bits differ in k shingles at least.  A sketch has at least two bits for each shingle, in powers of two
 from ``FOLDED``, so that it doesn't saturate in long texts; the longer of two sketches is folded to the shorter one's length.
 
-Candidates meet by signature.  In each signature's group the smallest probing set is the centre, and only (centre, member)
-pairs are verified exactly at first, then those of a second centre outside the first one's component; links among the rest of a group are looked for only between members of different
-components, and only where the triangle inequality of the Jaccard distance (with their distances to the centre, exact or
-bounded by the sketch) leaves room; the join of these members also compares folded sketches, so it gives near pairs only, and
-it gives a pair at the smallest of its common signatures alone (where that one is among the ``LISTED`` smallest of both).  So
-a group of n similar sets costs n pairs, and no link between components is lost.
+Candidates meet by signature.  In each signature's group the smallest probing set is the first centre, the smallest one whose
+sketch rules out the first is the second, and so on for ``CENTRES`` of them.  A member makes a pair with each centre that its
+sketch leaves room for; pairs are tested by their full sketches and verified exactly.  What is left are the members, centres
+aside, of groups that lie in several components now: a join by signature compares their sketches in its condition, so that it
+gives near pairs of an indexing and a probing set only, each at the smallest of its common signatures (where that one is among
+the ``LISTED`` smallest of both).  So a group of n similar sets costs n pairs, and no link between components is lost.
 
+Shingles and sets are known by 64-bit hashes, also in the exact verification (see _text).
 Null texts and texts without words have an empty set (0 shingles) and are linked with nothing; fewer words than a shingle make
-one shingle of them all; equal sets are one node.
+one shingle of them all; equal sets are one node, so repeated rows and texts are one too.  Texts of any length go in whole; a
+null doc_id is placed but names no component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radspark.llm import _text
@@ -42,7 +44,9 @@ from radspark.llm._columns import fresh
 from radspark.plans.components import connected_components
 from radspark.plans.storage import materialize, release
 
-RATIO, POOL, FOLDED, LISTED = 1.6, 16, 512, 16
+RATIO, POOL, FOLDED, LISTED, CENTRES = 1.25, 16, 512, 16, 3
+#: Longs of a folded sketch.
+FOLD = [f"s{k}" for k in range(FOLDED // 64)]
 #: Sets of more than LARGE shingles also bring a sketch of LARGE_BITS to the residual join.
 LARGE, LARGE_BITS = 1024, 2048
 #: Sketch bits made at once, if no single row needs more.
@@ -117,8 +121,8 @@ def signatures(doc: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, o
     sign = lambda what, k, salt: _text.mix(what * np.uint64(0x9FB21C651E98DF25) + where[k] + np.uint64(salt))
     pool = number * POOL < h[row]
     # allocation
-    out = np.flatnonzero((size <= 1) & ~pool)
-    up = np.flatnonzero((size >= 3) & pool)
+    out = np.flatnonzero(size <= 1)
+    up = np.flatnonzero((size >= 2) & pool)
     out, up = out[np.lexsort((size[out], row[out]))], up[np.lexsort((-size[up], row[up]))]
     both = np.minimum(np.bincount(row[out], minlength=len(h)), np.bincount(row[up], minlength=len(h)))
     out, up = out[_group_rank(row[out]) < both[row[out]]], up[_group_rank(row[up]) < both[row[up]]]
@@ -132,8 +136,8 @@ def signatures(doc: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, o
         t = np.repeat(at[some] - np.concatenate(([0], np.cumsum(size[some])[:-1])), size[some]) + np.arange(len(k))
         parts.append((row[k], sign(content[k] - value[t], k, salt), np.full(len(k), role)))
 
-    if own:  # a probe of three or more finds only segments of four or more this way
-        deleted(np.flatnonzero(pool & (size >= 4)), 1, 1)
+    if own:  # a probe of two or more finds only segments of three or more this way
+        deleted(np.flatnonzero(pool & (size > 2)), 1, 1)
     if len(up):
         deleted(up, 0, 2)
         parts.append((row[up], sign(content[up], up, 1), np.full(len(up), 2)))
@@ -193,7 +197,7 @@ def _members(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """sig, node, n, role; equal sets of one batch are told once."""
+    """sig, node, role; equal sets of one batch are told once."""
 
     def run(batches):
         bands = Bands(percent)
@@ -202,8 +206,8 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for i, j, data, offsets in _text.slices(batch.column(0)):
                 doc, code = sets(data, offsets, words)
                 n, node = nodes(doc, code, j - i)
-                fresh = np.array([not (x in told or told.add(x)) for x in node.tolist()], bool)
-                mine = np.where(fresh, bands.of(n), -1)
+                new = np.array([not (x in told or told.add(x)) for x in node.tolist()], bool)
+                mine = np.where(new, bands.of(n), -1)
                 least = bands.of(-(-percent * n // 100))
                 found = [signatures(doc, code, n, bands, True, mine)]
                 back = 1
@@ -214,17 +218,54 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     back += 1
                 row, sig, role = (np.concatenate([f[k] for f in found]) for k in range(3))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sig.view(np.int64)), pa.array(node[row].view(np.int64)), pa.array(n[row].astype(np.int32)), pa.array(role.astype(np.int8))],
-                    ["sig", "node", "n", "role"],
+                    [pa.array(sig.view(np.int64)), pa.array(node[row].view(np.int64)), pa.array(role.astype(np.int8))], ["sig", "node", "role"]
                 )
 
-    return docs.select("text").mapInArrow(run, "sig bigint, node bigint, n int, role tinyint")
+    return docs.select("text").mapInArrow(run, "sig bigint, node bigint, role tinyint")
 
 
-def _sketched(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """pairs (a, b, na, nb) with ``differ``: a lower bound of the symmetric difference."""
-    some = members.where("node is not null").dropDuplicates(["node"])
-    left, right = (some.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
+def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """sig, node, role of the signatures that an indexing and another, probing node have."""
+    of_sig = Window.partitionBy("sig")
+    met = _signatures(docs, words, percent).select(
+        "*", F.min("node").over(of_sig).alias("_lo"), F.max("node").over(of_sig).alias("_hi"),
+        F.max(F.col("role") >= 2).over(of_sig).alias("_probe"), F.max(F.col("role") % 2).over(of_sig).alias("_index"),
+    )
+    return materialize(met.where("_lo <> _hi and _probe and _index = 1").select("sig", "node", "role").distinct(), "candidates")
+
+
+def _differing(x: str, y: str) -> Column:
+    """Differing bits of two folded sketches."""
+    return reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in FOLD))
+
+
+def _centred(shared: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """sig, node, n, role, folded sketch, centre (whether the row is one) and, for each centre near the row, its node and size."""
+    of_sig = Window.partitionBy("sig")
+    rows, far, centres, named = shared.join(table.select("node", "n", *FOLD), "node"), F.lit(True), F.lit(False), []
+    for k in range(CENTRES):
+        c = f"_c{k}."
+        rows = rows.withColumn(f"_far{k}", far).withColumn(f"_c{k}", F.min(F.when(F.col(f"_far{k}") & (F.col("role") >= 2), F.struct("node", "n", *FOLD))).over(of_sig))
+        near = _similar_size(F.col("n"), F.col(f"{c}n"), percent) & _open(_differing("", c), F.col("n") + F.col(f"{c}n"), percent)
+        own = F.col("node") == F.col(f"{c}node")
+        far = F.col(f"_far{k}") & ~F.coalesce(near, F.lit(True))
+        centres = centres | F.coalesce(own, F.lit(False))
+        named += [F.when(near & ~own, F.struct(F.col(f"{c}node").alias("node"), F.col(f"{c}n").alias("n"))).alias(f"near{k}")]
+    return materialize(rows.select("sig", "node", "n", "role", *FOLD, centres.alias("centre"), *named), "centred")
+
+
+def _similar_size(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= percent * F.greatest(n, m)
+
+
+def _open(differ: Column, both: Column, percent: int) -> Column:
+    """Whether sets of ``both`` shingles together that differ in so many at least can be similar."""
+    return differ * (100 + percent) <= (100 - percent) * both
+
+
+def _sketched(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that their full sketches leave room for."""
+    left, right = (table.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
     m = F.least(F.size("sa"), F.size("sb"))
 
     def folded(x):
@@ -232,17 +273,17 @@ def _sketched(pairs: DataFrame, members: DataFrame) -> DataFrame:
         return F.when(F.size(x) == m, F.col(x)).otherwise(F.transform(F.slice(x, F.lit(1), m), whole))
 
     bits = F.aggregate(F.zip_with(folded("sa"), folded("sb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", bits.alias("differ"))
+    found = pairs.join(left, "a").join(right, "b").where(_open(bits, F.col("na") + F.col("nb"), percent))
+    return materialize(found.select("a", "b", "na", "nb"), "pairs")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """pairs (a, b, na, nb) with both, the exact size of the intersection."""
-    spark = docs.sparkSession
+def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the exact size of the intersection."""
     ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b"))
-    table = spark.sparkContext.broadcast(bitmap(ends, "k"))
+    wanted_bits = docs.sparkSession.sparkContext.broadcast(bitmap(ends, "k"))
 
     def run(batches):
-        wanted = table.value
+        wanted = wanted_bits.value
         for batch in batches:
             told: set[int] = set()
             for i, j, data, offsets in _text.slices(batch.column(0)):
@@ -253,81 +294,60 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
                 lists = pa.array([code[at[k] : at[k + 1]].view(np.int64) for k in keep], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep].view(np.int64)), lists], ["node", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "node bigint, tokens array<bigint>")
-    found = found.dropDuplicates(["node"])
+    # a table of its own, so that joins on a node with many pairs can be split
+    found = materialize(docs.select("text").mapInArrow(run, "node bigint, tokens array<bigint>").dropDuplicates(["node"]), "tokens")
     left, right = found.withColumnsRenamed({"node": "a", "tokens": "ta"}), found.withColumnsRenamed({"node": "b", "tokens": "tb"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("both"))
+    both = F.size(F.array_intersect("ta", "tb"))
+    tested = pairs.join(left, "a").join(right, "b").where(both * 100 >= percent * (F.col("na") + F.col("nb") - both))
+    return materialize(tested.select("a", "b"), "links")
+
+
+def _mixed(met: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
+    """sig, node, n, role, component, sketches and first signatures of members, centres aside, of groups in several components."""
+    of_sig, of_node = Window.partitionBy("sig"), Window.partitionBy("node")
+    rows = met.where("not centre").select("sig", "node", "role").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.withColumns({"_lo": F.min("component").over(of_sig), "_hi": F.max("component").over(of_sig)}).where("_lo <> _hi").drop("_lo", "_hi")
+    rows = rows.withColumn("_place", F.row_number().over(of_node.orderBy("sig")))
+    rows = rows.withColumn("sigs", F.collect_list(F.when(F.col("_place") <= LISTED, F.col("sig"))).over(of_node)).drop("_place")
+    return materialize(rows.join(table.select("node", "n", *FOLD, "large"), "node"), "mixed")
+
+
+def _rest(mixed: DataFrame, percent: int) -> DataFrame:
+    """Near pairs (a, b, na, nb) of members of one signature in different components."""
+    x, y = mixed.alias("x"), mixed.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    roles = ((F.col("x.role") >= 2) & (F.col("y.role") % 2 == 1)) | ((F.col("y.role") >= 2) & (F.col("x.role") % 2 == 1))
+    # plain columns first: a condition with one column for each long would be too long a method for the JVM to compile
+    more = F.aggregate(F.zip_with("x.large", "y.large", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    large = (F.least("x.n", "y.n") <= LARGE) | _open(more, both, percent)
+    once = F.coalesce(F.array_min(F.array_intersect("x.sigs", "y.sigs")), F.col("x.sig")) == F.col("x.sig")
+    near = _similar_size(F.col("x.n"), F.col("y.n"), percent) & _open(_differing("x.", "y."), both, percent)
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & roles & near & once & large)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
 
 def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """node, component of every node with a link. members: see _members."""
     spark = docs.sparkSession
-    of_sig = Window.partitionBy("sig")
-    probing = F.min(F.when(F.col("role") >= 2, F.struct("node", "n"))).over(of_sig)
-    met = _signatures(docs, words, percent).select(
-        "*", F.min("node").over(of_sig).alias("_lo"), F.max("node").over(of_sig).alias("_hi"), probing.alias("_c"), F.max(F.col("role") % 2).over(of_sig).alias("_index"),
-    )
-    met = met.where("_lo <> _hi and _c is not null and _index = 1")
-    met = materialize(met.select("sig", "node", "n", F.col("_c.node").alias("c"), F.col("_c.n").alias("cn")).distinct(), "candidates")
+    fold = [F.get("folded", F.lit(k)).alias(c) for k, c in enumerate(FOLD)]
+    table = members.where("node is not null").select("node", F.col("n_shingles").alias("n"), "sketch", "folded", "large").dropDuplicates(["node"])
+    table = materialize(table.select("node", "n", "sketch", "large", *fold), "nodes")
+    shared = _shared(docs, words, percent)
     release(spark)
-    both_n = F.col("na") + F.col("nb")
-    compatible = lambda x, y: F.least(x, y) * 100 >= percent * F.greatest(x, y)
-    open_ = F.col("differ") * (100 + percent) <= (100 - percent) * both_n
-    linked = F.col("both") * 100 >= percent * (both_n - F.col("both"))
-    stars = met.where((F.col("node") != F.col("c")) & compatible(F.col("n"), F.col("cn")))
-    stars = stars.select(F.col("c").alias("a"), F.col("node").alias("b"), F.col("cn").alias("na"), F.col("n").alias("nb")).distinct()
-    stars = materialize(_sketched(stars, members), "stars")
-    first = materialize(_verified(docs, stars.where(open_).drop("differ"), words), "verified")
+    met = _centred(shared, table, percent)
     release(spark)
-    labels = connected_components(first.where(linked))
-    # a second centre for each signature: its smallest node outside the centre's component
-    placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    core = F.max(F.when(F.col("node") == F.col("c"), F.col("component"))).over(of_sig)
-    other = F.min(F.when(F.col("component") != F.col("_core"), F.struct("node", "n", "component"))).over(of_sig)
-    again = placed.withColumn("_core", core).withColumn("_o", other).where((F.col("component") != F.col("_o.component")) & compatible(F.col("n"), F.col("_o.n")))
-    again = again.select(F.col("_o.node").alias("a"), F.col("node").alias("b"), F.col("_o.n").alias("na"), F.col("n").alias("nb")).distinct()
-    ordered = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = again.join(ordered(stars).union(ordered(stars).select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    again = materialize(_sketched(again, members), "stars")
-    if not again.where(open_).isEmpty():
-        more = _verified(docs, again.where(open_).drop("differ"), words).where(linked).select("a", "b")
-        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    # the rest: members of one signature in different components; away_lo and away_hi bound the distance to the centre
-    placed = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("cn")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("sig")
-    exact = 1 - F.col("both") / (both_n - F.col("both"))
-    away = first.select(F.col("a").alias("c"), F.col("b").alias("node"), exact.alias("lo"), exact.alias("hi")).union(
-        stars.where(~open_).select("a", "b", 2 * F.col("differ") / (both_n + F.col("differ")), F.lit(1.0))
-    )
-    left = placed.join(mixed, "sig", "left_semi").where("node <> c").join(away, ["c", "node"], "left")
-    # a folded sketch in plain columns, so that the join itself drops pairs that differ too much
-    m = FOLDED // 64
-    fold = [F.get("folded", F.lit(k)).alias(f"s{k}") for k in range(m)]
-    left = left.join(members.where("node is not null").dropDuplicates(["node"]).select("node", "large", *fold), "node")
-    bounds = (F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(1.0)).alias("hi"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("sig"))
-    listed = F.collect_list(F.when(F.col("_place") <= LISTED, F.col("sig"))).over(Window.partitionBy("node")).alias("sigs")
-    left = left.withColumn("_place", place).select("sig", "node", "n", "component", *bounds, *(f"s{k}" for k in range(m)), "large", listed)
-    left = materialize(left, "mixed")
-    x, y, room = left.alias("x"), left.alias("y"), (100 - percent) / 100 + 1e-9
-    near = (F.col("x.lo") - F.col("y.hi") <= room) & (F.col("y.lo") - F.col("x.hi") <= room)
-    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(m)))
-    fits = lambda n: n * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    # plain columns first: a condition with one column for each long would be too long a method for the JVM to compile
-    more = F.aggregate(F.zip_with("x.large", "y.large", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
-    large = (F.least("x.n", "y.n") <= LARGE) | fits(more)
-    once = F.coalesce(F.array_min(F.array_intersect("x.sigs", "y.sigs")), F.col("x.sig")) == F.col("x.sig")
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    rest = (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & compatible(F.col("x.n"), F.col("y.n")) & near & fits(bits) & once & large)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        .distinct()
-    )
-    seen = ordered(stars).union(ordered(again))
-    rest = materialize(_sketched(rest.join(seen, ["a", "b"], "left_anti"), members).where(open_).drop("differ"), "rest")
+    stars = reduce(DataFrame.union, (
+        met.where(f"near{k} is not null").select(F.col(f"near{k}.node").alias("a"), F.col("node").alias("b"), F.col(f"near{k}.n").alias("na"), F.col("n").alias("nb"))
+        for k in range(CENTRES)
+    ))
+    links = _linked(docs, _sketched(stars.distinct(), table, percent), words, percent)
+    labels = connected_components(links)
+    release(spark)
+    rest = _sketched(_rest(_mixed(met, labels, table), percent), table, percent)
     if rest.isEmpty():
         return labels
-    found = _verified(docs, rest, words).where(linked).select("a", "b")
+    found = _linked(docs, rest, words, percent)
     return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
 
@@ -335,11 +355,12 @@ def groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, node, component, component_id of every row."""
     members = materialize(_members(docs, words), "members")
     labels = linked_nodes(docs, members, words, percent)
-    placed = members.drop("sketch", "folded", "large").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
-    return placed.join(least, "component", "left").select(
-        "doc_id", "text_hash", "n_shingles", "node", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id")
-    )
+    rows = members.select("doc_id", "text_hash", "n_shingles", "node")
+    # rows without a set stay out of the joins, and the least ids are a table, so that the join by component can be split
+    placed = rows.where("node is not null").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = materialize(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    alone = rows.where("node is null").select("*", F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    return placed.join(least, "component").select(*alone.columns).union(alone)
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
