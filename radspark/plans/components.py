@@ -32,5 +32,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         tops = labels.select(F.col("node").alias("to"), F.col("to").alias("_top"))
         labels = joins.pop().join(tops, "to", "left").select("node", F.coalesce("_top", "to").alias("to"))
     labels = materialize(labels, "labels")
-    least = labels.groupBy("to").agg(F.min("node").alias("component"))
+    least = materialize(labels.groupBy("to").agg(F.min("node").alias("component")), "least")  # a table: the join can be split
     return materialize(labels.join(least, "to").select("node", "component"), "labels")
