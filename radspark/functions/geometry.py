@@ -54,24 +54,120 @@ def hull_of(pts: DataFrame, x: str = "x", y: str = "y") -> np.ndarray:
     return convex_hull(np.array([(r.x, r.y) for r in some.collect()]))
 
 
+def _disk_edge(ax, ay, bx, by, r: float) -> np.ndarray:
+    """Signed area that an edge, relative to the disk's centre, adds to the disk's part of a polygon."""
+    dx, dy, r2 = bx - ax, by - ay, r * r
+    dd = np.maximum(dx * dx + dy * dy, 1e-300)
+    t0 = -(ax * dx + ay * dy) / dd
+    half = np.sqrt(np.maximum(r2 - (ax * by - ay * bx) ** 2 / dd, 0) / dd)
+    t1, t2 = np.clip(t0 - half, 0, 1), np.clip(t0 + half, 0, 1)
+    cx, cy, ex, ey = ax + t1 * dx, ay + t1 * dy, ax + t2 * dx, ay + t2 * dy
+    sector = lambda px, py, qx, qy: r2 / 2 * np.arctan2(px * qy - py * qx, px * qx + py * qy)
+    return sector(ax, ay, cx, cy) + (cx * ey - cy * ex) / 2 + sector(ex, ey, bx, by)
+
+
+def rings_share(x, y, r: float, rings) -> np.ndarray:
+    """Share of each disk inside the rings together: outer ones run counter-clockwise, holes clockwise. Exact."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    total = np.zeros(len(x))
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, 0), strict=True):
+            total += _disk_edge(x1 - x, y1 - y, x2 - x, y2 - y, r)
+    return np.clip(total / (math.pi * r * r), 0, 1)
+
+
 def disk_share(x, y, r: float, ring: np.ndarray) -> np.ndarray:
     """Share of each disk inside a simple polygon, exact: one signed term for each edge."""
-    x, y, ring = np.asarray(x, float), np.asarray(y, float), np.asarray(ring, float)
-    total, r2 = np.zeros(len(x)), r * r
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, 0), strict=True):
-        ax, ay, bx, by = x1 - x, y1 - y, x2 - x, y2 - y
-        dx, dy = bx - ax, by - ay
-        dd = dx * dx + dy * dy
-        if not dd.any():
-            continue
-        t0 = -(ax * dx + ay * dy) / dd
-        h2 = r2 - ((ax * by - ay * bx) ** 2) / dd
-        half = np.sqrt(np.maximum(h2, 0) / dd)
-        t1, t2 = np.clip(t0 - half, 0, 1), np.clip(t0 + half, 0, 1)
-        cx, cy, ex, ey = ax + t1 * dx, ay + t1 * dy, ax + t2 * dx, ay + t2 * dy
-        sector = lambda px, py, qx, qy: r2 / 2 * np.arctan2(px * qy - py * qx, px * qx + py * qy)
-        total += sector(ax, ay, cx, cy) + (cx * ey - cy * ex) / 2 + sector(ex, ey, bx, by)
-    return np.clip(np.abs(total) / (math.pi * r2), 0, 1)
+    return rings_share(x, y, r, [oriented(ring)])
+
+
+def box_share(x, y, r: float, x0, y0, size: float) -> np.ndarray:
+    """Share of each disk inside its own square with the lower corner x0, y0."""
+    a, b = np.asarray(x0, float) - np.asarray(x, float), np.asarray(y0, float) - np.asarray(y, float)
+    corners = [(a, b), (a + size, b), (a + size, b + size), (a, b + size)]
+    total = sum(_disk_edge(*p, *q, r) for p, q in zip(corners, [*corners[1:], corners[0]], strict=True))
+    return np.clip(total / (math.pi * r * r), 0, 1)
+
+
+def ring_area(ring: np.ndarray) -> float:
+    x, y = np.asarray(ring, float).T
+    return float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum() / 2)
+
+
+def oriented(ring, hole: bool = False) -> np.ndarray:
+    """The ring without a repeated last corner, counter-clockwise (a hole: clockwise)."""
+    ring = np.asarray(ring, float)[:, :2]
+    if len(ring) > 1 and (ring[0] == ring[-1]).all():
+        ring = ring[:-1]
+    return ring if (ring_area(ring) > 0) != hole else ring[::-1]
+
+
+def polygons(spec) -> tuple[np.ndarray, ...]:
+    """Oriented rings of a list of corners or of a GeoJSON Polygon, MultiPolygon, GeometryCollection or Feature."""
+    if not isinstance(spec, dict):
+        return (oriented(spec),)
+    kind = spec["type"]
+    if kind == "Feature":
+        return polygons(spec["geometry"])
+    if kind in ("GeometryCollection", "FeatureCollection"):
+        return tuple(r for g in spec["geometries" if kind == "GeometryCollection" else "features"] for r in polygons(g))
+    if kind not in ("Polygon", "MultiPolygon"):
+        raise ValueError(f"{kind} is no area")
+    parts = [spec["coordinates"]] if kind == "Polygon" else spec["coordinates"]
+    return tuple(oriented(ring, i > 0) for part in parts for i, ring in enumerate(part))
+
+
+def edges_of(rings) -> np.ndarray:
+    """x1, y1, x2, y2 of every edge."""
+    return np.concatenate([np.hstack((r, np.roll(r, -1, 0))) for r in rings])
+
+
+class Strips:
+    """Membership for many edges: each point meets the edges of its horizontal strip only."""
+
+    def __init__(self, edges: np.ndarray):
+        e = edges[edges[:, 1] != edges[:, 3]]
+        self.low, self.n = e[:, [1, 3]].min(), max(1, min(4096, len(e)))
+        self.high = max(1e-300, (e[:, [1, 3]].max() - self.low) / self.n)
+        first, last = (np.clip(((f(e[:, 1], e[:, 3]) - self.low) / self.high).astype(int), 0, self.n - 1) for f in (np.minimum, np.maximum))
+        strip = np.repeat(first, last - first + 1) + np.arange((last - first + 1).sum()) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
+        order = np.argsort(strip, kind="stable")
+        self.edges = np.repeat(e, last - first + 1, 0)[order]
+        self.at = np.searchsorted(strip[order], np.arange(self.n + 1))
+
+    def inside(self, x, y) -> np.ndarray:
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        with np.errstate(invalid="ignore"):
+            strip = np.nan_to_num((y - self.low) / self.high, nan=-1).clip(-1, self.n).astype(int)
+        strip[(strip == self.n) & (y <= self.low + self.high * self.n)] = self.n - 1
+        out, order = np.zeros(len(x), bool), np.argsort(strip, kind="stable")
+        for k, rows in zip(*_runs(strip[order], order), strict=True):
+            if 0 <= k < self.n:
+                x1, y1, x2, y2 = self.edges[self.at[k] : self.at[k + 1]].T
+                px, py = x[rows, None], y[rows, None]
+                crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+                out[rows] = crosses.sum(1) % 2 == 1
+        return out
+
+
+def _runs(sorted_keys: np.ndarray, rows: np.ndarray) -> tuple[list, list]:
+    at = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, int)
+    return sorted_keys[at].tolist(), np.split(rows, at[1:]) if len(at) else []
+
+
+def clipped_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
+    """Signed area of the part of a ring in a box: the ring is cut at the box's sides one after another."""
+    p = np.asarray(ring, float)
+    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        if not len(p):
+            return 0.0
+        q = np.roll(p, -1, 0)
+        d, e = sign * (p[:, axis] - bound), sign * (q[:, axis] - bound)
+        cuts = (d < 0) != (e < 0)
+        t = np.where(cuts, d / np.where(cuts, d - e, 1), 0)[:, None]
+        both = np.stack((p, p + t * (q - p)), 1).reshape(-1, 2)
+        p = both[np.stack((d >= 0, cuts), 1).ravel()]
+    return ring_area(p) if len(p) else 0.0
 
 
 def utm_zone(lon: float, lat: float) -> tuple[int, bool]:

@@ -1,24 +1,35 @@
-"""Radius aggregation: a grid-bucketed equi-join with a distance predicate and a two-phase aggregate of power sums.
+"""Radius aggregation: tiles with a margin, sums of whole cells inside the disk, point pairs only in the cells that its border cuts.
 
-Cells are as wide as the largest radius, so a source point meets the cells within one step (9 copies).  All statistics,
-columns and radii come from one join: ``sum(when(d2 <= r_k^2, v^p))``.  Nothing is collected; partial aggregation runs in
-the join's stage, so at most nine rows of each source point are shuffled again.
+The plane is cut into cells of a ``K``-th of the largest radius and tiles of ``TILE`` radii.  Source points are shuffled once by
+tile, target points to every tile within reach (2.6 copies at most on average); all else happens inside a tile without another
+shuffle.  A target cell that lies inside the disk of every point of a source cell gives its power sums as a whole, once for
+each source cell; cells cut by the border of a disk are joined point by point.  All statistics, columns and radii come from
+the same joins.  K follows from the mean number of target points near a target point, so pairs grow with the border of a disk
+rather than its area.  Tiles with more than ``HOT`` source points are salted: their source points are dealt out, and
+their target points copied to each part.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from radspark.plans.spec import Radii, column_name, parse_r, stat_name
+from radspark.plans.spec import STATS, Radii, column_name, parse_r, stat_name
 
 POWERS = {"sum": 1, "count": 0, "mean": 1, "variance": 2, "std": 2, "cv": 2, "skewness": 3, "kurtosis": 4}
+TILE, MOST_K, HOT = 4, 12, 200_000
+#: Points per cell at which a finer grid stops to pay.
+CROWD = 6.0
+_WIDER = 1 + 1e-9
 
 
-def statistic(stat: str, n: Column, s: list[Column]) -> Column:
-    """From the count and the power sums; NaN where it isn't defined."""
+def statistic(stat: str, n: Column, s: list[Column], shift: float = 0) -> Column:
+    """From the count, the sum and the sums of higher powers of value - shift; NaN where it isn't defined."""
     nan = F.lit(float("nan"))
     if stat == "count":
         return n
@@ -28,6 +39,7 @@ def statistic(stat: str, n: Column, s: list[Column]) -> Column:
     m1 = e[0]
     if stat == "mean":
         return F.coalesce(m1, nan)
+    mean, m1 = m1, m1 - F.lit(float(shift)) if shift else m1
     m2 = e[1] - m1 * m1
     if stat == "variance":
         return F.coalesce(m2, nan)
@@ -35,7 +47,7 @@ def statistic(stat: str, n: Column, s: list[Column]) -> Column:
     if stat == "std":
         return F.coalesce(std, nan)
     if stat == "cv":
-        return F.coalesce(std / F.when(m1 != 0, m1), nan)
+        return F.coalesce(std / F.when(mean != 0, mean), nan)
     good = F.when(m2 > 0, m2)
     if stat == "skewness":
         return F.coalesce((e[2] - F.lit(3.0) * m1 * e[1] + F.lit(2.0) * m1 * m1 * m1) / (good * F.sqrt(good)), nan)
@@ -43,19 +55,141 @@ def statistic(stat: str, n: Column, s: list[Column]) -> Column:
     return F.coalesce(top / (good * good) - F.lit(3.0), nan)
 
 
-def _power(v: Column, p: int) -> Column:
-    return reduce(lambda a, _: a * v, range(p - 1), v)
+def _powers(v: Column, top: int, shift: float = 0) -> list[Column]:
+    """v as it is, then the higher powers of v - shift in double, which can't overflow as integers do."""
+    d = v.cast("double") - F.lit(float(shift)) if shift else v.cast("double")
+    return [v, *(reduce(lambda a, _: a * d, range(p - 1), d) for p in range(2, top + 1))][:top]
 
 
-def neighbours(source: DataFrame, target: DataFrame, r: float, x: str, y: str, x_tgt: str, y_tgt: str) -> DataFrame:
-    """Columns of both (target's prefixed _t_) and _d2 of every pair within r, the border included."""
-    s = float(r) * (1 + 1e-9)
-    cell = lambda c, d=0: F.floor(F.col(c) / F.lit(s)).cast("long") + F.lit(d)
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = source.withColumn("_o", F.explode(steps)).withColumns({"_cx": cell(x) + F.col("_o.i"), "_cy": cell(y) + F.col("_o.j")}).drop("_o")
-    far = target.select(*(F.col(c).alias(f"_t_{c}") for c in target.columns), cell(x_tgt).alias("_cx"), cell(y_tgt).alias("_cy"))
-    dx, dy = F.col(x) - F.col(f"_t_{x_tgt}"), F.col(y) - F.col(f"_t_{y_tgt}")
-    return near.join(far, ["_cx", "_cy"]).withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= F.lit(r) * F.lit(r))
+def within(source: DataFrame, target: DataFrame, r: float, x: str = "x", y: str = "y", anti: bool = False) -> DataFrame:
+    """The rows of ``source`` with (anti: without) a target point within r, the border included; nothing else about them changes."""
+    s = float(r) * _WIDER if r else 1.0
+    cell = lambda c: F.floor(F.col(c) / F.lit(s)).cast("long")
+    step = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
+    far = target.select(F.col(x).alias("_tx"), F.col(y).alias("_ty"), cell(x).alias("_cx"), cell(y).alias("_cy")).distinct()
+    far = far.withColumn("_i", step).withColumn("_j", step).select("_tx", "_ty", (F.col("_cx") + F.col("_i")).alias("_cx"), (F.col("_cy") + F.col("_j")).alias("_cy"))
+    dx, dy = (F.col(x) - F.col("_tx")).cast("double"), (F.col(y) - F.col("_ty")).cast("double")
+    met = (cell(x) == F.col("_cx")) & (cell(y) == F.col("_cy")) & (dx * dx + dy * dy <= F.lit(float(r)) * F.lit(float(r)))
+    return source.join(far, met, "left_anti" if anti else "left_semi")
+
+
+def offsets(k: int, radii: list[float]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Offsets of cells that some border cuts, and (i, j, mask of the radii that hold the cell) of those that none does."""
+    cut, whole, most = [], [], radii[-1]
+    units = [(d / most * k / _WIDER) ** 2 if most else 0.0 for d in radii]
+    for i in range(-k - 1, k + 2):
+        for j in range(-k - 1, k + 2):
+            low = max(abs(i) - 1, 0) ** 2 + max(abs(j) - 1, 0) ** 2
+            high = (abs(i) + 1) ** 2 + (abs(j) + 1) ** 2
+            if any(u < high and (low < u or low == 0) for u in units):
+                cut.append((i, j))
+            elif mask := sum(1 << n for n, u in enumerate(units) if high <= u):
+                whole.append((i, j, mask))
+    return cut, whole
+
+
+class Look(NamedTuple):
+    """Mean number of points in a point's cell of size r, most points of a tile, and missing, least, largest and mean of each value column."""
+
+    crowd: float
+    largest: int
+    n: int
+    values: dict[str, tuple[bool, float, float, float]]
+
+    def shift(self, v: str, whole: bool, top: int) -> float:
+        """What to take from values before their powers are summed: nothing where sums of whole numbers are exact in double."""
+        _, low, high, mean = self.values[v]
+        if top < 2 or not math.isfinite(mean) or whole and self.n * max(abs(low), abs(high)) ** top < 1 << 53:
+            return 0
+        return float(math.floor(mean))
+
+
+def look_at(target: DataFrame, r: float, x: str, y: str, values: list[str]) -> Look:
+    """One pass over the target by cells and tiles."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(r) * _WIDER)).cast("long")
+    tile = lambda c: F.floor(F.col(c) / F.lit(TILE)).cast("long")
+    each = range(len(values))
+    first = [q for i, v in enumerate(values) for q in (F.max(_missing(target, v)).alias(f"_b{i}"), F.min(v).alias(f"_l{i}"), F.max(v).alias(f"_h{i}"), F.sum(F.col(v).cast("double")).alias(f"_s{i}"))]
+    again = [q for i in each for q in (F.max(f"_b{i}").alias(f"_b{i}"), F.min(f"_l{i}").alias(f"_l{i}"), F.max(f"_h{i}").alias(f"_h{i}"), F.sum(f"_s{i}").alias(f"_s{i}"))]
+    cells = target.groupBy(cell(x).alias("cx"), cell(y).alias("cy")).agg(F.count("*").alias("n"), *first)
+    tiles = cells.groupBy(tile("cx").alias("tx"), tile("cy").alias("ty")).agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), *again)
+    got = tiles.agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.max("n").alias("most"), *again).first()
+    n = got["n"] or 0
+    told = {v: (bool(got[f"_b{i}"]), float(got[f"_l{i}"] or 0), float(got[f"_h{i}"] or 0), float(got[f"_s{i}"] or 0) / max(n, 1)) for i, v in enumerate(values)}
+    return Look(got["nn"] / n if n else 0.0, got["most"] or 0, n, told)
+
+
+def _missing(df: DataFrame, v: str) -> Column:
+    missing = F.col(v).isNull()
+    return missing | F.isnan(v) if df.schema[v].dataType.typeName() in ("float", "double") else missing
+
+
+def columns_with_nan(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that hold a null or NaN."""
+    got = df.agg(*(F.coalesce(F.max(_missing(df, v)), F.lit(False)).alias(f"_{i}") for i, v in enumerate(columns))).first() if columns else ()
+    return [v for v, b in zip(columns, got, strict=True) if b]
+
+
+def _together(spark: SparkSession) -> None:
+    """Joins on tile and cell of sides that are dealt out by tile need no further shuffle."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values: list[str], top: int, *, x: str, y: str, pid: str, x_tgt: str, y_tgt: str, look: Look | None = None, shifts: tuple[float, ...] = ()) -> DataFrame:
+    """``source`` with _n_k and _s_k_p_i: count and sums of power p + 1 of values[i] within radii[k]; radii in order, the last over 0.
+
+    ``values`` are columns of ``target``, numbers without nulls; powers over 1 are those of value - shifts[i].  pid: unique among the source points.
+    """
+    _together(source.sparkSession)
+    most = radii[-1]
+    look = look or look_at(target, most, x_tgt, y_tgt, [])
+    k = max(1, min(MOST_K, round(math.sqrt(look.crowd / CROWD))))
+    side, wide = float(most) * _WIDER / k, TILE * k
+    cut, whole = offsets(k, radii)
+    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(side)).cast("long")
+    tile = lambda c: F.floor(c / F.lit(wide)).cast("long")
+    by = ["_tx", "_ty"]
+    src = source.withColumns({"_cx": cell(x), "_cy": cell(y)}).withColumns({"_tx": tile(F.col("_cx")), "_ty": tile(F.col("_cy"))})
+    power = [p for i, v in enumerate(values) for p in (q.alias(f"_p{n}_{i}") for n, q in enumerate(_powers(F.col(v), top, shifts[i] if shifts else 0)))]
+    tgt = target.select(F.col(x_tgt).cast("double").alias("_ux"), F.col(y_tgt).cast("double").alias("_uy"), *power, cell(x_tgt).alias("_cx"), cell(y_tgt).alias("_cy"))
+    for c, t in (("_cx", "_tx"), ("_cy", "_ty")):
+        tgt = tgt.withColumn(t, F.explode(F.sequence(tile(F.col(c) - F.lit(k + 1)), tile(F.col(c) + F.lit(k + 1)))))
+    if look.largest > HOT:
+        parts = src.groupBy("_tx", "_ty").agg(F.count("*").alias("_m")).where(F.col("_m") > HOT).select("_tx", "_ty", F.ceil(F.col("_m") / HOT).cast("int").alias("_m"))
+        src = src.join(parts, ["_tx", "_ty"], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(pid), F.col("_m")), F.lit(0)).cast("int")).drop("_m")
+        tgt = tgt.join(parts, ["_tx", "_ty"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1))).drop("_m")
+        by.append("_salt")
+    src, tgt = src.repartition(*by), tgt.repartition(*by)
+    at = [*by, "_cx", "_cy"]
+    sums = [(n, i, f"_p{n}_{i}") for i in range(len(values)) for n in range(top)]
+
+    def moved(df: DataFrame, steps) -> DataFrame:
+        """Rows for each offset, at the offset's cell; the own cell stays in _ox, _oy."""
+        told = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(s, "ijm"))) for s in steps)))  # noqa: B905
+        return df.withColumnsRenamed({"_cx": "_ox", "_cy": "_oy"}).withColumn("_o", told).withColumns({"_cx": F.col("_ox") + F.col("_o.i"), "_cy": F.col("_oy") + F.col("_o.j")})
+
+    near = moved(src.select(pid, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *at), cut).join(tgt.hint("shuffle_hash"), at)
+    dx, dy = F.col("_x") - F.col("_ux"), F.col("_y") - F.col("_uy")
+    near = near.withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= F.lit(float(most)) * F.lit(float(most)))
+    of, last = [], len(radii) - 1
+    for n, d in enumerate(radii):
+        inside = (lambda q: q) if n == last else (lambda q, d=d: F.when(F.col("_d2") <= F.lit(float(d)) * F.lit(float(d)), q))
+        of.append(F.count(inside(F.lit(1))).alias(f"_n_{n}"))
+        of += [F.sum(inside(F.col(p))).alias(f"_s_{n}_{q}_{i}") for q, i, p in sums]
+    names = [f"_n_{n}" for n in range(len(radii))] + [f"_s_{n}_{q}_{i}" for n in range(len(radii)) for q, i, _ in sums]
+    found = src.join(near.groupBy(*by, pid).agg(*of).hint("shuffle_hash"), [*by, pid], "left")
+    if whole:
+        cells = tgt.groupBy(*at).agg(F.count("*").alias("_n"), *(F.sum(p).alias(p) for *_, p in sums))
+        inner = moved(src.select(*at).distinct(), whole).join(cells.hint("shuffle_hash"), at)
+        of = []
+        for n in range(len(radii)):
+            inside = lambda q, n=n: F.when(F.col("_o.m").bitwiseAND(F.lit(1 << n)) != 0, q)
+            of.append(F.sum(inside(F.col("_n"))).alias(f"_w_n_{n}"))
+            of += [F.sum(inside(F.col(p))).alias(f"_w_s_{n}_{q}_{i}") for q, i, p in sums]
+        inner = inner.groupBy(*by, "_ox", "_oy").agg(*of).withColumnsRenamed({"_ox": "_cx", "_oy": "_cy"})
+        found = found.join(inner.hint("shuffle_hash"), at, "left")
+    total = {c: (F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_w{c}"), F.lit(0))) if whole else F.coalesce(F.col(c), F.lit(0)) for c in names}
+    return found.select(*source.columns, *(q.alias(c) for c, q in total.items()))
 
 
 def _needed(columns: list[str], have: list[str], what: str) -> None:
@@ -63,6 +197,27 @@ def _needed(columns: list[str], have: list[str], what: str) -> None:
         raise ValueError(f"{what} has no column {', '.join(missing)}")
 
 
+def contained(source: DataFrame, target: DataFrame, columns: list[str]) -> bool:
+    """Whether every source row is one of the target's rows, judged by the columns (nulls are equal)."""
+    some = target.select(*(F.col(c).alias(f"_t_{i}") for i, c in enumerate(columns))).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_t_{i}")) for i, c in enumerate(columns)))
+    return source.select(*columns).join(some, same, "left_anti").isEmpty()
+
+
+def relation(a: DataFrame, b: DataFrame) -> str:
+    """equal, subset, superset, overlap or disjoint: the distinct rows of ``a`` against those of ``b`` on their common columns."""
+    columns = [c for c in a.columns if c in b.columns]
+    if not columns:
+        return "disjoint"
+    one = a.select(*columns).distinct().withColumn("_a", F.lit(1))
+    two = b.select(*(F.col(c).alias(f"_t_{i}") for i, c in enumerate(columns))).distinct().withColumn("_b", F.lit(1))
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_t_{i}")) for i, c in enumerate(columns)))
+    got = one.join(two, same, "full").agg(F.count("_a").alias("a"), F.count("_b").alias("b"), F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("both")).first()
+    if not got["both"]:
+        return "disjoint"
+    return {(True, True): "equal", (True, False): "subset", (False, True): "superset"}.get((got["both"] == got["a"], got["both"] == got["b"]), "overlap")
+
+
 def radius_search(
     pts: DataFrame, r, c=(), stat="sum", *, x: str = "x", y: str = "y", pid: str = "pid", exclude_self: bool = False,
     pts_target: DataFrame | None = None, x_tgt: str | None = None, y_tgt: str | None = None, suffix: str | None = None,
@@ -70,8 +225,10 @@ def radius_search(
 ) -> DataFrame:
     """``pts`` with a column for each value column, statistic and radius, band or weighted band sum.
 
-    pid: unique id of the points. share: (pid, share) of each disk inside the study area; counts and sums are divided by it
-    (NaN if 0).  NaN values spread to the sums they belong to; null values count as NaN.
+    pid: unique id of the points.  exclude_self: a point's own values don't count; with a target only if every point is one of
+    the target's rows (coordinates and values), else a warning.  share: pid and _share_k for the k-th distinct radius over 0,
+    the part of each disk inside the study area; counts and sums are divided by it (NaN if 0).  NaN values spread to the sums they belong
+    to; a column with nulls is taken as double, and its nulls as NaN.  Points without coordinates have no neighbours.
     """
     radii, stats = parse_r(r), [stat_name(s) for s in ([stat] if isinstance(stat, str) else stat)]
     c = [c] if isinstance(c, str) else list(c)
@@ -79,79 +236,74 @@ def radius_search(
         c, stats = ["count"], ["count"]
     if len(stats) > 1 and "band" in radii.kind:
         raise ValueError("several statistics and bands can't be combined")
-    self_search = pts_target is None
-    target = pts if self_search else pts_target
+    target = pts if pts_target is None else pts_target
     x_tgt, y_tgt = x_tgt or x, y_tgt or y
     values = [v for v in c if v != "count" or v in target.columns]
     _needed([pid, x, y], pts.columns, "pts")
     _needed([x_tgt, y_tgt, *values], target.columns, "target")
+    own = exclude_self
+    if own and pts_target is not None:
+        shared = [v for v in values if v in pts.columns]
+        named = target.select(F.col(x_tgt).alias(x), F.col(y_tgt).alias(y), *(v for v in shared if v not in (x, y)))
+        own = len(shared) == len(values) and contained(pts, named, list(dict.fromkeys([x, y, *shared])))
+        if not own:
+            warnings.warn("exclude_self: not every point is one of the target's; own values stay", stacklevel=2)
     names = [column_name(v, s, radii, k, suffix) for v in c for s in stats for k in range(len(radii.items))]
     if radii.kind == "wbands":
-        names = [f"{v}{suffix}" if suffix else f"{v}_{_short(stats[0])}_wgt" for v in c]
+        names = [f"{v}{suffix}" if suffix else f"{v}_{STATS[stats[0]]}_wgt" for v in c]
     if clash := [n for n in names if n in pts.columns]:
         if not overwrite:
             raise ValueError(f"columns exist: {', '.join(clash)}; pass overwrite=True")
         pts = pts.drop(*clash)
     top = max(POWERS[s] for s in stats)
-    power = {v: [_power(F.col(f"_t_{v}"), p) for p in range(1, top + 1)] for v in values}
-    whole = {v: target.schema[v].dataType.typeName() in ("byte", "short", "integer", "long") for v in values}
-    clean = target.select(x_tgt, y_tgt, *(F.col(v).cast("long") if whole[v] else F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias(v) for v in values))
-    distinct = [d for d in radii.distinct]
-    sums = []
-    for k, d in enumerate(distinct):
-        inside = (F.col("_d2") <= F.lit(d) * F.lit(d)) & (F.lit(True) if d else (F.col("_d2") == 0))
-        sums.append(F.count(F.when(inside, 1)).alias(f"_n_{k}"))
-        sums += [F.sum(F.when(inside, q)).alias(f"_s_{k}_{p}_{i}") for i, v in enumerate(values) for p, q in enumerate(power[v])]
-    if distinct[-1] == 0:
-        distinct_r = 1.0
-        pairs = neighbours(pts.select(pid, x, y), clean, distinct_r, x, y, x_tgt, y_tgt).where("_d2 = 0")
-    else:
-        pairs = neighbours(pts.select(pid, x, y), clean, distinct[-1], x, y, x_tgt, y_tgt)
-    found = pts.join(pairs.groupBy(pid).agg(*sums), pid, "left")
+    distinct = radii.distinct
+    most = distinct[-1] or 1.0
+    summed = values if top else []
+    look = look_at(target, most, x_tgt, y_tgt, summed)
+    if missing := [v for v in summed if look.values[v][0]]:
+        warnings.warn(f"nulls or NaN in {', '.join(missing)}", stacklevel=2)
+    whole = {v: v not in missing and target.schema[v].dataType.typeName() in ("byte", "short", "integer", "long") for v in summed}
+    shift = {v: look.shift(v, whole[v], top) for v in summed}
+    number = lambda v: F.col(v).cast("long") if whole[v] else F.coalesce(F.col(v).cast("double"), F.lit(float("nan")))
+    clean = target.select(F.col(x_tgt).alias("_qx"), F.col(y_tgt).alias("_qy"), *(number(v).alias(f"_v{i}") for i, v in enumerate(summed)))
+    reach = distinct if distinct[-1] else [*distinct, most]  # only coincident points: a search radius all the same
+    found = disk_sums(pts, clean, reach, [f"_v{i}" for i in range(len(summed))], top, x=x, y=y, pid=pid, x_tgt="_qx", y_tgt="_qy", look=look, shifts=tuple(shift.values()))
     if share is not None:
-        found = found.join(share.select(pid, F.col("share").alias("_share")), pid, "left")
-    weigh = (lambda q: q / F.when(F.col("_share") > 0, F.col("_share"))) if share is not None else (lambda q: q)
-
-    def sums_at(k: int, i: int, v: str, raw: bool = False) -> tuple[Column, list[Column]]:
-        own = exclude_self and self_search
-        n = F.coalesce(F.col(f"_n_{k}"), F.lit(0)) - (1 if own else 0)
-        if v not in values:
-            return (n if raw else weigh(n)), []
-        mine = F.col(v).cast("long" if whole[v] else "double")
-        s = [F.coalesce(F.col(f"_s_{k}_{p}_{i}"), F.lit(0)) - (_power(mine, p + 1) if own else F.lit(0)) for p in range(top)]
-        return (n, s) if raw else (weigh(n), [weigh(q) for q in s])
+        found = found.join(share, pid, "left")
+    weighted = {d: f"_share_{k}" for k, d in enumerate([d for d in distinct if d > 0])} if share is not None else {}
+
+    def sums_at(k: int, d: float, v: str, raw: bool = False) -> tuple[Column, list[Column]]:
+        weigh = (lambda q: q / F.when(F.col(weighted[d]) > 0, F.col(weighted[d]))) if d in weighted and not raw else (lambda q: q)
+        n = F.col(f"_n_{k}") - (1 if own else 0)
+        if v not in summed:
+            return weigh(n), []
+        i, mine = summed.index(v), _powers(number(v), top, shift[v]) if own else []
+        return weigh(n), [weigh(F.col(f"_s_{k}_{p}_{i}") - mine[p] if own else F.col(f"_s_{k}_{p}_{i}")) for p in range(top)]
 
     out: dict[str, Column] = {}
     for v in c:
-        i = values.index(v) if v in values else 0
         for s in stats:
-            at = {d: statistic(s, *sums_at(k, i, v)) for k, d in enumerate(distinct)}
+            at = {d: statistic(s, *sums_at(k, d, v), shift.get(v, 0)) for k, d in enumerate(distinct)}
+            raw = {d: statistic(s, *sums_at(k, d, v, True), shift.get(v, 0)) for k, d in enumerate(distinct)}
             if "band" in radii.kind:
                 parts = [at[b] - (at[a] if a > 0 else F.lit(0)) for a, b, _ in radii.items]
                 if radii.kind == "bands":
                     out |= {column_name(v, s, radii, k, suffix): q for k, q in enumerate(parts)}
                 else:
-                    name = f"{v}{suffix}" if suffix else f"{v}_{_short(s)}_wgt"
+                    name = f"{v}{suffix}" if suffix else f"{v}_{STATS[s]}_wgt"
                     out[name] = reduce(lambda p, q: p + q, (F.lit(w) * q for q, (_, _, w) in zip(parts, radii.items, strict=True)))
             else:
                 out |= {column_name(v, s, radii, k, suffix): at[b] for k, (_, b, _) in enumerate(radii.items)}
                 if keep_raw and share is not None:
-                    out |= {f"{column_name(v, s, radii, k, suffix)}_raw": statistic(s, *sums_at(distinct.index(b), i, v, True)) for k, (_, b, _) in enumerate(radii.items)}
-    if share is not None:
-        out["valid_area_share_" + "_".join(f"{b:g}" for _, b, _ in radii.items)] = F.col("_share")
+                    out |= {f"{column_name(v, s, radii, k, suffix)}_raw": raw[b] for k, (_, b, _) in enumerate(radii.items)}
+    out |= {f"valid_area_share_{d:g}": F.col(q) for d, q in weighted.items()}
     return found.select(*(F.col(n) for n in pts.columns), *(q.alias(n) for n, q in out.items()))
 
 
-def _short(stat: str) -> str:
-    from radspark.plans.spec import STATS
-
-    return STATS[stat]
-
-
 def same_place(pts: DataFrame, c: str, stat: str = "sum", *, x: str = "x", y: str = "y", exclude_self: bool = False) -> DataFrame:
     """Radius 0: sum, count or mean over the points at exactly the same place; moment statistics are 0."""
     stat, here = stat_name(stat), Window.partitionBy(x, y)
     own = (F.lit(1), F.col(c)) if exclude_self else (F.lit(0), F.lit(0))
     n, s = F.count("*").over(here) - own[0], F.sum(c).over(here) - own[1]
     value = {"sum": s, "count": n, "mean": F.coalesce(s / F.when(n > 0, n), F.lit(0.0))}.get(stat, F.lit(0.0))
-    return pts.withColumn(f"{c}_{_short(stat)}_0", value)
+    return pts.withColumn(f"{c}_{STATS[stat]}_0", value)

@@ -8,20 +8,36 @@ from pyspark.sql import functions as F
 from radspark import api
 from radspark.functions.geometry import hull_of, inside, utm
 from radspark.operators import clusters, detect
-from radspark.operators.study_area import area_share, cell_share, frame_cells, study_area
+from radspark.operators.study_area import area_share, shares, study_area
 from radspark.plans import grid as grids
 from radspark.plans.spec import STATS
-from radspark.sources.points import points, regular_null_points
+from radspark.sources.points import points
 
 R, CELL = 500, 166
-NULL_BOUNDS, NULL_N = (0, 1, 43197, 49002), 2000
+#: Null points of the detection queries, and draws among which SQL looks for as many inside the default study area.
+NULL_N, DRAWS = detect.NULL_POINTS, 3_000_000
 RING = [(2000.0, 1000.0), (30000.0, 3000.0), (38000.0, 20000.0), (20000.0, 12000.0), (5000.0, 30000.0)]
 
 # The point views in DuckDB's SQL.
 EVENTS = "events_pts as (select event_id as pid, cast(trunc(epoch_us(ts) / 60e6 - 28401120) as bigint) as x, cast(round(value * 100) as bigint) as y, user_id as v from events)"
 ORDERS = "orders_pts as (select o_orderkey as pid, cast(floor(o_totalprice / 10) as bigint) as x, cast(date_diff('day', date '1995-01-01', cast(o_orderdate as date)) * 20 as bigint) as y, o_custkey as v from orders)"
 PART = "part_pts as (select p_partkey as pid, cast(round(p_retailprice * 10) as bigint) as x, cast(p_size * 20 as bigint) as y, cast(p_size as bigint) as v from part)"
-NULLS = f"nulls as (select i as pid, i * 7919 % {NULL_BOUNDS[2] - NULL_BOUNDS[0] + 1} + {NULL_BOUNDS[0]} as x, i * 104729 % {NULL_BOUNDS[3] - NULL_BOUNDS[1] + 1} + {NULL_BOUNDS[1]} as y from range({NULL_N}) t(i))"
+
+
+def _draws(n: int) -> str:
+    digits = lambda axis: f"('0x' || substr(md5('0{axis}' || i), 1, 13))::bigint::double / 4503599627370496::double"
+    return (
+        "box as (select min(x)::double as a, max(x)::double as c, min(y)::double as b, max(y)::double as d from events_pts), "
+        f"draws as (select i as pid, a + {digits('x')} * (c - a) as x, b + {digits('y')} * (d - b) as y from range({n}) t(i), box)"
+    )
+
+
+NULLS = _draws(NULL_N) + ", nulls as (select * from draws)"
+#: Draws in the cells of events, widened by a cell on each side as the sampler's box is.
+NULLS_IN_CELLS = _draws(DRAWS).replace("min(x)::double as a, max(x)::double as c, min(y)::double as b, max(y)::double as d", "min(x)::double - {s} as a, max(x)::double + {s} as c, min(y)::double - {s} as b, max(y)::double + {s} as d").format(s="166::double") + (
+    ", o as (select min(x) as x0, min(y) as y0 from events_pts), full_cells as (select distinct floor((x - x0) / 166::double) as c, floor((y - y0) / 166::double) as r from events_pts, o), "
+    "nulls as (select pid, x, y from draws, o where exists (select 1 from full_cells where c = floor((x - x0) / 166::double) and r = floor((y - y0) / 166::double)) order by pid limit " + str(NULL_N) + ")"
+)
 
 
 def pairs(source: str = "events_pts", target: str = "events_pts", r: int = R, name: str = "near") -> str:
@@ -128,24 +144,39 @@ def sparse_grid(spark, d) -> DataFrame:
     return grids.sparse_grid(grids.cell_aggregate(pts, g, "v"), labelled).select("row", "col", "v", "cluster_id")
 
 
-def _nulls(spark):
-    return regular_null_points(spark, NULL_N, NULL_BOUNDS)
-
-
 def null_thresholds(spark, d) -> DataFrame:
-    found = api.radius_search(_nulls(spark).withColumnRenamed("nid", "pid"), R, "v", "sum", pts_target=points(spark, d, "events"))
-    return detect.thresholds(found, [f"v_sum_{R}"], 99.5).withColumnRenamed(f"v_sum_{R}", "threshold")
+    found = detect.detect(points(spark, d, "events"), R, "v", area="bbox").thresholds
+    return found.select("threshold")
 
 
 def detect_pts(spark, d) -> DataFrame:
-    return api.detect_cluster_pts(points(spark, d, "events"), _nulls(spark), R, "v").select("pid", f"v_sum_{R}", f"v_cluster_sum_{R}")
+    return api.detect_cluster_pts(points(spark, d, "events"), R, "v", study_area="bbox").select("pid", f"v_sum_{R}", f"v_cluster_sum_{R}")
+
+
+def detect_default(spark, d) -> DataFrame:
+    return api.detect_cluster_pts(points(spark, d, "events"), R, "v", cell_size=CELL).select("pid", f"v_sum_{R}", f"v_cluster_sum_{R}")
 
 
 def detect_pts_bands(spark, d) -> DataFrame:
-    found = api.detect_cluster_pts(points(spark, d, "events"), _nulls(spark), [(0, 250), (250, 500)], "v", exclude_self=False)
+    found = api.detect_cluster_pts(points(spark, d, "events"), [(0, 250), (250, 500)], "v", study_area="bbox", exclude_self=False)
     return found.select("pid", "v_sum_0_250_cluster", "v_sum_250_500_cluster")
 
 
+def detect_weighted(spark, d) -> DataFrame:
+    found = api.detect_cluster_pts(points(spark, d, "events"), R, [], study_area="bbox", area_weight="exact")
+    return found.select("pid", F.round(f"count_cnt_{R}", 6).alias("weighted"))
+
+
+def radius_weighted(spark, d) -> DataFrame:
+    found = api.radius_search(points(spark, d, "events"), [250, 500], "v", ["sum", "mean"], study_area="bbox", area_weight="exact")
+    return found.select("pid", *(F.round(c, 5).alias(c) for c in ("v_sum_250", "v_sum_500", "v_avg_250", "v_avg_500")))
+
+
+def radius_target_exclude_self(spark, d) -> DataFrame:
+    pts = points(spark, d, "events")
+    return api.radius_search(pts.where("pid % 3 = 0"), R, "v", "sum", pts_target=pts, exclude_self=True).select("pid", f"v_sum_{R}")
+
+
 def study_bbox(spark, d) -> DataFrame:
     area = study_area(points(spark, d, "orders"), R, "bbox,buffer=100")
     return area.inside(points(spark, d, "events")).select("pid")
@@ -179,12 +210,16 @@ def weight_exact(spark, d) -> DataFrame:
     return area_share(pts, R, study_area(pts, R, "bbox")).select("pid", F.round("share", 9).alias("share"))
 
 
+def weight_cells(spark, d) -> DataFrame:
+    pts = points(spark, d, "events")
+    area = study_area(points(spark, d, "orders"), R, "cells,min_pts=1", 1000)
+    return area_share(pts, R, area).select("pid", F.round("share", 9).alias("share"))
+
+
 def _weight(variant: str):
     def query(spark, d):
         pts = points(spark, d, "events")
-        area, g = study_area(pts, R, "bbox"), grids.build_grid(pts, R // 2)
-        found = cell_share(pts, R, frame_cells(spark, area.bounds, g, R), g, variant)
-        return found.select("pid", F.round("share", 9).alias("share"))
+        return shares(pts, [R], study_area(pts, R, "bbox"), variant).select("pid", F.round("_share_0", 9).alias("share"))
 
     return query
 
@@ -195,7 +230,8 @@ def convex_hull(spark, d) -> DataFrame:
 
 
 def cluster_cells(spark, d) -> DataFrame:
-    return api.detect_cluster_cells(points(spark, d, "events"), _nulls(spark), R, "v", cell_size=CELL, merge_dist=(None, 2.0 * CELL))[1]
+    found = api.detect_cluster_cells(points(spark, d, "events"), R, "v", study_area="bbox", cell_size=CELL, merge_dist=(None, 2.0 * CELL))
+    return found.clusters[f"v_cluster_sum_{R}"]
 
 
 def _with(*parts: str) -> str:
@@ -232,7 +268,24 @@ def _utm_sql() -> str:
     ) + f"select pid, round({EASTING}::double + {K0 * a!r}::double * ({east}), 3) as east, round({K0 * a!r}::double * ({up}), 3) as north from ab"
 
 
-def _weight_sql(weigh: str) -> str:
+#: Share of a disk inside a box around its centre: segments beyond each side, less the corners beyond two of them.
+BOX_SHARE = (
+    "box as (select min(x) as a, max(x) as c, min(y) as b, max(y) as d from events_pts), "
+    "sides as (select pid, r, least(r, x - a)::double as h1, least(r, y - b)::double as h2, least(r, c - x)::double as h3, least(r, d - y)::double as h4 from events_pts, box, (values (250), (500)) t(r)), "
+    "cut as (select pid, r, "
+    + " + ".join(f"r * r * acos({h} / r) - {h} * sqrt(r * r - {h} * {h})" for h in ("h1", "h2", "h3", "h4"))
+    + " as segments, "
+    + " + ".join(
+        f"case when {p} * {p} + {q} * {q} < r * r then (sqrt(r * r - {q} * {q}) * {q} + r * r * asin(sqrt(r * r - {q} * {q}) / r) - {p} * sqrt(r * r - {p} * {p}) - r * r * asin({p} / r)) / 2 - {q} * (sqrt(r * r - {q} * {q}) - {p}) else 0 end"
+        for p, q in (("h1", "h2"), ("h2", "h3"), ("h3", "h4"), ("h4", "h1"))
+    )
+    + " as corners from sides), "
+    "shares as (select pid, r, 1 - (segments - corners) / (pi() * r * r) as share from cut)"
+)
+
+
+def _weight_sql(lost: str) -> str:
+    """The valid share of each cell of size r / 2 around the box; q and b by spacing over radius, 0.5."""
     s, n = R // 2, "(select min(x) as a, max(x) as c, min(y) as b, max(y) as d from events_pts)"
     span = f"greatest(0.0::double, least({{1}}::double, {{0}} + k * {s} + {s}) - greatest({{0}}::double, {{0}} + k * {s})) as part, {{0}} + (k + 0.5::double) * {s} as mid, k"
     line = lambda lo, hi: f"select {span.format(lo, hi)} from box, unnest(range(-3, cast(floor(({hi} - {lo}) / {s}.0) as bigint) + 4)) t(k)"
@@ -240,12 +293,34 @@ def _weight_sql(weigh: str) -> str:
         EVENTS,
         f"box as {n}",
         f"cells as (select w.mid as mx, h.mid as my, w.part * h.part / {s * s}.0::double as valid from ({line('a', 'c')}) w, ({line('b', 'd')}) h where w.part * h.part / {s * s}.0::double < 1)",
-        "met as (select pid, abs(x - mx) as dx, abs(y - my) as dy, valid from events_pts, cells)",
-        f"touched as (select *, power(dx + {s / 2}, 2) + power(dy + {s / 2}, 2) <= {R * R} as within from met where power(greatest(dx - {s / 2}, 0), 2) + power(greatest(dy - {s / 2}, 0), 2) <= {R * R})",
-        f"bad as (select pid, sum(case when within then 1 - valid else {weigh} end * {s * s}) as bad from touched group by pid)",
+        "k as (select 1 / (0.70628102::double + exp(0.57266908::double * -1.5)) as q, 1 / (-0.21443453::double + exp(0.76899004::double * -1.5)) as b, (select avg(valid) from cells where valid > 0) as border, (select avg(valid) from cells) as every)",
+        f"met as (select pid, abs(x - mx) as dx, abs(y - my) as dy, {lost} as lost, q, b from events_pts, cells, k)",
+        f"touched as (select *, power(dx + {s / 2}, 2) + power(dy + {s / 2}, 2) <= {R * R} as held, 1 - 1 / (1 + q * exp(-b * (sqrt(dx * dx + dy * dy) / {R} - 1))) as soft from met where power(greatest(dx - {s / 2}, 0), 2) + power(greatest(dy - {s / 2}, 0), 2) <= {R * R})",
+        f"bad as (select pid, sum(lost * case when held then 1 else soft end * {s * s}) as bad from touched group by pid)",
     ) + f"select pid, round(greatest(0.0::double, 1 - coalesce(bad, 0) / (pi() * {R * R})), 9) as share from events_pts left join bad using (pid)"
 
 
+#: Part of a disk left of u and below v of its centre, both between -r and r. A cell's part comes from its four corners.
+_QUADRANT = (
+    "case when u <= -r or v <= -r then 0 when u * u + v * v < r * r then u * v + (u * sqrt(r * r - u * u) + r * r * asin(u / r) + v * sqrt(r * r - v * v) + r * r * asin(v / r)) / 2 + pi() * r * r / 4 "
+    "when u <= 0 and v <= 0 then 0 when u > 0 and v > 0 then pi() * r * r - (case when u < r then r * r * acos(u / r) - u * sqrt(r * r - u * u) else 0 end) - (case when v < r then r * r * acos(v / r) - v * sqrt(r * r - v * v) else 0 end) "
+    "when u <= 0 then r * r * acos(-u / r) + u * sqrt(r * r - u * u) else r * r * acos(-v / r) + v * sqrt(r * r - v * v) end"
+)
+
+
+def _weight_cells_sql() -> str:
+    corner = f"corner as (select pid, row, col, sign, {_QUADRANT} as part from (select pid, row, col, sign, {R}::double as r, least({R}::double, greatest(-{R}::double, u)) as u, least({R}::double, greatest(-{R}::double, v)) as v from spots) t)"
+    return _with(
+        EVENTS, ORDERS,
+        "o as (select min(x) as x0, min(y) as y0 from orders_pts)",
+        "cells as (select distinct cast(floor((x - x0) / 1000.0::double) as bigint) as col, cast(floor((y - y0) / 1000.0::double) as bigint) as row from orders_pts, o)",
+        "own as (select pid, x, y, x0, y0, cast(floor((x - x0) / 1000.0::double) as bigint) as c0, cast(floor((y - y0) / 1000.0::double) as bigint) as r0 from events_pts, o)",
+        "met as (select pid, row, col, x0 + col * 1000 - x as u0, y0 + row * 1000 - y as v0 from own, (values (-1), (0), (1)) i(i), (values (-1), (0), (1)) j(j), cells where row = r0 + i and col = c0 + j)",
+        "spots as (select pid, row, col, k.sign, (u0 + 1000 * k.a)::double as u, (v0 + 1000 * k.b)::double as v from met, (values (0, 0, 1), (1, 0, -1), (0, 1, -1), (1, 1, 1)) k(a, b, sign))",
+        corner,
+    ) + f"select e.pid, round(least(1.0::double, greatest(0.0::double, coalesce(sum(sign * part), 0) / (pi() * {R * R}))), 9) as share from events_pts e left join corner using (pid) group by e.pid"
+
+
 def queries() -> dict:
     found = {f"radius_{s}": _stat(s) for s in STATS}
     found |= {
@@ -253,6 +328,7 @@ def queries() -> dict:
         "radius_list": radius_list, "radius_bands": radius_bands, "radius_wbands": radius_wbands, "radius_r0": radius_r0,
         "cells_sum": _cells("sum"), "cells_mean": _cells("mean"), "cells_count": _cells("count"), "aggregate_to_grid_median": grid_median,
         "sparse_grid": sparse_grid, "full_grid": full_grid, "null_thresholds": null_thresholds, "detect_pts": detect_pts, "detect_pts_bands": detect_pts_bands,
+        "detect_default": detect_default, "detect_weighted": detect_weighted, "radius_weighted": radius_weighted, "radius_target_exclude_self": radius_target_exclude_self, "weight_cells": weight_cells,
         "study_bbox": study_bbox, "study_cells_members": study_cells_members, "study_buffer_points": study_buffer_points, "polygon_filter": polygon_filter,
         "seed_cells": seed_cells, "contiguity_components": contiguity_components, "cluster_table": cluster_table, "spatial_stats": spatial_stats,
         "utm_forward": utm_forward, "weight_exact": weight_exact, "weight_binary": _weight("binary"), "weight_flat": _weight("flat"), "weight_logit": _weight("logit"), "convex_hull": convex_hull, "cluster_cells": cluster_cells,
@@ -267,6 +343,7 @@ def oracle_sql() -> dict[str, str]:
     at = lambda r: f"cast(coalesce(sum(v) filter (d2 <= {r * r}), 0) as bigint)"
     null = _with(EVENTS, NULLS, pairs("nulls"))
     null_sums = null + ", at_null as (select n.pid, {} from nulls n left join near using (pid) group by n.pid) "
+    seen_sum = f", real_near as (select s.pid, sum(t.v) - s.v as a from events_pts s join events_pts t on t.x between s.x - {R} and s.x + {R} and (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= {R * R} group by s.pid, s.v) select pid, cast(a as bigint) as v_sum_{R}, a > (select quantile_cont(cast(v as double), 0.995) from at_null) as v_cluster_sum_{R} from real_near"
     found |= {
         "radius_multi_stat": near + f"select pid, s1 as v_sum_{R}, m1 as v_avg_{R}, m2 as v_var_{R} from central",
         "radius_two_columns": _with(EVENTS) + f"select s.pid, cast(sum(t.v) as bigint) as v_sum_{R}, cast(sum(t.x % 10) as bigint) as w_sum_{R} from events_pts s join events_pts t on t.x between s.x - {R} and s.x + {R} and (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= {R * R} group by s.pid",
@@ -286,7 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "contiguity_components": _with(EVENTS, _sql_cells(), SEEDS, REACH) + "select row, col, component from parts",
         "cluster_table": _with(EVENTS, _sql_cells(), SEEDS, REACH) + "select component, cast(sum(total) as bigint) as total, count(*) as n_cells from parts join seeds using (row, col) group by component having sum(total) >= 0.5 * (select max(total) from seeds)",
         "null_thresholds": null_sums.format(f"{at(500)} as v") + "select quantile_cont(cast(v as double), 0.995) as threshold from at_null",
-        "detect_pts": null_sums.format(f"{at(500)} as v") + f", real_near as (select s.pid, sum(t.v) - s.v as a from events_pts s join events_pts t on t.x between s.x - {R} and s.x + {R} and (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) <= {R * R} group by s.pid, s.v) select pid, cast(a as bigint) as v_sum_{R}, a > (select quantile_cont(cast(v as double), 0.995) from at_null) as v_cluster_sum_{R} from real_near",
+        "detect_pts": null_sums.format(f"{at(500)} as v") + seen_sum,
         "detect_pts_bands": null_sums.format(f"{at(250)} as a, {at(500)} - {at(250)} as b") + f", {pairs(name='real_near')}, seen as (select pid, {at(250)} as a, {at(500)} - {at(250)} as b from real_near group by pid) select pid, a > (select quantile_cont(cast(a as double), 0.995) from at_null) as v_sum_0_250_cluster, b > (select quantile_cont(cast(b as double), 0.995) from at_null) as v_sum_250_500_cluster from seen",
         "study_bbox": _with(EVENTS, ORDERS) + "select pid from events_pts where x between (select min(x) - 100 from orders_pts) and (select max(x) + 100 from orders_pts) and y between (select min(y) - 100 from orders_pts) and (select max(y) + 100 from orders_pts)",
         "study_cells_members": _with(EVENTS, ORDERS, "o as (select min(x) as x0, min(y) as y0 from orders_pts)", f"full_cells as (select floor((x - x0) / {float(CELL)}) as c, floor((y - y0) / {float(CELL)}) as r from orders_pts, o group by 1, 2 having count(*) >= 2)") + f"select pid from events_pts, o where exists (select 1 from full_cells where c = floor((x - x0) / {float(CELL)}) and r = floor((y - y0) / {float(CELL)}))",
@@ -294,8 +371,14 @@ def oracle_sql() -> dict[str, str]:
         "polygon_filter": _with(EVENTS) + "select pid from events_pts where (" + " + ".join(_cross(*p, *q) for p, q in zip(RING, [*RING[1:], RING[0]], strict=True)) + ") % 2 = 1",
         "spatial_stats": _with(EVENTS, _sql_cells(size=1000), "n as (select count(*) as n from cells group by row, col)") + "select (select count(*) from events_pts) as n_points, (select min(x) from events_pts) as xmin, (select max(x) from events_pts) as xmax, (select min(y) from events_pts) as ymin, (select max(y) from events_pts) as ymax, count(*) as n_cells, quantile_cont(cast(n as double), 0.9) as p90, max(n) as most from n",
         "utm_forward": _utm_sql(),
-        "weight_binary": _weight_sql("0.5::double"),
-        "weight_flat": _weight_sql("1 - valid"),
-        "weight_logit": _weight_sql(f"(1 - valid) * (1 - 1 / (1 + exp(-8.0::double * (sqrt(dx * dx + dy * dy) / {R} - 1))))"),
+        "weight_binary": _weight_sql("1 - every"),
+        "weight_flat": _weight_sql("case when valid > 0 then 1 - border else 1 end"),
+        "weight_logit": _weight_sql("1 - valid"),
+        "weight_exact": _with(EVENTS, BOX_SHARE) + f"select pid, round(share, 9) as share from shares where r = {R}",
+        "weight_cells": _weight_cells_sql(),
+        "detect_default": _with(EVENTS, NULLS_IN_CELLS, pairs("nulls")) + ", at_null as (select n.pid, " + at(500) + " as v from nulls n left join near using (pid) group by n.pid) " + seen_sum,
+        "detect_weighted": _with(EVENTS, pairs(), BOX_SHARE) + f"select pid, round((count(*) - 1) / any_value(share), 6) as weighted from near join shares using (pid) where r = {R} group by pid",
+        "radius_weighted": _with(EVENTS, pairs(), BOX_SHARE) + ", s as (select pid, any_value(share) filter (r = 250) as a, any_value(share) filter (r = 500) as b from shares group by pid), t as (select pid, " + f"{at(250)} as v1, {at(500)} as v2, count(*) filter (d2 <= 62500) as n1, count(*) as n2 from near group by pid) select pid, round(v1 / a, 5) as v_sum_250, round(v2 / b, 5) as v_sum_500, round(v1 / n1, 5) as v_avg_250, round(v2 / n2, 5) as v_avg_500 from t join s using (pid)",
+        "radius_target_exclude_self": _with(EVENTS, pairs()) + f"select e.pid, cast(sum(n.v) - any_value(e.v) as bigint) as v_sum_{R} from events_pts e join near n using (pid) where e.pid % 3 = 0 group by e.pid",
     }
     return found

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids of one call of a generator of coordinates.
+CHUNK = 10_000
+
 # SQL of the integer point views.
 VIEWS = {
     "events": "select event_id as pid, cast(timestampdiff(MINUTE, timestamp_ntz'2024-01-01 00:00:00', ts) as bigint) as x, cast(round(value * 100) as bigint) as y, user_id as v from {t}",
@@ -18,24 +23,40 @@ def points(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.sql(VIEWS[table].replace("{t}", "{df}"), df=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
-def regular_null_points(spark: SparkSession, n: int, bounds: tuple[int, int, int, int]) -> DataFrame:
-    """nid, x, y by integer arithmetic: the same in every engine."""
-    a, b, c, d = bounds
-    return spark.range(n).select(
-        F.col("id").alias("nid"), (F.lit(a) + F.col("id") * 7919 % (c - a + 1)).alias("x"), (F.lit(b) + F.col("id") * 104729 % (d - b + 1)).alias("y")
-    )
+def uniform(seed: int, what: str, salt: str = "") -> Column:
+    """A number in [0, 1) from md5(seed, salt, what): the same for the same id, whatever the partitions or the engine."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}{salt}"), F.col(what).cast("string"))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
+
 
+def random_points(spark: SparkSession, n: int, area, seed: int = 0, generator=None) -> DataFrame:
+    """nid, x, y: the first n of the draws with ids 0, 1, ... that lie in the study area; n rows.
 
-def random_points(spark: SparkSession, n: int, area, seed: int = 0) -> DataFrame:
-    """nid, x, y uniform in a study area: draws from its bounding box, more of them until n are inside."""
-    a, b, c, d = area.bounds
-    more = 2
+    Draws are uniform in the area's bounding box, by ``uniform``.  generator: (m, rng) gives m rows of x, y instead; it is
+    called for each ``CHUNK`` ids with a generator seeded by (seed, chunk), so that draws don't depend on partitions.
+    """
+    a, b, c, d = map(float, area.bounds)
+    many = n
     for _ in range(12):
-        drawn = spark.range(n * more).select(
-            F.col("id").alias("nid"), (F.lit(float(a)) + F.rand(seed) * float(c - a)).alias("x"), (F.lit(float(b)) + F.rand(seed + 1) * float(d - b)).alias("y")
-        )
+        if generator is None:
+            drawn = spark.range(many).select(
+                F.col("id").alias("nid"), (F.lit(a) + uniform(seed, "id", "x") * F.lit(c - a)).alias("x"), (F.lit(b) + uniform(seed, "id", "y") * F.lit(d - b)).alias("y")
+            )
+        else:
+            drawn = _generated(spark, -(-many // CHUNK), seed, generator)
         inside = area.inside(drawn)
-        if inside.count() >= n:
+        found = inside.count()
+        if found >= n:
             return inside.orderBy("nid").limit(n)
-        more *= 2
+        many = int(min(many * 64, many * n / found * 1.1 + 1000)) if found else many * 16
     raise ValueError("the study area is too small a part of its bounding box")
+
+
+def _generated(spark: SparkSession, chunks: int, seed: int, generator) -> DataFrame:
+    def run(frames):
+        for f in frames:
+            for k in f["id"]:
+                xy = np.asarray(generator(CHUNK, np.random.default_rng((seed, int(k)))), float)
+                yield pd.DataFrame({"nid": np.arange(CHUNK) + int(k) * CHUNK, "x": xy[:, 0], "y": xy[:, 1]})
+
+    return spark.range(chunks).mapInPandas(run, "nid bigint, x double, y double")
