@@ -1,15 +1,21 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
-Terms are ASCII-folded words without outer punctuation and their first four and five bytes.  The vocabulary holds the
-``max_terms`` terms most associated with either label (z of the difference of document shares, at least ``least_z``); weights
-are (1 + log tf) * idf over the examples.  Examples are ordered by their strongest term and cut into blocks; for each term
-the index keeps postings by block and the block's largest weight.  A query visits blocks in order of the upper bound that
-these maxima give and stops when no other block can reach its k-th neighbour, so the neighbours are exact (ties: the earlier
-example).  The vote is the similarity-weighted share of toxic neighbours, pulled to 0 by one pseudo-neighbour, and a
-logistic map fitted on leave-one-out votes of the examples makes it a probability.
+Two indexes hold the same examples.  The first has every word of the examples (ASCII-folded, without outer punctuation), no
+vocabulary rule, weights (1 + log tf) * idf.  The second has the words and prefixes (first four and five bytes) most associated
+with either label (z of the difference of document shares, at least ``least_z``, ``max_terms`` of them): in long texts with a few
+telling words these find the neighbours that matter.  Examples are ordered by their strongest term and cut into blocks; for each
+term the index keeps its largest weight in each block.  A query visits only blocks whose upper bound, from these maxima, can
+reach its k-th neighbour, so neighbours are exact (ties: the earlier example).
+
+A vote is the share of toxic neighbours, weighted by 1 / (1.01 - similarity) in the first index and by similarity in the
+second, where one pseudo-neighbour pulls it to 0.  The nearer the nearest example of the first index comes (from ``FAR`` on),
+the more its vote counts; a copy of an example goes by that one alone.  A logistic map makes the vote a probability; it is
+fitted on votes of each fifth of the examples from indexes, vocabularies and idf of the other four.  Evidence are the ids of the nearest
+examples of the first index with a similarity of ``FAR`` or more, then of the second.
 
 Examples are at most ``max_rows`` labelled rows in hash order (bounded, and so is the index); all documents are scored,
-whole.  A text without vocabulary terms (null and empty ones too) has no neighbours and the score of vote 0.
+whole.  A text without words of the examples (null and empty ones too) has no neighbours and the score of vote 0; repeated
+rows are scored one by one; an empty table gives an empty result; without examples of both labels every score is their share.
 """
 
 from __future__ import annotations
@@ -22,13 +28,17 @@ from pyspark.sql import functions as F
 from radspark.llm import _text
 from radspark.llm.classifier import examples, logistic
 
-MAX_ROWS, MAX_TERMS, LEAST_Z, K, BLOCK = 6000, 4096, 4.0, 15, 64
+MAX_ROWS, MAX_TERMS, LEAST_Z, K, BLOCK = 6000, 4096, 6.0, 15, 64
+#: Similarity from which the first index's vote begins to count, and folds of the calibration.
+FAR, FOLDS = 0.5, 5
+#: Words in more than one of COMMON examples are kept as dense columns.
+COMMON = 32
 _OUTER = np.zeros(256, bool)
 _OUTER[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 
-def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit term) of each word and prefix of a slice."""
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, 64-bit term) of each word and then each prefix of a slice, and the number of words."""
     w = _text.Words(data, offsets, fold=True)
     s, e = w.start.copy(), w.end.copy()
     for _ in range(4):  # outer punctuation
@@ -41,7 +51,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         long = e - s > n
         rows.append(doc[long])
         codes.append(_text.mix(w.span(s[long], s[long] + n) + np.uint64(n)))
-    return np.concatenate(rows), np.concatenate(codes)
+    return np.concatenate(rows), np.concatenate(codes), len(s)
 
 
 def counted(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,10 +110,96 @@ class BlockMax:
         return ids, sims
 
 
+class AllWords:
+    """Exact top-k cosine over all words of the examples: dense columns for common words, postings for the others."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+        top = [int(t[np.argmax(w)]) if len(t) else n_terms for t, w in rows]
+        self.order = np.array(sorted(range(len(rows)), key=lambda i: (top[i], i)), np.int64)  # place -> example
+        self.n, self.block, self.blocks = len(rows), block, max(1, -(-len(rows) // block))
+        size = np.array([len(rows[i][0]) for i in self.order], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(rows[i][0] for i in self.order)])
+        weight = np.concatenate([np.zeros(0), *(rows[i][1] for i in self.order)]).astype(np.float32)
+        place = np.repeat(np.arange(self.n), size)
+        df = np.bincount(term, minlength=n_terms)
+        self.column = np.full(n_terms, -1)
+        common = np.flatnonzero(df * COMMON > self.n)
+        self.column[common] = np.arange(len(common))
+        many = self.column[term] >= 0
+        self.dense = np.zeros((self.blocks * block, len(common)), np.float32)
+        self.dense[place[many], self.column[term[many]]] = weight[many]
+        self.most = self.dense.reshape(self.blocks, block, len(common)).max(1)
+        term, place, weight = term[~many], place[~many], weight[~many]
+        by = np.lexsort((place, term))
+        self.place, self.weight = place[by], weight[by]
+        self.start = np.searchsorted(term[by], np.arange(n_terms + 1))
+        self.visited = 0
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, similarities) of the k nearest of each query with a similarity over 0, nearest first."""
+        out = []
+        for at in range(0, len(queries), 256):
+            out += self._some(queries[at : at + 256], k)
+        return out
+
+    def _some(self, queries, k: int):
+        m, width = len(queries), self.blocks * self.block
+        row = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in queries)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in queries)]).astype(np.float32)
+        many = self.column[term] >= 0
+        common = np.zeros((m, self.dense.shape[1]), np.float32)
+        common[row[many], self.column[term[many]]] = weight[many]
+        row, term, weight = row[~many], term[~many], weight[~many]
+        first, size = self.start[term], self.start[term + 1] - self.start[term]
+        post = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else first, size) + np.arange(int(size.sum()))
+        # a posting gives its exact part; a block's bound adds what its common words can give at most
+        score = np.bincount(np.repeat(row, size) * width + self.place[post], np.repeat(weight, size) * self.weight[post], m * width).reshape(m, width).astype(np.float32)
+        bound = score.reshape(m, self.blocks, self.block).max(2) + common @ self.most.T
+        queue = np.argsort(-bound, 1, kind="stable")
+        done = np.zeros((m, self.blocks), bool)
+        kth = np.zeros(m, np.float32)
+        for step in range(self.blocks):
+            block = queue[:, step]
+            need = bound[np.arange(m), block] >= np.maximum(kth - 1e-6, 1e-12)
+            if not need.any():
+                break
+            for b in np.unique(block[need]):
+                rows = np.flatnonzero(need & (block == b))
+                part = slice(b * self.block, (b + 1) * self.block)
+                score[rows, part] += common[rows] @ self.dense[part].T
+                done[rows, b] = True
+                self.visited += len(rows)
+            if step % 8 == 7 and self.n > k:
+                seen = np.where(np.repeat(done, self.block, 1), score, 0)
+                kth = np.partition(seen, width - k, 1)[:, width - k]
+        score[~np.repeat(done, self.block, 1)] = 0
+        found = []
+        cut = np.partition(score, width - k, 1)[:, width - k] if width > k else np.zeros(m, np.float32)
+        for i in range(m):
+            places = np.flatnonzero((score[i] >= cut[i] - 1e-6) & (score[i] > 0))
+            e, s = self.order[places], score[i, places].astype(float)
+            best = np.lexsort((e, -np.round(s, 6)))[:k]
+            found.append((e[best], s[best]))
+        return found
+
+
 def vote(sims: np.ndarray, y: np.ndarray) -> float:
     return float((sims * y).sum() / (sims.sum() + 0.05)) if len(sims) else 0.0
 
 
+def joint(all_words: tuple[np.ndarray, np.ndarray], tied: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> tuple[float, list[int]]:
+    """The vote of a query's neighbours (examples, similarities) in both indexes, and the examples that are its evidence."""
+    (e, s), (f, t) = all_words, tied
+    share, other = 0.0, vote(t, y[f])
+    if len(e):
+        share = min(1.0, max(0.0, (s[0] - FAR) / (1 - FAR)))
+        near = 1 / (1.01 - np.minimum(s, 1.0))
+        other = share * float((near * y[e]).sum() / near.sum()) + (1 - share) * other
+    close = e[s >= FAR].tolist()
+    return other, list(dict.fromkeys([*close, *f.tolist()]))[:3]
+
+
 def vectors(row: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     at = np.searchsorted(row, np.arange(n + 1))
     out = []
@@ -118,30 +214,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_terms
         for batch in batches:
             out = []
             for i, j, data, offsets in _text.slices(batch.column(2)):
-                row, code, tf = counted(*terms(data, offsets))
-                at = np.searchsorted(row, np.arange(j - i + 1))
-                out += [(code[a:b].tobytes(), tf[a:b].astype(np.int32).tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-            arrays = [batch.column(0), batch.column(1), *(pa.array([x[m] for x in out], pa.binary()) for m in (0, 1))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "y", "x", "tf"])
+                row, code, words = terms(data, offsets)
+                for a, b in ((0, words), (words, len(row))):
+                    r, c, tf = counted(row[a:b], code[a:b])
+                    at = np.searchsorted(r, np.arange(j - i + 1))
+                    out.append([(c[p:q].tobytes(), tf[p:q].astype(np.int32).tobytes()) for p, q in zip(at[:-1], at[1:], strict=True)])
+            words, prefixes = [x for part in out[::2] for x in part], [x for part in out[1::2] for x in part]
+            arrays = [batch.column(0), batch.column(1), *(pa.array([x[m] for x in some], pa.binary()) for some in (words, prefixes) for m in (0, 1))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "y", "x", "tf", "px", "ptf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = examples(docs, labels, label, max_rows).mapInArrow(take, f"doc_id {kind}, y int, x binary, tf binary").collect()
+    got = examples(docs, labels, label, max_rows).mapInArrow(take, f"doc_id {kind}, y int, x binary, tf binary, px binary, ptf binary").collect()
     got.sort(key=lambda g: (g["doc_id"], bytes(g["x"])))
-    return index(
-        [g["doc_id"] for g in got],
-        np.array([g["y"] for g in got], np.int64),
-        [np.frombuffer(g["x"], np.uint64) for g in got],
-        [np.frombuffer(g["tf"], np.int32) for g in got],
-        max_terms, least_z, k,
-    )
+    part = lambda c, t: [np.frombuffer(g[c], t) for g in got]
+    y = np.array([g["y"] for g in got], np.int64)
+    return index([g["doc_id"] for g in got], y, part("x", np.uint64), part("tf", np.int32), part("px", np.uint64), part("ptf", np.int32), max_terms, least_z, k)
 
 
-def index(ids: list, y: np.ndarray, x: list, tf: list, max_terms: int = MAX_TERMS, least_z: float = LEAST_Z, k: int = K) -> dict:
+def _indexes(y: np.ndarray, x: list, tf: list, px: list, ptf: list, max_terms: int, least_z: float) -> dict:
+    """Both indexes of some examples. px, ptf: prefixes and their counts."""
     n, n1 = len(y), int((y > 0).sum())
-    if not n or n1 in (0, n):
-        p = n1 / n if n else 0.0
-        return {"vocabulary": np.zeros(0, np.uint64), "idf": np.zeros(0), "a": 0.0, "b": float(np.log((p + 1e-9) / (1 - p + 1e-9))), "ids": ids, "y": y}
     row, code = np.repeat(np.arange(n), [len(c) for c in x]), np.concatenate(x)
+    words, number = np.unique(code, return_inverse=True)
+    idf = np.log((n + 1) / (np.bincount(number) + 1)) + 1
+    every = AllWords(vectors(row, number, np.concatenate(tf), idf, n), len(words))
+    both = [np.concatenate((a, b)) for a, b in zip(x, px, strict=True)]
+    row, code, count = np.repeat(np.arange(n), [len(c) for c in both]), np.concatenate(both), np.concatenate([np.concatenate((a, b)) for a, b in zip(tf, ptf, strict=True)])
     found, number = np.unique(code, return_inverse=True)
     df = np.bincount(number)
     df1 = np.bincount(number, y[row] > 0, len(df))
@@ -149,19 +247,65 @@ def index(ids: list, y: np.ndarray, x: list, tf: list, max_terms: int = MAX_TERM
     z = (df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)) + 1e-12)
     good = np.flatnonzero((np.abs(z) >= least_z) & (df >= 2))
     good = np.sort(good[np.lexsort((found[good], -np.abs(z[good])))[:max_terms]])
-    vocabulary, idf = found[good], np.log((n + 1) / (df[good] + 1)) + 1
+    vocabulary, tied_idf = found[good], np.log((n + 1) / (df[good] + 1)) + 1
     place = np.full(len(found), -1)
     place[good] = np.arange(len(good))
     keep = place[number] >= 0
-    rows = vectors(row[keep], place[number][keep], np.concatenate(tf)[keep], idf, n)
-    blocks = BlockMax(rows, len(good))
-    votes = np.zeros(n)
-    for i, (t, w) in enumerate(rows):
-        if len(t):
-            e, s = blocks.top(t, w, k, without=i)
-            votes[i] = vote(s, y[e])
+    order = np.lexsort((place[number][keep], row[keep]))
+    rows = vectors(row[keep][order], place[number][keep][order], count[keep][order], tied_idf, n)
+    return {"words": words, "idf": idf, "all": every, "vocabulary": vocabulary, "tied_idf": tied_idf, "blocks": BlockMax(rows, len(good)), "y": y}
+
+
+def _known(row: np.ndarray, code: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, n: int, tf: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors over the vocabulary. Without tf: row and code have an entry for each occurrence."""
+    if not len(vocabulary):
+        return [(np.zeros(0, np.int64), np.zeros(0))] * n
+    at = np.searchsorted(vocabulary, code)
+    at[at == len(vocabulary)] = 0
+    hit = vocabulary[at] == code
+    if tf is None:
+        row, term, tf = counted(row[hit], at[hit])
+    else:
+        order = np.lexsort((at[hit], row[hit]))
+        row, term, tf = row[hit][order], at[hit][order], tf[hit][order]
+    return vectors(row, term, tf, idf, n)
+
+
+def _votes(m: dict, words: list, tied: list, k: int, seen: dict | None = None) -> list[tuple[float, list[int]]]:
+    """Vote and evidence of each query, given its vectors for both indexes."""
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    out = []
+    for one, (t, w) in zip(m["all"].top(words, k), tied, strict=True):
+        key = (t.tobytes(), w.tobytes())
+        found = seen.get(key) if seen is not None else None
+        if found is None:
+            found = m["blocks"].top(t, w, k) if len(t) else none
+            if seen is not None:
+                if len(seen) > 20_000:
+                    seen.clear()
+                seen[key] = found
+        out.append(joint(one, found, m["y"]))
+    return out
+
+
+def index(ids: list, y: np.ndarray, x: list, tf: list, px: list, ptf: list, max_terms: int = MAX_TERMS, least_z: float = LEAST_Z, k: int = K) -> dict:
+    n, n1 = len(y), int((y > 0).sum())
+    if not n or n1 in (0, n):
+        p = n1 / n if n else 0.0
+        return {"words": np.zeros(0, np.uint64), "idf": np.zeros(0), "all": None, "a": 0.0, "b": float(np.log((p + 1e-9) / (1 - p + 1e-9))), "ids": ids, "y": y}
+    votes, fold = np.zeros(n), np.arange(n) % FOLDS
+    for f in range(FOLDS):
+        mine, other = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if not len(other) or y[mine].min() == y[mine].max():
+            continue
+        part = _indexes(y[mine], *([s[i] for i in mine] for s in (x, tf, px, ptf)), max_terms, least_z)
+        row = lambda s: np.repeat(np.arange(len(other)), [len(s[i]) for i in other])  # noqa: B023, E731
+        join = lambda s: np.concatenate([s[i] for i in other])  # noqa: B023, E731
+        words = _known(row(x), join(x), part["words"], part["idf"], len(other), join(tf))
+        tied = _known(np.concatenate((row(x), row(px))), np.concatenate((join(x), join(px))), part["vocabulary"], part["tied_idf"], len(other), np.concatenate((join(tf), join(ptf))))
+        votes[other] = [v for v, _ in _votes(part, words, tied, k)]
     a, b = logistic(votes, y)
-    return {"vocabulary": vocabulary, "idf": idf, "blocks": blocks, "a": a, "b": b, "ids": ids, "y": y, "k": k}
+    return _indexes(y, x, tf, px, ptf, max_terms, least_z) | {"a": a, "b": b, "ids": ids, "k": k, "votes": votes}
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, least_z: float = LEAST_Z, k: int = K) -> DataFrame:
@@ -171,28 +315,17 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
     def run(batches):
         m, seen = model.value, {}
-        vocabulary, y = m["vocabulary"], m["y"]
         for batch in batches:
             votes, evidence = [], []
             for i, j, data, offsets in _text.slices(batch.column(1)):
-                row, code = terms(data, offsets)
-                at = np.searchsorted(vocabulary, code)
-                at[at == len(vocabulary)] = 0
-                hit = (vocabulary[at] == code) if len(vocabulary) else np.zeros(len(code), bool)
-                row, term, tf = counted(row[hit], at[hit])
-                for t, w in vectors(row, term, tf, m["idf"], j - i):
-                    if not len(t):
-                        votes.append(0.0)
-                        evidence.append([])
-                        continue
-                    key = (t.tobytes(), w.tobytes())
-                    if key not in seen:
-                        if len(seen) > 20_000:
-                            seen.clear()
-                        e, s = m["blocks"].top(t, w, m["k"])
-                        seen[key] = (vote(s, y[e]), [m["ids"][x] for x in e[:3]])
-                    votes.append(seen[key][0])
-                    evidence.append(seen[key][1])
+                if m["all"] is None:
+                    votes += [0.0] * (j - i)
+                    evidence += [[]] * (j - i)
+                    continue
+                row, code, words = terms(data, offsets)
+                for v, e in _votes(m, _known(row[:words], code[:words], m["words"], m["idf"], j - i), _known(row, code, m["vocabulary"], m["tied_idf"], j - i), m["k"], seen):
+                    votes.append(v)
+                    evidence.append([m["ids"][x] for x in e])
             s = 1 / (1 + np.exp(-np.clip(m["a"] * np.array(votes) + m["b"], -500, 500)))
             arrays = [batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32()), pa.array(evidence, pa.list_(batch.column(0).type))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted", "evidence"])

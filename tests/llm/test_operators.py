@@ -270,6 +270,26 @@ def test_block_max_is_exact():
     assert index.visited < 500 * index.blocks
 
 
+def test_all_words_are_exact():
+    """Against the whole matrix: words in many and in few examples, ties, empty rows and queries, fewer rows than neighbours."""
+    g = np.random.default_rng(5)
+    for n, block in ((500, 16), (7, 4), (300, 64)):
+        rows = []
+        for _ in range(n):
+            t = np.unique(np.concatenate((g.choice(12, g.integers(0, 6)), g.integers(12, 400, g.integers(0, 9)))))
+            w = g.integers(1, 4, len(t)).astype(float)
+            rows.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
+        index = toxicity.AllWords(rows, 400, block)
+        dense = np.zeros((n, 400))
+        for i, (t, w) in enumerate(rows):
+            dense[i, t] = w
+        for i, (ids, sims) in enumerate(index.top(rows, 10)):
+            s = np.round(dense @ dense[i], 6)
+            want = [j for j in np.lexsort((np.arange(n), -s)) if s[j] > 0][:10]
+            assert np.allclose(sims, s[want], atol=2e-6) and set(ids) >= {j for j in want if s[j] > s[want[-1]] + 1e-5}
+        assert n < 300 or index.visited <= n * index.blocks
+
+
 def test_toxicity(spark, empty):
     docs, labels = marked(spark, " Vile! ")
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
@@ -486,3 +506,14 @@ def test_groups_of_many_unlinked_clusters(spark):
     rows += [(5000, None, None, None, None, 1, ""), (5000, "", None, None, None, 1, ""), rows[0], rows[0]]
     got = jaccard.groups(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_groups(rows, 5, 80)
+
+
+def test_copies_of_toxic_examples(spark):
+    """A toxic example of words that no other text has: a copy of it finds it and is predicted toxic, whatever the vocabulary rule."""
+    docs, labels = marked(spark, " Vile! ")
+    odd = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5)
+    text = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(60))
+    more = spark.createDataFrame([(odd, text), (2000, text + " end"), (2001, text.upper()), (2002, prose(60))], "doc_id bigint, text string")
+    told = spark.createDataFrame([(odd, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs.union(more), labels.union(told)).collect()}
+    assert [got[i].evidence[0] for i in (2000, 2001)] == [odd, odd] and got[2000].predicted == got[2001].predicted == 1 and got[2002].predicted == 0
