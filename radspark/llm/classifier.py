@@ -6,8 +6,9 @@ brought to unit length, and a linear hinge-loss model is fitted by dual coordina
 the training rows give the logistic map to a probability.
 
 The fit uses at most ``max_rows`` labelled rows in hash order, so what reaches the driver is bounded; every document is
-scored, whole.  Null and empty texts have no features and score what the bias gives.  Without labels of both classes the
-score is the share of label 1 (0.5 without labels).
+scored, whole, and repeated rows one by one.  Null and empty texts have no features and score what the bias gives; an empty
+table gives an empty result; columns beside doc_id and text are passed on or left alone, whatever their names.  Without labels of
+both classes the score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -188,22 +189,9 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     return docs.mapInArrow(run, docs.schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_ROWS, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; with ``keep`` all columns of ``docs`` and _score, _predicted instead."""
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
     scores = _scorer(docs, labels, label, max_rows)
-    if keep:
-        at = docs.columns.index("text")
-
-        def run(batches):
-            for batch in batches:
-                s = scores(batch.column(at))
-                arrays = [*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "_score", "_predicted"])
-
-        from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_predicted", IntegerType())]))
-
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -2,16 +2,19 @@
 
 Each word loses its outer punctuation and ASCII case; numbers, names and units become typed placeholders.  A window is
 ``WINDOW`` words (a benchmark item with fewer words is one window of its length).  Where fewer than ``LITERALS`` are literal, or
-one of fewer than ``SHORTEST`` words has a placeholder, all words of the window stand for themselves.  Windows of documents and items meet in a hash join on the window's hash; a bitmap of fixed size over the
-items' hashes keeps other windows of documents out of the join.  Matches of one document and item are grouped by alignment
+one of fewer than ``SHORTEST`` words has a placeholder, all words of the window stand for themselves.  Windows of documents and
+items meet in a hash join on the window's hash; a bitmap of fixed size over the items' hashes keeps other windows of documents
+out of the join.  Matches of one document and item are grouped by alignment
 (document place minus item place); an alignment counts if its slots are consistent: equal item values stand for equal
 document values.  A document and item are a hit if consistent alignments hold ``LEAST`` different windows of the item, or all
-of them where it has fewer; or that many of its windows with placeholders or enough literals.  Hits whose slot values are all equal are ``verbatim``, others ``template``.
+of them where it has fewer; or that many of its windows with placeholders or enough literals.  Hits whose slot values are all
+equal are ``verbatim``, others ``template``.
 
 A number is digits with inner signs, digits with up to three letters, or a number word; a name is a capital followed by a small
 letter that doesn't begin a sentence or line.  As names depend on case, windows with names are also compared with the names as
 literal words in their small form, so that a copy in capitals or small letters matches.  Rows with equal doc_id and text
-give one result; null and empty texts and items match nothing.
+give one result, and so do repeated items; different texts under one item_id (a null one too) are items of their own.  Null and
+empty texts and items match nothing; texts of any length are searched whole; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -113,38 +116,38 @@ def _emit(rows, extra: int, lengths, table=None):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item_id, kind, n_windows, n_slots, first_word of each contaminated (document, item)."""
-    items = benchmark.select("item_id", F.col("text").alias("_t")).where("_t is not null")
-    sized = items.select(F.regexp_count("_t", F.lit(_text.WORD)).alias("n"))
-    short = sorted(r["n"] for r in sized.where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
+    """doc_id, text_hash, item_id, kind, n_windows, n_slots, first_word of each contaminated document and item text."""
+    items = benchmark.where("text is not null").select("item_id", F.col("text").alias("_t")).distinct()
+    items = items.withColumns({"_key": F.xxhash64("item_id", "_t"), "_words": F.regexp_count("_t", F.lit(_text.WORD))})
+    short = sorted(r["_words"] for r in items.where(F.col("_words").between(1, WINDOW - 1)).select("_words").distinct().collect())
     lengths = [WINDOW, *short]
-    known = _emit(items, 1, lengths)
-    size = items.select("item_id", F.regexp_count("_t", F.lit(_text.WORD)).alias("_words")).groupBy("item_id").agg(F.max("_words").alias("_words"))
-    known = known.join(size, "item_id").where((F.col("n") == WINDOW) | (F.col("n") == F.col("_words"))).withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
-    all_of = known.groupBy("item_id").agg(
+    known = _emit(items.select("_key", "_t"), 1, lengths)
+    known = known.join(items.select("_key", "_words"), "_key").where((F.col("n") == WINDOW) | (F.col("n") == F.col("_words")))
+    known = known.withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
+    all_of = known.groupBy("_key").agg(
         F.count_distinct("item_place").alias("_all"), F.count_distinct(F.when(F.col("free"), F.col("item_place"))).alias("_all_free")
     )
     table = docs.sparkSession.sparkContext.broadcast(bitmap(known, "h"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text"))
     found = _emit(rows, 2, lengths, table).drop("free")
     match = found.join(known, ["h", "n"]).select(
-        "doc_id", "text_hash", "item_id", "item_place", "place", (F.col("place") - F.col("item_place")).alias("_shift"),
+        "doc_id", "text_hash", "_key", "item_place", "place", (F.col("place") - F.col("item_place")).alias("_shift"),
         F.arrays_zip("item_slots", "slots").alias("_pairs"), F.when(F.col("free"), F.col("item_place")).alias("_free"),
     )
-    by = ["doc_id", "text_hash", "item_id", "_shift"]
+    by = ["doc_id", "text_hash", "_key", "_shift"]
     aligned = match.groupBy(*by).agg(
         F.collect_set("item_place").alias("_places"), F.collect_set("_free").alias("_frees"), F.min("place").alias("_first"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs")
     )
     values = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["item_slots"])))
     same = F.forall("_pairs", lambda p: p["item_slots"] == p["slots"])
     good = aligned.where(values == F.size("_pairs")).withColumn("_same", same)
-    one = good.groupBy("doc_id", "text_hash", "item_id").agg(
+    one = good.groupBy("doc_id", "text_hash", "_key").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).alias("n_windows"),
         F.size(F.array_distinct(F.flatten(F.collect_list("_frees")))).alias("_n_free"), F.min("_same").alias("_same"), F.max(F.size("_pairs")).alias("n_slots"), F.min("_first").alias("first_word"),
     )
     enough = F.col("n_windows") >= F.least(F.lit(LEAST), F.col("_all"))
     free = (F.col("_all_free") > 0) & (F.col("_n_free") >= F.least(F.lit(LEAST), F.col("_all_free")))
-    return one.join(all_of, "item_id").where(enough | free).select(
+    return one.join(all_of, "_key").where(enough | free).join(items.select("_key", "item_id"), "_key").select(
         "doc_id", "text_hash", "item_id", F.when(F.col("_same"), "verbatim").otherwise("template").alias("kind"), "n_windows", "n_slots", "first_word"
     )
 

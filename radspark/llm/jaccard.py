@@ -42,7 +42,7 @@ from radspark.llm import _text
 from radspark.llm._bitmap import bitmap, passes
 from radspark.llm._columns import fresh
 from radspark.plans.components import connected_components
-from radspark.plans.storage import materialize, release
+from radspark.plans.storage import drop, materialize, release
 
 RATIO, POOL, FOLDED, LISTED, CENTRES = 1.25, 16, 512, 16, 3
 #: Longs of a folded sketch.
@@ -299,7 +299,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     left, right = found.withColumnsRenamed({"node": "a", "tokens": "ta"}), found.withColumnsRenamed({"node": "b", "tokens": "tb"})
     both = F.size(F.array_intersect("ta", "tb"))
     tested = pairs.join(left, "a").join(right, "b").where(both * 100 >= percent * (F.col("na") + F.col("nb") - both))
-    return materialize(tested.select("a", "b"), "links")
+    links = materialize(tested.select("a", "b"), "links")
+    drop(found)
+    return links
 
 
 def _mixed(met: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
@@ -336,6 +338,7 @@ def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int)
     shared = _shared(docs, words, percent)
     release(spark)
     met = _centred(shared, table, percent)
+    drop(shared)
     release(spark)
     stars = reduce(DataFrame.union, (
         met.where(f"near{k} is not null").select(F.col(f"near{k}.node").alias("a"), F.col("node").alias("b"), F.col(f"near{k}.n").alias("na"), F.col("n").alias("nb"))
@@ -344,11 +347,16 @@ def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int)
     links = _linked(docs, _sketched(stars.distinct(), table, percent), words, percent)
     labels = connected_components(links)
     release(spark)
-    rest = _sketched(_rest(_mixed(met, labels, table), percent), table, percent)
+    mixed = _mixed(met, labels, table)
+    drop(met, links)
+    rest = _sketched(_rest(mixed, percent), table, percent)
+    drop(mixed, table)
     if rest.isEmpty():
         return labels
     found = _linked(docs, rest, words, percent)
-    return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    again = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    drop(rest, found, labels)
+    return again
 
 
 def groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:

@@ -231,7 +231,6 @@ def test_classifier(spark, empty):
     assert classifier.classify(empty, labels).count() == 0
     one = classifier.classify(docs, labels.limit(0)).collect()
     assert {r.score for r in one} == {0.5}
-    assert classifier.classify(docs, labels, keep=True).columns == [*docs.columns, "_score", "_predicted"]
 
 
 def test_descent_reaches_the_optimum():
@@ -311,7 +310,7 @@ def test_decontamination(spark, empty):
     }
     df = spark.createDataFrame([*texts.items(), (2, texts[2]), (None, item)], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in decontamination.hits(df, bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (6, 3), (7, 1), (9, 1), (None, 1)} or set(got) == {(1, 1), (2, 1), (6, 3), (9, 1), (None, 1)}
+    assert set(got) == {(1, 1), (2, 1), (6, 3), (7, 1), (9, 1), (None, 1)}
     assert got[1, 1].kind == "verbatim" and got[2, 1].kind == "template" and got[2, 1].n_slots >= 3
     b = {r.doc_id for r in decontamination.hits(spark.createDataFrame([(1, broken)], "doc_id bigint, text string"), bench).collect()}
     assert not b
