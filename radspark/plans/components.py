@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radspark.plans.storage import materialize
+from radspark.plans.storage import drop, materialize
 
 
 def smallest_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +46,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
             node, label = smallest_labels(every["u"].to_numpy(np.int64), every["v"].to_numpy(np.int64))
             yield pd.DataFrame({"node": node, "component": label})
 
-        return materialize(left.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInPandas(solve, "node bigint, component bigint"), "labels")
+        labels = materialize(left.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInPandas(solve, "node bigint, component bigint"), "labels")
+        drop(left)
+        return labels
     joins = []
     while not joins or not left.isEmpty():
         key = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(joins) // 2)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
@@ -55,11 +57,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
         joins.append(to)
         ends = left.where("u <> v").join(to.select(F.col("node").alias("u"), F.col("to").alias("_u")), "u")
         ends = ends.join(to.select(F.col("node").alias("v"), F.col("to").alias("_v")), "v").where("_u <> _v")
-        left = materialize(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct(), "edges")
+        old, left = left, materialize(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct(), "edges")
+        drop(old)
+    done = [left, *joins]
     labels = joins.pop()
     while joins:
         tops = labels.select(F.col("node").alias("to"), F.col("to").alias("_top"))
         labels = joins.pop().join(tops, "to", "left").select("node", F.coalesce("_top", "to").alias("to"))
     labels = materialize(labels, "labels")
     least = materialize(labels.groupBy("to").agg(F.min("node").alias("component")), "least")  # a table: the join can be split
-    return materialize(labels.join(least, "to").select("node", "component"), "labels")
+    found = materialize(labels.join(least, "to").select("node", "component"), "labels")
+    drop(*done, labels, least)
+    return found

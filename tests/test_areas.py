@@ -13,6 +13,7 @@ from radspark.functions.geometry import Strips, clipped_area, edges_of, polygons
 from radspark.operators import clusters, detect, radius
 from radspark.operators.study_area import cell_share, diagnostics, frame_cells, parse_weight, polygon_area, shares, study_area
 from radspark.plans import grid as grids
+from radspark.plans import storage
 from radspark.plans.components import connected_components
 from radspark.sources.points import random_points
 
@@ -294,3 +295,24 @@ def test_few_edges_in_one_task(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     assert sorted(map(tuple, connected_components(df, small=1000).collect())) == sorted(map(tuple, connected_components(df).collect()))
     assert connected_components(df.limit(0), small=10).count() == 0
+
+
+def test_clusters_need_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Session())
