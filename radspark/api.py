@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radspark.functions.geometry import utm, utm_inverse, utm_zone
+from radspark.functions.geometry import degrees_arrays, local_bounds, local_polygon, utm, utm_inverse, utm_zone, wkt_in_degrees
 from radspark.operators import detect as detection
 from radspark.operators import radius
 from radspark.operators import study_area as areas
@@ -16,8 +16,8 @@ from radspark.operators.clusters import build_clusters, with_cluster_id
 from radspark.operators.detect import Detection
 from radspark.operators.radius import same_place
 from radspark.operators.study_area import area_share, diagnostics, parse_weight, shares
-from radspark.plans.grid import build_grid
-from radspark.plans.spec import cluster_id, parse_r
+from radspark.plans.grid import build_grid, described, spatial_summary
+from radspark.plans.spec import cluster_id, parse_r, present_names
 from radspark.sources.points import random_points
 
 # Fixed value: the coordinate system of degrees.
@@ -58,17 +58,21 @@ def project(pts: DataFrame, crs: str, lon: str = "lon", lat: str = "lat", proj_c
     return pts.withColumns({"proj_x": x, "proj_y": y})
 
 
-def unproject(df: DataFrame, zone: Zone, x: str = "centroid_x", y: str = "centroid_y") -> DataFrame:
-    """``df`` with x, y (metres of the zone) as degrees: for exports in the initial system."""
+def unproject(df: DataFrame, zone: Zone, x: str = "centroid_x", y: str = "centroid_y", geometry: str = "geometry") -> DataFrame:
+    """``df`` with x, y and the WKT column ``geometry`` (metres of the zone) as degrees: for exports in the initial system."""
     lon, lat = utm_inverse(x, y, *zone)
-    return df.withColumns({x: lon, y: lat})
+    shape = {geometry: wkt_in_degrees(F.col(geometry), *zone)} if geometry in df.columns else {}
+    return df.withColumns({x: lon, y: lat} | shape)
 
 
-def _flat(pts: DataFrame, crs: str, x: str, y: str, proj_crs: str, *others: DataFrame) -> tuple[DataFrame, ...]:
-    """The tables with coordinates x, y of a plane; the columns that had these names are kept as _own_x, _own_y."""
-    zone = local_zone(*(t for t in (pts, *others) if t is not None), lon=x, lat=y, proj_crs=proj_crs) if crs else None
+def _flat(pts: DataFrame, target: DataFrame | None, crs: str, x: str, y: str, proj_crs: str, area):
+    """Both tables with coordinates x, y of a plane, and the study area's polygon in it, if it is one.
+
+    The columns that had these names are kept as _own_x, _own_y.
+    """
+    zone = local_zone(*(t for t in (pts, target) if t is not None), lon=x, lat=y, proj_crs=proj_crs) if crs else None
     out = []
-    for t in (pts, *others):
+    for t in (pts, target):
         if t is None:
             out.append(None)
             continue
@@ -77,7 +81,7 @@ def _flat(pts: DataFrame, crs: str, x: str, y: str, proj_crs: str, *others: Data
             if c in t.columns:
                 p = p.withColumnRenamed(c, f"_own_{c}")
         out.append(p.withColumnsRenamed({"proj_x": "x", "proj_y": "y"}))
-    return tuple(out)
+    return *out, local_polygon(area, *zone) if zone and isinstance(area, (list, dict)) else area
 
 
 def _named(found: DataFrame, pts: DataFrame) -> DataFrame:
@@ -87,6 +91,7 @@ def _named(found: DataFrame, pts: DataFrame) -> DataFrame:
     return found.select(*(F.col(v).alias(c) for c, v in own.items()), *new)
 
 
+@present_names
 def radius_search(
     pts: DataFrame, r, c=(), stat="sum", *, crs: str = "", x: str = "x", y: str = "y", x_tgt: str | None = None, y_tgt: str | None = None, proj_crs: str = "auto", pid: str = "pid",
     pts_target: DataFrame | None = None, study_area="cells,min_pts=1,buffer=0", area_weight: str | None = None, cell_size: float | None = None, **options,
@@ -101,7 +106,7 @@ def radius_search(
         return radius.radius_search(pts, r, c, stat, x=x, y=y, x_tgt=x_tgt, y_tgt=y_tgt, pid=pid, pts_target=pts_target, **options)
     if pts_target is not None and (x_tgt or y_tgt):
         pts_target = pts_target.withColumnsRenamed({x_tgt or x: x, y_tgt or y: y})
-    flat, target = _flat(pts, crs, x, y, proj_crs, pts_target)
+    flat, target, study_area = _flat(pts, pts_target, crs, x, y, proj_crs, study_area)
     share = None
     if variant:
         radii = parse_r(r).distinct
@@ -120,7 +125,27 @@ radius_cv = partial(radius_search, stat="cv")
 radius_skewness = partial(radius_search, stat="skewness")
 radius_kurtosis = partial(radius_search, stat="kurtosis")
 build_study_area = infer_study_area_from_pts = areas.study_area
-draw_random_coords = random_points
+
+
+def draw_random_coords(spark, n: int, area, *, crs: str = "", zone: Zone | None = None, random_seed: int = 0, generator=None, x: str = "x", y: str = "y") -> DataFrame:
+    """nid and n random points x, y inside an area, or a polygon. crs EPSG:4326: the polygon and the points are in degrees.
+
+    zone: the UTM zone in which degrees are drawn evenly; by default that of the polygon's centre.
+    """
+    if not crs:
+        spot = area if isinstance(area, areas.Area) else areas.polygon_area(area)
+        return random_points(spark, n, spot, random_seed, generator).withColumnsRenamed({"x": x, "y": y})
+    if crs.upper() != DEGREES:
+        raise ValueError(f"crs {crs!r} isn't supported: '' or {DEGREES}")
+    if isinstance(area, areas.Area):
+        spot = area
+        if zone is None:
+            raise ValueError("an area in metres needs its zone")
+    else:
+        a, b, c, d = areas.polygon_area(area).bounds
+        zone = zone or Zone(*utm_zone((a + c) / 2, (b + d) / 2))
+        spot = areas.polygon_area(local_polygon(area, *zone))
+    return unproject(random_points(spark, n, spot, random_seed, generator), zone, "x", "y").withColumnsRenamed({"x": x, "y": y})
 
 
 def weighted_search(pts: DataFrame, r, c, stat="sum", area="bbox", **options) -> DataFrame:
@@ -128,6 +153,7 @@ def weighted_search(pts: DataFrame, r, c, stat="sum", area="bbox", **options) ->
     return radius_search(pts, r, c, stat, study_area=area, area_weight="exact", **options)
 
 
+@present_names
 def detect_cluster_pts(
     pts: DataFrame, r, c=(), stat="sum", *, crs: str = "", x: str = "x", y: str = "y", proj_crs: str = "auto", pts_target: DataFrame | None = None, study_area=detection.AREA, keep_cols: bool | None = True, **options,
 ) -> DataFrame:
@@ -136,7 +162,7 @@ def detect_cluster_pts(
     See radspark.operators.detect for the options: null_distribution (100,000 points by default), k, random_seed, area_weight,
     cell_size, exclude_self.  Null points given as a table are in the plane's coordinates.
     """
-    flat, target = _flat(pts, crs, x, y, proj_crs, pts_target)
+    flat, target, study_area = _flat(pts, pts_target, crs, x, y, proj_crs, study_area)
     return _named(detection.detect_cluster_pts(flat, r, c, stat, pts_target=target, area=study_area, keep_cols=keep_cols, **options), pts)
 
 
@@ -149,12 +175,13 @@ class Clusters(NamedTuple):
     thresholds: DataFrame
 
 
+@present_names
 def detect_cluster_cells(
     pts: DataFrame, r, c=(), stat="sum", *, crs: str = "", x: str = "x", y: str = "y", proj_crs: str = "auto", pts_target: DataFrame | None = None, study_area=detection.AREA, cell_size: float | None = None,
     contingency=1, merge_dist=None, min_cluster_share=(0.05, 0.0, 0.0), make_convex: bool = True, **options,
 ) -> Clusters:
     """Flagged points and, for every flag (column and radius or band), the clusters of output cells."""
-    flat, target = _flat(pts, crs, x, y, proj_crs, pts_target)
+    flat, target, study_area = _flat(pts, pts_target, crs, x, y, proj_crs, study_area)
     found: Detection = detection.detect(flat, r, c, stat, pts_target=target, area=study_area, cell_size=cell_size, **options)
     values = [c] if isinstance(c, str) else list(c)
     flags = [n for n in found.points.columns if n not in flat.columns and "cluster" in n]
@@ -169,6 +196,7 @@ def detect_cluster_cells(
     return Clusters(_named(points, pts), clusters, cells, found.thresholds)
 
 
+@present_names
 def build_cluster_cells_from_labels(pts: DataFrame, c: str, is_cluster_column: str = "cluster", *, cell_size: float, min_cluster_share=(0.0, 0.0, 0.0), **options):
     grid = build_grid(pts, cell_size)
     clusters, cells = build_clusters(pts, grid, is_cluster_column, c, min_cluster_share=min_cluster_share, **options)
@@ -176,6 +204,6 @@ def build_cluster_cells_from_labels(pts: DataFrame, c: str, is_cluster_column: s
 
 
 __all__ = [
-    "area_share", "build_cluster_cells_from_labels", "build_study_area", "detect_cluster_cells", "detect_cluster_pts", "diagnostics", "draw_random_coords",
+    "area_share", "degrees_arrays", "described", "local_bounds", "local_polygon", "spatial_summary", "build_cluster_cells_from_labels", "build_study_area", "detect_cluster_cells", "detect_cluster_pts", "diagnostics", "draw_random_coords",
     "infer_study_area_from_pts", "local_zone", "project", "radius_search", "same_place", "unproject", "weighted_search",
 ]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -212,3 +214,124 @@ def utm_inverse(east: str, north: str, zone: int, northern: bool = True) -> tupl
     for _ in range(4):  # fixed point of the conformal latitude
         phi = F.asin(F.tanh(F.atanh(F.sin(chi)) + F.lit(e) * F.atanh(F.lit(e) * F.sin(phi))))
     return F.lit(float(zone * 6 - 183)) + F.degrees(F.atan2(F.sinh(e1), F.cos(x1))), F.degrees(phi)
+
+
+def utm_arrays(lon, lat, zone: int, north: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """``utm`` of arrays, for the few points of an outline."""
+    a, alpha, _ = _series()
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    phi, lam = np.radians(np.asarray(lat, float)), np.radians(np.asarray(lon, float) - (zone * 6 - 183))
+    t = np.sinh(np.arctanh(np.sin(phi)) - e * np.arctanh(e * np.sin(phi)))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    j = 2.0 * np.arange(1, len(alpha) + 1)
+    east = eta + sum(c * np.cos(k * xi) * np.sinh(k * eta) for k, c in zip(j, alpha, strict=True))
+    up = xi + sum(c * np.sin(k * xi) * np.cosh(k * eta) for k, c in zip(j, alpha, strict=True))
+    return EASTING + K0 * a * east, (0.0 if north else NORTHING) + K0 * a * up
+
+
+def degrees_arrays(east, north_of, zone: int, north: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude of arrays of eastings and northings."""
+    a, _, beta = _series()
+    e = math.sqrt(FLATTENING * (2 - FLATTENING))
+    xi, eta = (np.asarray(north_of, float) - (0.0 if north else NORTHING)) / (K0 * a), (np.asarray(east, float) - EASTING) / (K0 * a)
+    j = 2.0 * np.arange(1, len(beta) + 1)
+    x1 = xi - sum(c * np.sin(k * xi) * np.cosh(k * eta) for k, c in zip(j, beta, strict=True))
+    e1 = eta - sum(c * np.cos(k * xi) * np.sinh(k * eta) for k, c in zip(j, beta, strict=True))
+    chi = np.arcsin(np.sin(x1) / np.cosh(e1))
+    phi = chi
+    for _ in range(4):  # fixed point of the conformal latitude
+        phi = np.arcsin(np.tanh(np.arctanh(np.sin(chi)) + e * np.arctanh(e * np.sin(phi))))
+    return zone * 6 - 183 + np.degrees(np.arctan2(np.sinh(e1), np.cos(x1))), np.degrees(phi)
+
+
+def local_bounds(bounds: tuple[float, float, float, float], zone: int, north: bool = True) -> tuple[float, float, float, float]:
+    """Bounds in a zone of a box of degrees: of its corners, the middles of its sides and its centre."""
+    lon, lat = np.meshgrid(np.linspace(bounds[0], bounds[2], 3), np.linspace(bounds[1], bounds[3], 3))
+    x, y = utm_arrays(lon, lat, zone, north)
+    return float(x.min()), float(y.min()), float(x.max()), float(y.max())
+
+
+def local_polygon(spec, zone: int, north: bool = True) -> dict:
+    """A GeoJSON MultiPolygon in a zone of corners or a GeoJSON geometry in degrees; outer rings and holes stay apart."""
+    parts: list[list] = []
+    for ring in polygons(spec):
+        told = [list(p) for p in np.stack(utm_arrays(*ring.T, zone, north), 1).tolist()]
+        if ring_area(ring) > 0:
+            parts.append([told])
+        else:
+            parts[-1].append(told)
+    return {"type": "MultiPolygon", "coordinates": parts}
+
+
+def wkt_in_degrees(wkt: Column, zone: int, north: bool = True) -> Column:
+    """A WKT text in metres of a zone with its corners as degrees."""
+
+    @F.pandas_udf("string")
+    def moved(texts: pd.Series) -> pd.Series:
+        number = r"[-+0-9.eE]+"
+
+        def one(text):
+            if text is None:
+                return None
+            points = re.findall(rf"({number}) ({number})", text)
+            lon, lat = degrees_arrays([float(p[0]) for p in points], [float(p[1]) for p in points], zone, north)
+            told = iter(zip(lon.tolist(), lat.tolist(), strict=True))
+            return re.sub(rf"{number} {number}", lambda _: "{} {}".format(*next(told)), text)
+
+        return texts.map(one)
+
+    return moved(wkt)
+
+
+#: Distinct points from which a concave hull is made, at most.
+MOST_HULL_POINTS = 200_000
+
+
+def concave_hull(points: np.ndarray, concavity: float = 2.0) -> np.ndarray:
+    """Counter-clockwise corners of a hull that follows the points: the convex hull's edges are dug in.
+
+    An edge gives way to the point nearest to it (seen from its ends) as long as the edge is longer than ``concavity`` times that
+    point's distance to the nearer end and the new edges cross no other; long edges first.
+    """
+    p = np.unique(np.asarray(points, float).reshape(-1, 2), axis=0)
+    ring = convex_hull(p)
+    if len(ring) < 3 or len(p) == len(ring):
+        return ring
+    number = {tuple(x): i for i, x in enumerate(p.tolist())}
+    order = [number[tuple(x)] for x in ring.tolist()]
+    after = dict(zip(order, [*order[1:], order[0]], strict=True))
+    free = np.ones(len(p), bool)
+    free[order] = False
+    queue = [(-math.dist(p[a], p[b]), a, b) for a, b in after.items()]
+    heapq.heapify(queue)
+    while queue:
+        length, a, b = heapq.heappop(queue)
+        if after.get(a) != b or not free.any():
+            continue
+        some = np.flatnonzero(free)
+        ends = np.minimum(np.hypot(*(p[some] - p[a]).T), np.hypot(*(p[some] - p[b]).T))
+        some = some[ends * concavity < -length]
+        if not len(some):
+            continue
+        d = p[b] - p[a]
+        t = np.clip(((p[some] - p[a]) @ d) / (d @ d), 0, 1)
+        away = np.hypot(*(p[some] - p[a] - t[:, None] * d).T)
+        starts = np.array([(i, j) for i, j in after.items() if i != a])
+        for k in some[np.argsort(away, kind="stable")[:8]].tolist():
+            if not (_cross(p[a], p[k], p[starts[:, 0]], p[starts[:, 1]]) | _cross(p[k], p[b], p[starts[:, 0]], p[starts[:, 1]])).any():
+                after[a], after[k], free[k] = k, b, False
+                for i, j in ((a, k), (k, b)):
+                    heapq.heappush(queue, (-math.dist(p[i], p[j]), i, j))
+                break
+    out, at = [order[0]], after[order[0]]
+    while at != order[0]:
+        out.append(at)
+        at = after[at]
+    return p[out]
+
+
+def _cross(a, b, c, d) -> np.ndarray:
+    """Whether the segment a b properly crosses each of the segments c d."""
+    side = lambda o, q, x: (q[..., 0] - o[..., 0]) * (x[..., 1] - o[..., 1]) - (q[..., 1] - o[..., 1]) * (x[..., 0] - o[..., 0])
+    a, b = np.broadcast_to(a, c.shape), np.broadcast_to(b, c.shape)
+    return (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)

@@ -13,16 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radspark.functions.geometry import Strips, box_share, clipped_area, edges_of, hull_of, inside, oriented, polygons, ring_area, rings_share
+from radspark.functions.geometry import MOST_HULL_POINTS, Strips, box_share, clipped_area, concave_hull, convex_hull, edges_of, hull_of, inside, oriented, polygons, ring_area, rings_share
 from radspark.operators.radius import within
 from radspark.plans.grid import MOST_CELLS, Grid, build_grid
 
 # Names of the methods and of their options.
 METHODS = {
     "cells": "cells", "buff_cells": "cells", "buff_non_empty_cells": "cells", "buff_cells_min_pts": "cells", "buff_pts": "points", "buffer": "points",
-    "convex": "convex", "bounding_box": "bbox", "bbox": "bbox", "grid": "grid",
+    "convex": "convex", "concave": "concave", "bounding_box": "bbox", "bbox": "bbox", "grid": "grid",
 }
-ALIASES = {"m": "min_pts", "b": "buffer"}
+ALIASES = {"m": "min_pts", "b": "buffer", "c": "concavity"}
 # Area weights, their other names, and the coefficients of the logistic share.
 WEIGHTS = ("exact", "logit", "flat", "binary")
 OTHER = {"precise": "exact", "estimate": "logit"}
@@ -86,8 +86,6 @@ def polygon_area(spec) -> Area:
 
 def rounded(ring: np.ndarray, wide: float) -> np.ndarray:
     """A convex ring widened all around: the hull of a circle (as a polygon around it) at each corner."""
-    from radspark.functions.geometry import convex_hull
-
     turn = np.arange(ROUND) * 2 * math.pi / ROUND
     circle = np.stack((np.cos(turn), np.sin(turn)), 1) * wide / math.cos(math.pi / ROUND)
     return oriented(convex_hull((ring[:, None] + circle).reshape(-1, 2)))
@@ -97,7 +95,7 @@ def study_area(pts: DataFrame, r: float, spec="cells,min_pts=1,buffer=0", cell_s
     """spec: a method with options, corners or a GeoJSON geometry, an Area, False (the bounding box) or None (the grid).
 
     cells: output cells with min_pts points at least, widened by buffer; buff_pts: places within buffer of a point (r by
-    default); convex: hull widened by buffer, its round corners as polygons; bounding_box: widened by buffer; grid: the whole
+    default); convex: hull widened by buffer, its round corners as polygons; concave: see concave_hull; bounding_box: widened by buffer; grid: the whole
     output grid.
     """
     if isinstance(spec, Area):
@@ -114,6 +112,14 @@ def study_area(pts: DataFrame, r: float, spec="cells,min_pts=1,buffer=0", cell_s
     bounds = (a - wide, b - wide, c + wide, d + wide)
     if method == "points":
         return Area(bounds, lambda p, wanted: within(p, pts, wide, anti=not wanted))
+    if method == "concave":
+        spots = pts.select("x", "y").where("x is not null and y is not null").distinct().limit(MOST_HULL_POINTS + 1).collect()
+        if len(spots) > MOST_HULL_POINTS:
+            raise ValueError(f"a concave hull takes at most {MOST_HULL_POINTS} distinct points; use cells, or thin the points")
+        ring = concave_hull(np.array([(p["x"], p["y"]) for p in spots], float), options.get("concavity", 2.0))
+        if wide:
+            raise ValueError("a concave hull has no buffer; use buff_pts")
+        return polygon_area(ring) if len(ring) > 2 else Area(bounds, lambda p, wanted: within(p, pts, 0.0, anti=not wanted))
     if method == "convex":
         ring = hull_of(pts)
         if len(ring) < 3:

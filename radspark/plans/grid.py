@@ -37,8 +37,12 @@ class Grid:
         point = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
         return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0)), F.lit("))"))
 
-    def info(self) -> str:
-        return f"{self.n_x} x {self.n_y} cells of {self.size:g} from ({self.xmin:g}, {self.ymin:g})"
+    def info(self, cells: DataFrame | None = None) -> str:
+        """Extent, cells and, for a table of cells with points, how many these are and what they hold."""
+        lines = [f"{self.n_y} rows x {self.n_x} columns of cells of {self.size:g}", f"x from {self.xmin:g} to {self.xmin + self.n_x * self.size:g}, y from {self.ymin:g} to {self.ymin + self.n_y * self.size:g}"]
+        if cells is not None:
+            lines += [f"{cells.count()} cells with points", f"columns: {', '.join(c for c in cells.columns if c not in ('row', 'col'))}"]
+        return "\n".join(lines)
 
 
 def build_grid(pts: DataFrame, size: float, x: str = "x", y: str = "y", bounds: tuple | None = None) -> Grid:
@@ -66,12 +70,16 @@ def cell_aggregate(pts: DataFrame, grid: Grid, c, agg: str = "sum", x: str = "x"
 
 
 def aggregate_to_grid(pts: DataFrame, c, size: float, agg="sum", x: str = "x", y: str = "y", bounds: tuple | None = None) -> DataFrame:
-    """cell_x, cell_y (centres), cell_col, cell_row and the aggregates. agg: a name or a name for each column."""
+    """cell_x, cell_y (centres), cell_col, cell_row and the aggregates.
+
+    agg: a name, a function from a column's name to an aggregate, or one of these for each column.
+    """
     grid = build_grid(pts, size, x, y, bounds)
     c = [c] if isinstance(c, str) else list(c)
     how = agg if isinstance(agg, dict) else dict.fromkeys(c, agg)
-    known = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp, "median": lambda v: F.percentile(F.col(v).cast("double"), F.lit(0.5))}
-    found = grid.assign(pts, x, y).groupBy("row", "col").agg(*(known[how[v]](v).alias(v) for v in c))
+    most = {"nunique": F.count_distinct, "first": F.first, "last": F.last, "var": F.var_samp, "skew": F.skewness}
+    known = most | {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max, "std": F.stddev_samp, "median": lambda v: F.percentile(F.col(v).cast("double"), F.lit(0.5))}
+    found = grid.assign(pts, x, y).groupBy("row", "col").agg(*((how[v] if callable(how[v]) else known[how[v]])(v).alias(v) for v in c))
     cx, cy = grid.centroid()
     return found.select(cx.alias("cell_x"), cy.alias("cell_y"), F.col("col").alias("cell_col"), F.col("row").alias("cell_row"), *c)
 
@@ -83,6 +91,23 @@ def full_grid(cells: DataFrame, grid: Grid) -> DataFrame:
     return every.join(cells, ["row", "col"], "left").fillna(0)
 
 
+def described(cells: DataFrame, grid: Grid, clusters: dict[str, DataFrame] | DataFrame | None = None) -> DataFrame:
+    """``cells`` (row, col, values) with centroid_x, centroid_y, a cluster id for each table of cluster cells (0 for none) and geometry.
+
+    clusters: one table (column cluster_id), or one for each name (columns cluster_id_name).
+    """
+    told = clusters if isinstance(clusters, dict) else {"": clusters} if clusters is not None else {}
+    out = cells
+    for name, table in told.items():
+        c = f"cluster_id_{name}" if name else "cluster_id"
+        out = out.join(table.select("row", "col", F.col("cluster_id").alias(c)), ["row", "col"], "left").fillna(0, [c])
+    if not told:
+        out = out.withColumn("cluster_id", F.lit(0))
+    x, y = grid.centroid()
+    values = [c for c in out.columns if c not in ("row", "col")]
+    return out.select("row", "col", x.alias("centroid_x"), y.alias("centroid_y"), *values, grid.wkt().alias("geometry"))
+
+
 def sparse_grid(cells: DataFrame, cluster_cells: DataFrame) -> DataFrame:
     """Cells with points or in a cluster; cluster_id 0 for none."""
     return cells.join(cluster_cells.select("row", "col", "cluster_id"), ["row", "col"], "full").fillna(0)
@@ -96,3 +121,26 @@ def spatial_stats(pts: DataFrame, size: float, x: str = "x", y: str = "y") -> Da
         F.sum("n").alias("n_points"), F.min("a").alias("xmin"), F.max("b").alias("xmax"), F.min("c").alias("ymin"), F.max("d").alias("ymax"),
         F.count("*").alias("n_cells"), F.percentile(F.col("n").cast("double"), F.lit(0.9)).alias("p90"), F.max("n").alias("most"),
     )
+
+
+def spatial_summary(pts: DataFrame, radii: list[float], x: str = "x", y: str = "y", side: int = 8) -> DataFrame:
+    """One row: extent, aspect, densest of side x side cells over the mean density, and for each radius its share of the extent,
+    its diameter in such cells, and the 90th percentile of points in non-empty cells of its diameter over the mean density."""
+    a, b, c, d, n = pts.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.count("*")).first()
+    wide, high = (float(c - a), float(d - b)) if n else (0.0, 0.0)
+    size = wide * high
+
+    def cells(n_x: int, n_y: int) -> DataFrame:
+        place = lambda v, low, all_, k: F.least(F.lit(k - 1), F.floor((F.col(v) - F.lit(low)).cast("double") / F.lit(all_ or 1.0) * k))
+        return pts.groupBy(place(x, a, wide, n_x).alias("i"), place(y, b, high, n_y).alias("j")).agg(F.count("*").alias("n"))
+
+    def dense(counts: DataFrame, value, parts: int) -> float:
+        return (counts.agg(value).first()[0] or 0) * parts / n if n and size else 1.0
+
+    spans = [(max(int(wide / (2 * r)), 1), max(int(high / (2 * r)), 1)) for r in radii]
+    spread = [dense(cells(*k), F.percentile(F.col("n").cast("double"), F.lit(0.9)), k[0] * k[1]) for k in spans]
+    most = cells(side, side).agg(F.max("n")).first()[0] or 0
+    far = max(wide, high) or 1.0
+    row = (n, wide, high, size, wide / high if high else 1.0, float(most) * side * side / n if n and size else 1.0, int(most), [2.0 * r / far for r in radii], [2.0 * r / (wide / side or 1.0) for r in radii], spread)
+    kinds = "n_points long, width double, height double, area double, aspect_ratio double, density_max_to_mean double, most_points long, radius_to_world array<double>, diameter_in_cells array<double>, density_skewness array<double>"
+    return pts.sparkSession.createDataFrame([row], kinds)

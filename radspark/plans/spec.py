@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
+from functools import wraps
 
 #: Statistic: short name.
 STATS = {"sum": "sum", "count": "cnt", "mean": "avg", "variance": "var", "std": "std", "cv": "cv", "skewness": "skw", "kurtosis": "krt"}
@@ -97,3 +99,37 @@ def parse_shares(spec) -> tuple[float, float, float]:
 
 def parse_contingency(spec) -> tuple[int, int]:
     return (spec, spec) if isinstance(spec, int) else tuple(spec)
+
+
+# Earlier names of options.
+OLD_NAMES = {
+    "spacing": "cell_size", "weight_valid_area": "area_weight", "sample_area": "study_area", "n_random_points": "null_distribution",
+    "exclude_pt_itself": "exclude_self", "k_th_percentile": "k",
+}
+OLD_PARTS = {
+    "contingency": (("queen_contingency", 1), ("rook_contingency", 1)),
+    "merge_dist": (("centroid_dist_threshold", None), ("border_dist_threshold", None)),
+    "min_cluster_share": (("min_cluster_share_after_contingency", 0.05), ("min_cluster_share_after_centroid_dist", 0.0), ("min_cluster_share_after_convex", 0.0)),
+}
+WITHOUT_EFFECT = ("plot_distribution", "plot_cluster_points", "silent")
+
+
+def present_names(function):
+    """Lets a function take options by their earlier names, with a warning; a present name wins."""
+
+    @wraps(function)
+    def taking(*args, **options):
+        old = [n for n in options if n in OLD_NAMES or n in WITHOUT_EFFECT or any(n == p for parts in OLD_PARTS.values() for p, _ in parts)]
+        if old:
+            warnings.warn(f"earlier names of options: {', '.join(old)}", DeprecationWarning, stacklevel=2)
+        for name in old:
+            value = options.pop(name) if name in OLD_NAMES or name in WITHOUT_EFFECT else None
+            if name in OLD_NAMES:
+                options.setdefault(OLD_NAMES[name], value)
+        for name, parts in OLD_PARTS.items():
+            if any(p in options for p, _ in parts):
+                told = tuple(options.pop(p, default) for p, default in parts)
+                options.setdefault(name, told)
+        return function(*args, **options)
+
+    return taking

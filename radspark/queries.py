@@ -199,6 +199,17 @@ def spatial_stats(spark, d) -> DataFrame:
     return grids.spatial_stats(points(spark, d, "events"), 1000)
 
 
+def spatial_summary(spark, d) -> DataFrame:
+    found = grids.spatial_summary(points(spark, d, "events"), [250, 500])
+    return found.select("n_points", "width", "height", "aspect_ratio", "density_max_to_mean", "most_points", F.round(F.get("density_skewness", F.lit(0)), 9).alias("spread_250"), F.round(F.get("density_skewness", F.lit(1)), 9).alias("spread_500"))
+
+
+def described_grid(spark, d) -> DataFrame:
+    pts, g = _grid(spark, d)
+    labelled = seed_cells(spark, d).select("row", "col", F.lit(1).alias("cluster_id"))
+    return grids.described(grids.cell_aggregate(pts, g, "v"), g, labelled).select("row", "col", "centroid_x", "centroid_y", "v", "cluster_id")
+
+
 def utm_forward(spark, d) -> DataFrame:
     pts = points(spark, d, "events").select("pid", (F.col("x") / 10000.0 + 3.0).alias("lon"), (F.col("y") / 1000.0).alias("lat"))
     east, north = utm("lon", "lat", 31)
@@ -330,7 +341,7 @@ def queries() -> dict:
         "sparse_grid": sparse_grid, "full_grid": full_grid, "null_thresholds": null_thresholds, "detect_pts": detect_pts, "detect_pts_bands": detect_pts_bands,
         "detect_default": detect_default, "detect_weighted": detect_weighted, "radius_weighted": radius_weighted, "radius_target_exclude_self": radius_target_exclude_self, "weight_cells": weight_cells,
         "study_bbox": study_bbox, "study_cells_members": study_cells_members, "study_buffer_points": study_buffer_points, "polygon_filter": polygon_filter,
-        "seed_cells": seed_cells, "contiguity_components": contiguity_components, "cluster_table": cluster_table, "spatial_stats": spatial_stats,
+        "seed_cells": seed_cells, "contiguity_components": contiguity_components, "cluster_table": cluster_table, "spatial_stats": spatial_stats, "spatial_summary": spatial_summary, "described_grid": described_grid,
         "utm_forward": utm_forward, "weight_exact": weight_exact, "weight_binary": _weight("binary"), "weight_flat": _weight("flat"), "weight_logit": _weight("logit"), "convex_hull": convex_hull, "cluster_cells": cluster_cells,
     }
     return found
@@ -370,6 +381,14 @@ def oracle_sql() -> dict[str, str]:
         "study_buffer_points": _with(EVENTS, ORDERS, pairs("events_pts", "orders_pts", 60)) + "select distinct pid from near",
         "polygon_filter": _with(EVENTS) + "select pid from events_pts where (" + " + ".join(_cross(*p, *q) for p, q in zip(RING, [*RING[1:], RING[0]], strict=True)) + ") % 2 = 1",
         "spatial_stats": _with(EVENTS, _sql_cells(size=1000), "n as (select count(*) as n from cells group by row, col)") + "select (select count(*) from events_pts) as n_points, (select min(x) from events_pts) as xmin, (select max(x) from events_pts) as xmax, (select min(y) from events_pts) as ymin, (select max(y) from events_pts) as ymax, count(*) as n_cells, quantile_cont(cast(n as double), 0.9) as p90, max(n) as most from n",
+        "spatial_summary": _with(EVENTS, "b as (select min(x) as a, min(y) as b, max(x) - min(x) as w, max(y) - min(y) as h, count(*) as n from events_pts)")
+        + "select n as n_points, w::double as width, h::double as height, w::double / h as aspect_ratio, most * 64.0::double / n as density_max_to_mean, most as most_points, round(p250, 9) as spread_250, round(p500, 9) as spread_500 from b, "
+        + "(select max(c) as most from (select count(*) as c from events_pts, b group by least(7, floor((x - a)::double / w * 8)), least(7, floor((y - b)::double / h * 8)))), "
+        + ", ".join(
+            f"(select quantile_cont(c::double, 0.9) * any_value(k * l) / any_value(n) as p{r} from (select count(*) as c, any_value(k) as k, any_value(l) as l, any_value(n) as n from events_pts, (select *, greatest(floor(w / {2 * r}.0), 1) as k, greatest(floor(h / {2 * r}.0), 1) as l from b) t group by least(k - 1, floor((x - a)::double / w * k)), least(l - 1, floor((y - b)::double / h * l))))"
+            for r in (250, 500)
+        ),
+        "described_grid": _with(EVENTS, _sql_cells(), SEEDS, "o as (select min(x) as x0, min(y) as y0 from events_pts)") + f"select c.row, c.col, any_value(x0) + (c.col + 0.5::double) * {CELL} as centroid_x, any_value(y0) + (c.row + 0.5::double) * {CELL} as centroid_y, cast(sum(c.v) as bigint) as v, cast(count(s.row) > 0 as int) as cluster_id from o, cells c left join seeds s on s.row = c.row and s.col = c.col group by c.row, c.col",
         "utm_forward": _utm_sql(),
         "weight_binary": _weight_sql("1 - every"),
         "weight_flat": _weight_sql("case when valid > 0 then 1 - border else 1 end"),

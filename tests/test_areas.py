@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radspark import api
-from radspark.functions.geometry import Strips, clipped_area, edges_of, polygons, ring_area, rings_share
+from radspark.functions.geometry import Strips, _cross, clipped_area, concave_hull, edges_of, polygons, ring_area, rings_share
 from radspark.operators import clusters, detect, radius
 from radspark.operators.study_area import cell_share, diagnostics, frame_cells, parse_weight, polygon_area, shares, study_area
 from radspark.plans import grid as grids
@@ -316,3 +316,66 @@ def test_clusters_need_a_shared_folder(monkeypatch):
     Context.master = "local-cluster[2,1,1024]"
     with pytest.raises(ValueError, match="checkpoint"):
         storage.shared_dir(Session())
+
+
+def test_concave_hulls(spark):
+    g = np.random.default_rng(4)
+    bow = np.array([p for p in g.uniform(0, 10, (900, 2)) if not (3 < p[0] < 7 and p[1] > 3)])  # a U
+    ring = concave_hull(bow, 1.5)
+    assert ring_area(ring) < 0.85 * ring_area(concave_hull(bow, 1e9)) and len({tuple(p) for p in ring.tolist()}) == len(ring)
+    inside = Strips(edges_of([ring])).inside(*bow.T)
+    on_ring = np.array([tuple(p) in {tuple(q) for q in ring.tolist()} for p in bow.tolist()])
+    assert (inside | on_ring).all() and not Strips(edges_of([ring])).inside([5.0], [8.0])[0]
+    e = edges_of([ring])
+    for k in range(len(e)):  # no edge crosses another
+        assert not _cross(e[k, :2], e[k, 2:], e[:, :2], e[:, 2:]).any()
+    df = frame(spark, [(i, float(a), float(b), 1) for i, (a, b) in enumerate(bow)])
+    area = study_area(df, 1, "concave,concavity=1.5")
+    assert area.bounds == pytest.approx((*bow.min(0), *bow.max(0))) and shares(df, [1], area, "exact").count() == len(bow)
+    assert study_area(df.limit(2), 1, "concave").inside(df.limit(2)).count() == 2
+
+
+def test_degrees_of_areas_and_exports(spark):
+    box = [(3.0, 50.0), (3.01, 50.0), (3.01, 50.01), (3.0, 50.01)]
+    zone = api.Zone(31, True)
+    spot = api.draw_random_coords(spark, 40, box, crs="EPSG:4326", random_seed=2, x="lon", y="lat").collect()
+    assert len(spot) == 40 and all(2.9999 < r.lon < 3.0101 and 49.9999 < r.lat < 50.0101 for r in spot)
+    assert len(api.draw_random_coords(spark, 30, HOLED, random_seed=1).where("x > 150").collect()) > 0
+    a, b, c, d = api.local_bounds((3.0, 50.0, 3.01, 50.01), *zone)
+    assert a == pytest.approx(500000) and c - a == pytest.approx(717, abs=1) and d - b == pytest.approx(1112, abs=1)
+    holed = {"type": "Polygon", "coordinates": [box, [(3.002, 50.002), (3.004, 50.002), (3.004, 50.004)]]}
+    local = api.local_polygon(holed, *zone)
+    assert [len(p) for p in local["coordinates"]] == [2]
+    df = spark.createDataFrame([(1, 3.005, 50.005, 1), (2, 3.02, 50.005, 2)], "pid bigint, lon double, lat double, v bigint")
+    got = {r.pid: r["valid_area_share_50"] for r in api.radius_search(df, 50, "v", crs="EPSG:4326", x="lon", y="lat", study_area=holed, area_weight="exact").collect()}
+    assert got == {1: pytest.approx(1), 2: 0}
+    wkt = spark.createDataFrame([(500000.0, 5538630.0, "POLYGON ((500000.0 5538630.0, 500717.0 5538630.0, 500000.0 5539742.0))")], "centroid_x double, centroid_y double, geometry string")
+    back = api.unproject(wkt, zone).first()
+    corner = [float(x) for x in back.geometry.removeprefix("POLYGON ((").split(",")[1].split()]
+    assert back.centroid_x == pytest.approx(3) and corner[0] == pytest.approx(3.01, abs=1e-4) and corner[1] == pytest.approx(back.centroid_y, abs=1e-5)
+    x, y = api.degrees_arrays([500717.0], [5538630.0], *zone)
+    assert (x[0], y[0]) == pytest.approx(tuple(corner))
+
+
+def test_earlier_names_of_options(spark, pts):
+    with pytest.warns(DeprecationWarning, match="exclude_pt_itself"):
+        a = api.radius_search(pts, 20, "v", exclude_pt_itself=True, silent=True).collect()
+    assert a == api.radius_search(pts, 20, "v", exclude_self=True).collect()
+    with pytest.warns(DeprecationWarning):
+        found = api.detect_cluster_cells(pts, 20, "v", n_random_points=100, spacing=10, queen_contingency=2, border_dist_threshold=5, min_cluster_share_after_convex=0.1, k_th_percentile=90)
+    want = api.detect_cluster_cells(pts, 20, "v", null_distribution=100, cell_size=10, contingency=(2, 1), merge_dist=(None, 5), min_cluster_share=(0.05, 0.0, 0.1), k=90)
+    assert found.clusters["v_cluster_sum_20"].collect() == want.clusters["v_cluster_sum_20"].collect()
+    with pytest.raises(TypeError):
+        api.radius_search(pts, 20, "v", nonsense=1)
+
+
+def test_described_cells(spark, pts):
+    grid = grids.build_grid(pts, 20)
+    cells = grids.cell_aggregate(pts, grid, "v")
+    one = cells.limit(1).select("row", "col", F.lit(3).alias("cluster_id"))
+    got = grids.described(grids.full_grid(cells, grid), grid, {"a": one, "b": one}).collect()
+    assert len(got) == grid.n_x * grid.n_y and sum(r.cluster_id_a == 3 == r.cluster_id_b for r in got) == 1
+    assert all(r.centroid_x == pytest.approx(grid.xmin + (r.col + 0.5) * 20) and r.geometry.startswith("POLYGON ((") for r in got)
+    assert "20" in grid.info(cells) and str(cells.count()) in grid.info(cells)
+    some = grids.aggregate_to_grid(pts, "v", 20, {"v": lambda c: F.max(F.col(c) * 2)}).collect()
+    assert {(r.cell_row, r.cell_col): r.v for r in some} == {(r.row, r.col): 2 * r.m for r in grid.assign(pts).groupBy("row", "col").agg(F.max("v").alias("m")).collect()}
