@@ -1,6 +1,7 @@
 """Corpus pipeline: quality classifier, near duplicates, benchmark decontamination, mixing, sharding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, further
+columns with any names included.  Each works on whole texts of any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,28 +13,31 @@ from radspark.plans.storage import materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.3 or more)."""
+    """Documents that the quality classifier accepts (score of 0.3 or more). Null and empty texts score what the model's bias gives; repeated rows are judged one by one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classifier.accepted(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: that of the smallest doc_id (nulls
+    last; ties: text hash), once if the row is repeated. Texts without words, null ones too, all stay."""
     return jaccard.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item, verbatim or re-parameterised."""
+    """Documents without a benchmark item, verbatim or re-parameterised. Null and empty texts and items match nothing."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Epochs of each source up to its exact budget of words."""
+    """Epochs of each source up to its exact budget of words. A null source is one of its own; texts without words, null ones too,
+    give no rows; repeated rows count one by one, ties go by the text's md5."""
     return mixing.mixed_documents(docs)
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and slot."""
+    """Every row with its shard and slot; the other columns are kept, with underscores before names of results. Rows of equal ids
+    and texts are placed one by one."""
     return sharding.shard(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
 
 
