@@ -6,7 +6,8 @@ task holds one range, not one source.  A source takes whole epochs while its bud
 row at the cut gives exactly the words that are left.
 
 Null texts and texts without words have size 0 and give nothing; a null source is a source of its own and sorts last;
-repeated rows count one by one; ties of the key are broken by the text's md5.  An empty table gives an empty result.
+repeated rows count one by one; ties of the key are broken by the text's md5.  Texts of any length count whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

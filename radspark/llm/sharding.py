@@ -6,7 +6,8 @@ rows beyond a full shard continue clockwise to the next virtual node whose shard
 cell (at most ``2**ring_bits`` rows whatever the input) reaches the driver, which walks the ring once and returns, for each
 cell, the rank intervals that go to each shard.  Ranks and slots come from a window within a cell.
 
-Null texts count 0 bytes and have checksum 0; repeated rows are placed one by one; an empty table gives an empty result.  A
+Null texts count 0 bytes and have checksum 0; texts of any length are measured whole; rows of equal hash are ranked by doc_id,
+checksum and size, and repeated rows, which are alike in all of these, are placed one by one; an empty table gives an empty result.  A
 kept column with the name of a result (in any case) gets underscores before its name.
 """
 
