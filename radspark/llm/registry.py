@@ -65,7 +65,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express over whole tables."""
-    return {"op2_mixing": _MIXING, "op9_urls": _URLS}
+    return {"op2_mixing": _MIXING, "op9_urls": _URLS, "op10_jaccard": _JACCARD}
 
 
 _MIXING = r"""
@@ -98,3 +98,17 @@ f as (
   from p left join r on (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path))
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from f where k = 1
 """
+
+_JACCARD = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as s
+  from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select a as doc_id, a as other from e union select r.doc_id, e.b from r join e on e.a = r.other),
+m as (select doc_id, min(other) as least from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.least, d.doc_id) as component_id from documents d left join n using (doc_id) left join m using (doc_id)
+"""
