@@ -151,6 +151,19 @@ def test_every_row_takes_the_next_shard_with_room(spark, n_shards):
     assert Counter((r.doc_id, r.text_crc32, r.size, r.shard, r.slot, r.home_shard) for r in got) == want
 
 
+def test_texts_of_one_id_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 50)
+    rows = [(i, "t") for i in range(300)] + [(7, f"text {i % 90}") for i in range(400)] + [(None, f"n {i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sharding.shard(df, 8, keep=("text",)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shard(df.repartition(5), 8, keep=("text",)).collect()))
+
+
 def test_few_rows_move(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     place = lambda d, n: sharding.shard(d, n).select("doc_id", F.col("shard").alias(f"s{n}"))
