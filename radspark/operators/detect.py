@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from radspark.operators.radius import radius_search
+from radspark.operators.radius import POWERS, look_at, radius_search
 from radspark.operators.study_area import Area, parse_weight, shares, study_area
 from radspark.plans.spec import cluster_flag, parse_r, stat_name
 from radspark.plans.storage import materialize
@@ -67,8 +67,10 @@ def detect(
         spot = study_area(target, radii.distinct[-1], area, cell_size)
     null = null_points(pts, null_distribution, spot, random_seed).withColumnRenamed("nid", pid)
     share = (lambda p: shares(p, [d for d in radii.distinct if d > 0], spot, variant, fraction, pid, target)) if variant else (lambda p: None)
-    observed = radius_search(pts, r, values, stats, pid=pid, exclude_self=exclude_self, pts_target=pts_target, suffix=suffix, overwrite=overwrite, share=share(pts), keep_raw=keep_raw)
-    at_null = radius_search(null, r, values, stats[0], pid=pid, pts_target=target, suffix=suffix, share=share(null))
+    summed = [v for v in values if v in target.columns] if any(POWERS[s] for s in stats) else []
+    look = look_at(target, radii.distinct[-1] or 1.0, "x", "y", summed)
+    observed = radius_search(pts, r, values, stats, pid=pid, exclude_self=exclude_self, pts_target=pts_target, suffix=suffix, overwrite=overwrite, share=share(pts), keep_raw=keep_raw, look=look)
+    at_null = radius_search(null, r, values, stats[0], pid=pid, pts_target=target, suffix=suffix, share=share(null), look=look)
     columns = [n for n in at_null.columns if n not in (pid, "x", "y") and not n.startswith("valid_area_share_")]
     found = thresholds(at_null, columns, k)
     tested = values or ["count"]

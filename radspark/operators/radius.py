@@ -221,14 +221,15 @@ def relation(a: DataFrame, b: DataFrame) -> str:
 def radius_search(
     pts: DataFrame, r, c=(), stat="sum", *, x: str = "x", y: str = "y", pid: str = "pid", exclude_self: bool = False,
     pts_target: DataFrame | None = None, x_tgt: str | None = None, y_tgt: str | None = None, suffix: str | None = None,
-    overwrite: bool = False, share: DataFrame | None = None, keep_raw: bool = False,
+    overwrite: bool = False, share: DataFrame | None = None, keep_raw: bool = False, look: Look | None = None,
 ) -> DataFrame:
     """``pts`` with a column for each value column, statistic and radius, band or weighted band sum.
 
     pid: unique id of the points.  exclude_self: a point's own values don't count; with a target only if every point is one of
     the target's rows (coordinates and values), else a warning.  share: pid and _share_k for the k-th distinct radius over 0,
     the part of each disk inside the study area; counts and sums are divided by it (NaN if 0).  NaN values spread to the sums they belong
-    to; a column with nulls is taken as double, and its nulls as NaN.  Points without coordinates have no neighbours.
+    to; a column with nulls is taken as double, and its nulls as NaN.  Points without coordinates have no neighbours.  look: what
+    look_at says of the same target, largest radius and columns, if another search has asked already.
     """
     radii, stats = parse_r(r), [stat_name(s) for s in ([stat] if isinstance(stat, str) else stat)]
     c = [c] if isinstance(c, str) else list(c)
@@ -259,7 +260,7 @@ def radius_search(
     distinct = radii.distinct
     most = distinct[-1] or 1.0
     summed = values if top else []
-    look = look_at(target, most, x_tgt, y_tgt, summed)
+    look = look or look_at(target, most, x_tgt, y_tgt, summed)
     if missing := [v for v in summed if look.values[v][0]]:
         warnings.warn(f"nulls or NaN in {', '.join(missing)}", stacklevel=2)
     whole = {v: v not in missing and target.schema[v].dataType.typeName() in ("byte", "short", "integer", "long") for v in summed}

@@ -45,13 +45,25 @@ def random_points(spark: SparkSession, n: int, area, seed: int = 0, generator=No
         else:
             drawn = _generated(spark, -(-many // CHUNK), seed, generator)
         inside = area.inside(drawn)
-        found = inside.count()
-        if found >= n:
-            return inside.orderBy("nid").limit(n)
+        last, found = _nth(inside, n, max(CHUNK, many // CHUNK))
+        if last is not None:
+            return inside.where(F.col("nid") <= last)
         many = int(min(many * 64, many * n / found * 1.1 + 1000)) if found else many * 16
     raise ValueError("the study area is too small a part of its bounding box")
 
 
+def _nth(rows: DataFrame, n: int, block: int) -> tuple[int | None, int]:
+    """The n-th smallest nid, if there are as many, and the number of rows: counts of blocks of ids, then the ids of one block."""
+    which = F.floor(F.col("nid") / block).cast("long")
+    before = 0
+    for b, c in sorted(rows.groupBy(which.alias("b")).agg(F.count("*").alias("c")).collect()):
+        if before + c >= n:
+            ids = sorted(r[0] for r in rows.where(which == b).select("nid").collect())
+            return (ids[n - before - 1] if n else -1), before + c
+        before += c
+    return (None if n else -1), before
+
+
 def _generated(spark: SparkSession, chunks: int, seed: int, generator) -> DataFrame:
     def run(frames):
         for f in frames:
