@@ -5,9 +5,10 @@ and once for the trusted ones: all rows labelled ``quality = 1``.  A document's
 it doesn't depend on length; it passes if the score is at least ``threshold``.  The smoothed ratio of every bucket counts: a
 bucket with few expected trusted hits has a ratio near 0.  Nothing is drawn at random.
 
-A join by id flags the trusted texts; else each scan keeps a document in its row: counts meet in one aggregate over buckets,
-and the finished ratios, an array of fixed length, come back as a scalar subquery.  Null texts have no words; a document
-without words scores 0 and fails the base rule.
+A shuffled join by id flags the trusted texts, alike at every size; else each scan keeps a document in its row: counts meet in
+one aggregate over buckets, and the finished ratios, an array of fixed length, come back as a scalar subquery.  Null texts have no words; a document
+without words scores 0 and fails the base rule.  Texts of any length are measured whole, repeated rows one by one; an empty table
+gives an empty result, and without trusted rows every ratio is at most 0.
 """
 
 from __future__ import annotations
@@ -44,8 +45,10 @@ def buckets() -> Column:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, smooth: float = SMOOTH) -> DataFrame:
     """One row: an array with the log-ratio of each bucket."""
-    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    flagged = docs.select("doc_id", "text").join(trusted.withColumn("_t", F.lit(1)), "doc_id", "left")
+    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id", F.lit(0).cast("bigint").alias("_salt"), F.lit(1).alias("_t")).distinct()
+    # rows without an id are dealt out by their text; the ids, not the texts, are what a task holds in memory
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)
+    flagged = docs.select("doc_id", "text", salt.alias("_salt")).join(trusted.hint("shuffle_hash"), ["doc_id", "_salt"], "left")
     counts = (
         words(flagged, "_t")
         .select("_t", F.explode(buckets()).alias("_b"))
