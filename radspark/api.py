@@ -49,11 +49,12 @@ def local_zone(*tables: DataFrame, lon: str = "lon", lat: str = "lat", proj_crs:
 
 
 def project(pts: DataFrame, crs: str, lon: str = "lon", lat: str = "lat", proj_crs: str = "auto", zone: Zone | None = None) -> DataFrame:
-    """proj_x, proj_y: '' takes the columns as they are, EPSG:4326 the UTM zone of the bounds' centre; other systems raise."""
-    if crs == "":
+    """proj_x, proj_y: '' and UTM zones (EPSG:326xx, EPSG:327xx) take the columns as they are, EPSG:4326 the UTM zone of the bounds'
+    centre; other systems raise."""
+    if crs == "" or crs and crs.upper()[:8] in ("EPSG:326", "EPSG:327"):
         return pts.withColumns({"proj_x": F.col(lon), "proj_y": F.col(lat)})
     if crs is None or crs.upper() != DEGREES:
-        raise ValueError(f"crs {crs!r} isn't supported: '' or {DEGREES}")
+        raise ValueError(f"crs {crs!r} isn't supported: '', {DEGREES} or a UTM zone")
     x, y = utm(lon, lat, *(zone or local_zone(pts, lon=lon, lat=lat, proj_crs=proj_crs)))
     return pts.withColumns({"proj_x": x, "proj_y": y})
 
@@ -70,7 +71,7 @@ def _flat(pts: DataFrame, target: DataFrame | None, crs: str, x: str, y: str, pr
 
     The columns that had these names are kept as _own_x, _own_y.
     """
-    zone = local_zone(*(t for t in (pts, target) if t is not None), lon=x, lat=y, proj_crs=proj_crs) if crs else None
+    zone = local_zone(*(t for t in (pts, target) if t is not None), lon=x, lat=y, proj_crs=proj_crs) if crs.upper() == DEGREES else None
     out = []
     for t in (pts, target):
         if t is None:

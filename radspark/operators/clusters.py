@@ -215,6 +215,7 @@ def outline(cells, grid: Grid) -> str:
 
 def build_clusters(pts: DataFrame, grid: Grid, flag: str, c: str, *, contingency=1, merge_dist=None, min_cluster_share=(0.05, 0.0, 0.0), make_convex: bool = True) -> tuple[DataFrame, DataFrame]:
     """(clusters, cluster cells): ids from 1 by total, centroid, total, n_cells, area, geometry; and row, col, cluster_id."""
+    grid.square()
     queen, rook = parse_contingency(contingency)
     rules, shares = parse_merge_dist(merge_dist), parse_shares(min_cluster_share)
     spark = pts.sparkSession

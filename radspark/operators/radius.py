@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from radspark.plans.spec import STATS, Radii, column_name, parse_r, stat_name
 
@@ -242,6 +243,8 @@ def radius_search(
     values = [v for v in c if v != "count" or v in target.columns]
     _needed([pid, x, y], pts.columns, "pts")
     _needed([x_tgt, y_tgt, *values], target.columns, "target")
+    if words := [v for v in values if not isinstance(target.schema[v].dataType, NumericType)]:
+        raise ValueError(f"no numbers: {', '.join(words)}")
     own = exclude_self
     if own and pts_target is not None:
         shared = [v for v in values if v in pts.columns]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: guard against grids of too many cells.
 MOST_CELLS = 50_000_000
 
 
@@ -18,9 +19,14 @@ class Grid:
     size: float
     n_x: int
     n_y: int
+    size_y: float | None = None  #: height of a cell, where it isn't as high as wide
+
+    @property
+    def high(self) -> float:
+        return self.size_y or self.size
 
     def row(self, y: str = "y") -> Column:
-        return F.floor((F.col(y) - F.lit(self.ymin)) / F.lit(self.size)).cast("long")
+        return F.floor((F.col(y) - F.lit(self.ymin)) / F.lit(self.high)).cast("long")
 
     def col(self, x: str = "x") -> Column:
         return F.floor((F.col(x) - F.lit(self.xmin)) / F.lit(self.size)).cast("long")
@@ -29,35 +35,41 @@ class Grid:
         return pts.withColumns({"row": self.row(y), "col": self.col(x)})
 
     def centroid(self) -> tuple[Column, Column]:
-        return F.lit(self.xmin) + (F.col("col") + 0.5) * self.size, F.lit(self.ymin) + (F.col("row") + 0.5) * self.size
+        return F.lit(self.xmin) + (F.col("col") + 0.5) * self.size, F.lit(self.ymin) + (F.col("row") + 0.5) * self.high
 
     def wkt(self) -> Column:
-        x0, y0 = F.lit(self.xmin) + F.col("col") * self.size, F.lit(self.ymin) + F.col("row") * self.size
-        x1, y1 = x0 + self.size, y0 + self.size
+        x0, y0 = F.lit(self.xmin) + F.col("col") * self.size, F.lit(self.ymin) + F.col("row") * self.high
+        x1, y1 = x0 + self.size, y0 + self.high
         point = lambda a, b: F.concat_ws(" ", a.cast("string"), b.cast("string"))
         return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0)), F.lit("))"))
 
+    def square(self) -> Grid:
+        """The grid itself; clusters and study areas need cells as high as wide."""
+        if self.high != self.size:
+            raise ValueError("cells must be as high as wide here")
+        return self
+
     def info(self, cells: DataFrame | None = None) -> str:
         """Extent, cells and, for a table of cells with points, how many these are and what they hold."""
-        lines = [f"{self.n_y} rows x {self.n_x} columns of cells of {self.size:g}", f"x from {self.xmin:g} to {self.xmin + self.n_x * self.size:g}, y from {self.ymin:g} to {self.ymin + self.n_y * self.size:g}"]
+        lines = [f"{self.n_y} rows x {self.n_x} columns of cells of {self.size:g} x {self.high:g}", f"x from {self.xmin:g} to {self.xmin + self.n_x * self.size:g}, y from {self.ymin:g} to {self.ymin + self.n_y * self.high:g}"]
         if cells is not None:
             lines += [f"{cells.count()} cells with points", f"columns: {', '.join(c for c in cells.columns if c not in ('row', 'col'))}"]
         return "\n".join(lines)
 
 
-def build_grid(pts: DataFrame, size: float, x: str = "x", y: str = "y", bounds: tuple | None = None) -> Grid:
+def build_grid(pts: DataFrame, size: float, x: str = "x", y: str = "y", bounds: tuple | None = None, size_y: float | None = None) -> Grid:
     """bounds: (xmin, ymin, xmax, ymax); the first two bind, the others only widen."""
-    if size <= 0:
+    if size <= 0 or size_y is not None and size_y <= 0:
         raise ValueError("cell size must be positive")
     a, b, c, d = pts.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
     if a is None:
         a = b = c = d = 0
     if bounds:
         a, b, c, d = bounds[0], bounds[1], max(bounds[2], c), max(bounds[3], d)
-    n_x, n_y = math.floor((c - a) / size) + 1, math.floor((d - b) / size) + 1
+    n_x, n_y = math.floor((c - a) / size) + 1, math.floor((d - b) / (size_y or size)) + 1
     if n_x * n_y > MOST_CELLS:
         raise ValueError(f"{n_x * n_y} cells; at most {MOST_CELLS}")
-    return Grid(a, b, size, n_x, n_y)
+    return Grid(a, b, size, n_x, n_y, size_y)
 
 
 def cell_aggregate(pts: DataFrame, grid: Grid, c, agg: str = "sum", x: str = "x", y: str = "y") -> DataFrame:

@@ -174,8 +174,12 @@ def test_degrees(spark):
     assert all(r.proj_x == pytest.approx(r.lon) and r.proj_y == pytest.approx(r.lat) for r in back)
     found = api.detect_cluster_pts(df, 100, "v", crs="EPSG:4326", x="lon", y="lat", null_distribution=50, study_area="bbox")
     assert found.columns == ["pid", "lon", "lat", "v", "v_sum_100", "v_cluster_sum_100"]
+    metres = api.project(df, "EPSG:4326").select("pid", "v", F.col("proj_x").alias("e"), F.col("proj_y").alias("n"))
+    assert {r.pid: r.v_sum_100 for r in api.radius_search(metres, 100, "v", crs="EPSG:32631", x="e", y="n").collect()} == got
     with pytest.raises(ValueError):
         api.radius_search(df, 5, "v", crs="EPSG:25832", x="lon", y="lat")
+    with pytest.raises(ValueError, match="no numbers"):
+        api.radius_search(df.withColumn("s", F.lit("x")), 5, "s", x="lon", y="lat")
 
 
 def test_large_values_nulls_and_own_values(spark):
@@ -377,5 +381,11 @@ def test_described_cells(spark, pts):
     assert len(got) == grid.n_x * grid.n_y and sum(r.cluster_id_a == 3 == r.cluster_id_b for r in got) == 1
     assert all(r.centroid_x == pytest.approx(grid.xmin + (r.col + 0.5) * 20) and r.geometry.startswith("POLYGON ((") for r in got)
     assert "20" in grid.info(cells) and str(cells.count()) in grid.info(cells)
+    flat = grids.build_grid(pts, 20, size_y=5)
+    count = {(r.row, r.col): r.v for r in grids.cell_aggregate(pts, flat, "v", "count").collect()}
+    assert sum(count.values()) == 200 and max(r for r, _ in count) < flat.n_y and flat.n_y > 3 * grid.n_y
+    assert all((math.floor((r.y - flat.ymin) / 5), math.floor((r.x - flat.xmin) / 20)) in count for r in pts.collect())
+    with pytest.raises(ValueError):
+        clusters.build_clusters(pts.withColumn("cluster", F.lit(True)), flat, "cluster", "v")
     some = grids.aggregate_to_grid(pts, "v", 20, {"v": lambda c: F.max(F.col(c) * 2)}).collect()
     assert {(r.cell_row, r.cell_col): r.v for r in some} == {(r.row, r.col): 2 * r.m for r in grid.assign(pts).groupBy("row", "col").agg(F.max("v").alias("m")).collect()}
