@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Two indexes hold the same examples.  The first has every word of the examples (ASCII-folded, without outer punctuation), no
-vocabulary rule, weights (1 + log tf) * idf.  The second has the words and prefixes (first four and five bytes) most associated
+vocabulary rule, weights (1 + log tf) * idf, and gives the neighbours with a similarity of ``FAR`` or more.  The second has the words and prefixes (first four and five bytes) most associated
 with either label (z of the difference of document shares, at least ``least_z``, ``max_terms`` of them): in long texts with a few
 telling words these find the neighbours that matter.  Examples are ordered by their strongest term and cut into blocks; for each
 term the index keeps its largest weight in each block.  A query visits only blocks whose upper bound, from these maxima, can
@@ -10,8 +10,8 @@ reach its k-th neighbour, so neighbours are exact (ties: the earlier example).
 A vote is the share of toxic neighbours, weighted by 1 / (1.01 - similarity) in the first index and by similarity in the
 second, where one pseudo-neighbour pulls it to 0.  The nearer the nearest example of the first index comes (from ``FAR`` on),
 the more its vote counts; a copy of an example goes by that one alone.  A logistic map makes the vote a probability; it is
-fitted on votes of each fifth of the examples from indexes, vocabularies and idf of the other four.  Evidence are the ids of the nearest
-examples of the first index with a similarity of ``FAR`` or more, then of the second.
+fitted on votes of each fifth of the examples from indexes, vocabularies and idf of the other four.  Evidence are the ids of
+the nearest examples of the first index, then of the second.
 
 Examples are at most ``max_rows`` labelled rows in hash order (bounded, and so is the index); all documents are scored,
 whole.  A text without words of the examples (null and empty ones too) has no neighbours and the score of vote 0; repeated
@@ -114,35 +114,35 @@ class AllWords:
     """Exact top-k cosine over all words of the examples: dense columns for common words, postings for the others."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+        """rows: sorted term numbers and weights of unit length of each example."""
         top = [int(t[np.argmax(w)]) if len(t) else n_terms for t, w in rows]
         self.order = np.array(sorted(range(len(rows)), key=lambda i: (top[i], i)), np.int64)  # place -> example
         self.n, self.block, self.blocks = len(rows), block, max(1, -(-len(rows) // block))
-        size = np.array([len(rows[i][0]) for i in self.order], np.int64)
-        term = np.concatenate([np.zeros(0, np.int64), *(rows[i][0] for i in self.order)])
-        weight = np.concatenate([np.zeros(0), *(rows[i][1] for i in self.order)]).astype(np.float32)
-        place = np.repeat(np.arange(self.n), size)
+        place = np.repeat(np.arange(self.n, dtype=np.int32), [len(rows[i][0]) for i in self.order])
+        term = np.concatenate([np.zeros(0, np.int32), *(rows[i][0] for i in self.order)]).astype(np.int32)
+        weight = np.concatenate([np.zeros(0, np.float32), *(rows[i][1] for i in self.order)]).astype(np.float32)
         df = np.bincount(term, minlength=n_terms)
-        self.column = np.full(n_terms, -1)
+        self.column = np.full(n_terms, -1, np.int32)
         common = np.flatnonzero(df * COMMON > self.n)
         self.column[common] = np.arange(len(common))
         many = self.column[term] >= 0
         self.dense = np.zeros((self.blocks * block, len(common)), np.float32)
         self.dense[place[many], self.column[term[many]]] = weight[many]
         self.most = self.dense.reshape(self.blocks, block, len(common)).max(1)
-        term, place, weight = term[~many], place[~many], weight[~many]
-        by = np.lexsort((place, term))
+        rare = np.flatnonzero(~many)
+        by = rare[np.argsort(term[rare], kind="stable")]  # places rise within a term
         self.place, self.weight = place[by], weight[by]
-        self.start = np.searchsorted(term[by], np.arange(n_terms + 1))
+        self.start = np.concatenate(([0], np.cumsum(np.where(self.column < 0, df, 0))))
         self.visited = 0
 
-    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(examples, similarities) of the k nearest of each query with a similarity over 0, nearest first."""
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, similarities) of the k nearest of each query with a similarity over 0 and of ``least`` or more, nearest first."""
         out = []
         for at in range(0, len(queries), 256):
-            out += self._some(queries[at : at + 256], k)
+            out += self._some(queries[at : at + 256], k, least)
         return out
 
-    def _some(self, queries, k: int):
+    def _some(self, queries, k: int, least: float):
         m, width = len(queries), self.blocks * self.block
         row = np.repeat(np.arange(m), [len(t) for t, _ in queries])
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in queries)])
@@ -158,7 +158,7 @@ class AllWords:
         bound = score.reshape(m, self.blocks, self.block).max(2) + common @ self.most.T
         queue = np.argsort(-bound, 1, kind="stable")
         done = np.zeros((m, self.blocks), bool)
-        kth = np.zeros(m, np.float32)
+        kth = np.full(m, least, np.float32)
         for step in range(self.blocks):
             block = queue[:, step]
             need = bound[np.arange(m), block] >= np.maximum(kth - 1e-6, 1e-12)
@@ -171,16 +171,18 @@ class AllWords:
                 done[rows, b] = True
                 self.visited += len(rows)
             if step % 8 == 7 and self.n > k:
-                seen = np.where(np.repeat(done, self.block, 1), score, 0)
-                kth = np.partition(seen, width - k, 1)[:, width - k]
-        score[~np.repeat(done, self.block, 1)] = 0
-        found = []
-        cut = np.partition(score, width - k, 1)[:, width - k] if width > k else np.zeros(m, np.float32)
-        for i in range(m):
-            places = np.flatnonzero((score[i] >= cut[i] - 1e-6) & (score[i] > 0))
-            e, s = self.order[places], score[i, places].astype(float)
+                rows = np.flatnonzero(need)  # the others are done
+                seen = np.where(np.repeat(done[rows], self.block, 1), score[rows], 0)
+                kth[rows] = np.maximum(least, np.partition(seen, width - k, 1)[:, width - k])
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * m
+        for i in np.flatnonzero(done.any(1)).tolist():
+            blocks = np.flatnonzero(done[i])
+            places = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
+            s = score[i, places].astype(float)
+            near = np.flatnonzero((s > 0) & (np.round(s, 6) >= least))
+            e, s = self.order[places[near]], s[near]
             best = np.lexsort((e, -np.round(s, 6)))[:k]
-            found.append((e[best], s[best]))
+            found[i] = e[best], s[best]
         return found
 
 
@@ -196,17 +198,16 @@ def joint(all_words: tuple[np.ndarray, np.ndarray], tied: tuple[np.ndarray, np.n
         share = min(1.0, max(0.0, (s[0] - FAR) / (1 - FAR)))
         near = 1 / (1.01 - np.minimum(s, 1.0))
         other = share * float((near * y[e]).sum() / near.sum()) + (1 - share) * other
-    close = e[s >= FAR].tolist()
-    return other, list(dict.fromkeys([*close, *f.tolist()]))[:3]
+    return other, list(dict.fromkeys([*e.tolist(), *f.tolist()]))[:3]
 
 
 def vectors(row: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and weights, (1 + log tf) * idf brought to unit length, of each of n rows; entries come by row."""
     at = np.searchsorted(row, np.arange(n + 1))
-    out = []
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        w = (1 + np.log(tf[a:b])) * idf[term[a:b]]
-        out.append((term[a:b], w / np.sqrt((w * w).sum()) if b > a else w))
-    return out
+    weight = (1 + np.log(tf)) * idf[term]
+    length = np.sqrt(np.bincount(row, weight * weight, n))
+    weight = weight / length[row]
+    return [(term[a:b], weight[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_terms: int, least_z: float, k: int) -> dict:
@@ -226,56 +227,90 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_terms
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = examples(docs, labels, label, max_rows).mapInArrow(take, f"doc_id {kind}, y int, x binary, tf binary, px binary, ptf binary").collect()
     got.sort(key=lambda g: (g["doc_id"], bytes(g["x"])))
-    part = lambda c, t: [np.frombuffer(g[c], t) for g in got]
-    y = np.array([g["y"] for g in got], np.int64)
-    return index([g["doc_id"] for g in got], y, part("x", np.uint64), part("tf", np.int32), part("px", np.uint64), part("ptf", np.int32), max_terms, least_z, k)
-
-
-def _indexes(y: np.ndarray, x: list, tf: list, px: list, ptf: list, max_terms: int, least_z: float) -> dict:
-    """Both indexes of some examples. px, ptf: prefixes and their counts."""
-    n, n1 = len(y), int((y > 0).sum())
-    row, code = np.repeat(np.arange(n), [len(c) for c in x]), np.concatenate(x)
-    words, number = np.unique(code, return_inverse=True)
-    idf = np.log((n + 1) / (np.bincount(number) + 1)) + 1
-    every = AllWords(vectors(row, number, np.concatenate(tf), idf, n), len(words))
-    both = [np.concatenate((a, b)) for a, b in zip(x, px, strict=True)]
-    row, code, count = np.repeat(np.arange(n), [len(c) for c in both]), np.concatenate(both), np.concatenate([np.concatenate((a, b)) for a, b in zip(tf, ptf, strict=True)])
-    found, number = np.unique(code, return_inverse=True)
-    df = np.bincount(number)
-    df1 = np.bincount(number, y[row] > 0, len(df))
-    share = df / n
-    z = (df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)) + 1e-12)
-    good = np.flatnonzero((np.abs(z) >= least_z) & (df >= 2))
-    good = np.sort(good[np.lexsort((found[good], -np.abs(z[good])))[:max_terms]])
-    vocabulary, tied_idf = found[good], np.log((n + 1) / (df[good] + 1)) + 1
-    place = np.full(len(found), -1)
-    place[good] = np.arange(len(good))
-    keep = place[number] >= 0
-    order = np.lexsort((place[number][keep], row[keep]))
-    rows = vectors(row[keep][order], place[number][keep][order], count[keep][order], tied_idf, n)
-    return {"words": words, "idf": idf, "all": every, "vocabulary": vocabulary, "tied_idf": tied_idf, "blocks": BlockMax(rows, len(good)), "y": y}
-
-
-def _known(row: np.ndarray, code: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, n: int, tf: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Unit vectors over the vocabulary. Without tf: row and code have an entry for each occurrence."""
+    y, ids = np.array([g["y"] for g in got], np.int64), [g["doc_id"] for g in got]
+    words = Terms([np.frombuffer(g["x"], np.uint64) for g in got], [np.frombuffer(g["tf"], np.int32) for g in got])
+    prefixes = Terms([np.frombuffer(g["px"], np.uint64) for g in got], [np.frombuffer(g["ptf"], np.int32) for g in got])
+    del got
+    return index(ids, y, words, prefixes, max_terms, least_z, k)
+
+
+class Terms:
+    """Terms of rows: codes in order, and number and count of each row's terms."""
+
+    def __init__(self, codes: list[np.ndarray], counts: list[np.ndarray]):
+        self.at = np.cumsum([0, *map(len, codes)])
+        self.codes, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
+        self.number, self.count = number.astype(np.int32), np.concatenate([np.zeros(0, np.int32), *counts])
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among ``rows``, number, count) of the terms of some rows."""
+        size = self.at[rows + 1] - self.at[rows]
+        entry = np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.repeat(np.arange(len(rows), dtype=np.int32), size), self.number[entry], self.count[entry]
+
+
+class Indexes:
+    """Both indexes of some rows."""
+
+    def __init__(self, y: np.ndarray, rows: np.ndarray, words: Terms, prefixes: Terms, max_terms: int, least_z: float):
+        self.y, n = y[rows], len(rows)
+        n1 = int((self.y > 0).sum())
+        row, number, count = words.of(rows)
+        df = np.bincount(number, minlength=len(words.codes))
+        self.idf = np.where(df > 0, np.log((n + 1) / (df + 1)) + 1, 0)
+        self.every = AllWords(vectors(row, number, count, self.idf, n), len(words.codes))
+        told = []  # (z, df, kind, number) of the terms of both kinds
+        for kind, some in enumerate((words, prefixes)):
+            row, number, _ = some.of(rows)
+            df = np.bincount(number, minlength=len(some.codes))
+            df1 = np.bincount(number[self.y[row] > 0], minlength=len(some.codes))
+            share = df / n
+            z = np.abs((df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)) + 1e-12))
+            good = np.flatnonzero((z >= least_z) & (df >= 2))
+            told += zip((-z[good]).tolist(), some.codes[good].tolist(), df[good].tolist(), [kind] * len(good), good.tolist(), strict=True)
+        told = sorted(sorted(told)[:max_terms], key=lambda t: t[1])
+        self.vocabulary = np.array([t[1] for t in told], np.uint64)
+        self.tied_idf = np.log((n + 1) / (np.array([t[2] for t in told]) + 1)) + 1
+        self.place = [np.full(len(some.codes), -1, np.int32) for some in (words, prefixes)]
+        for i, (*_, kind, number) in enumerate(told):
+            self.place[kind][number] = i
+        self.blocks = BlockMax(self.tied(rows, words, prefixes), len(told))
+
+    def all_words(self, rows: np.ndarray, words: Terms) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Vectors of some rows, without the words that no row of the index has."""
+        row, number, count = words.of(rows)
+        keep = self.idf[number] > 0
+        return vectors(row[keep], number[keep], count[keep], self.idf, len(rows))
+
+    def tied(self, rows: np.ndarray, words: Terms, prefixes: Terms) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts = []
+        for place, some in zip(self.place, (words, prefixes), strict=True):
+            row, number, count = some.of(rows)
+            keep = place[number] >= 0
+            parts.append((row[keep], place[number[keep]], count[keep]))
+        row, term, count = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((term, row))
+        return vectors(row[order], term[order], count[order], self.tied_idf, len(rows))
+
+    def model(self, words: Terms) -> dict:
+        return {"words": words.codes, "idf": self.idf, "all": self.every, "vocabulary": self.vocabulary, "tied_idf": self.tied_idf, "blocks": self.blocks, "y": self.y}
+
+
+def _known(row: np.ndarray, code: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors over the vocabulary of rows with a code for each occurrence of a term."""
     if not len(vocabulary):
         return [(np.zeros(0, np.int64), np.zeros(0))] * n
     at = np.searchsorted(vocabulary, code)
     at[at == len(vocabulary)] = 0
     hit = vocabulary[at] == code
-    if tf is None:
-        row, term, tf = counted(row[hit], at[hit])
-    else:
-        order = np.lexsort((at[hit], row[hit]))
-        row, term, tf = row[hit][order], at[hit][order], tf[hit][order]
-    return vectors(row, term, tf, idf, n)
+    return vectors(*counted(row[hit], at[hit]), idf, n)
 
 
 def _votes(m: dict, words: list, tied: list, k: int, seen: dict | None = None) -> list[tuple[float, list[int]]]:
     """Vote and evidence of each query, given its vectors for both indexes."""
     none = (np.zeros(0, np.int64), np.zeros(0))
     out = []
-    for one, (t, w) in zip(m["all"].top(words, k), tied, strict=True):
+    for one, (t, w) in zip(m["all"].top(words, k, FAR), tied, strict=True):
         key = (t.tobytes(), w.tobytes())
         found = seen.get(key) if seen is not None else None
         if found is None:
@@ -288,7 +323,7 @@ def _votes(m: dict, words: list, tied: list, k: int, seen: dict | None = None) -
     return out
 
 
-def index(ids: list, y: np.ndarray, x: list, tf: list, px: list, ptf: list, max_terms: int = MAX_TERMS, least_z: float = LEAST_Z, k: int = K) -> dict:
+def index(ids: list, y: np.ndarray, words: Terms, prefixes: Terms, max_terms: int = MAX_TERMS, least_z: float = LEAST_Z, k: int = K) -> dict:
     n, n1 = len(y), int((y > 0).sum())
     if not n or n1 in (0, n):
         p = n1 / n if n else 0.0
@@ -296,16 +331,12 @@ def index(ids: list, y: np.ndarray, x: list, tf: list, px: list, ptf: list, max_
     votes, fold = np.zeros(n), np.arange(n) % FOLDS
     for f in range(FOLDS):
         mine, other = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        if not len(other) or y[mine].min() == y[mine].max():
-            continue
-        part = _indexes(y[mine], *([s[i] for i in mine] for s in (x, tf, px, ptf)), max_terms, least_z)
-        row = lambda s: np.repeat(np.arange(len(other)), [len(s[i]) for i in other])  # noqa: B023, E731
-        join = lambda s: np.concatenate([s[i] for i in other])  # noqa: B023, E731
-        words = _known(row(x), join(x), part["words"], part["idf"], len(other), join(tf))
-        tied = _known(np.concatenate((row(x), row(px))), np.concatenate((join(x), join(px))), part["vocabulary"], part["tied_idf"], len(other), np.concatenate((join(tf), join(ptf))))
-        votes[other] = [v for v, _ in _votes(part, words, tied, k)]
+        if len(other) and y[mine].min() != y[mine].max():
+            part = Indexes(y, mine, words, prefixes, max_terms, least_z)
+            votes[other] = [v for v, _ in _votes(part.model(words), part.all_words(other, words), part.tied(other, words, prefixes), k)]
+            del part
     a, b = logistic(votes, y)
-    return _indexes(y, x, tf, px, ptf, max_terms, least_z) | {"a": a, "b": b, "ids": ids, "k": k, "votes": votes}
+    return Indexes(y, np.arange(n), words, prefixes, max_terms, least_z).model(words) | {"a": a, "b": b, "ids": ids, "k": k, "votes": votes}
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, least_z: float = LEAST_Z, k: int = K) -> DataFrame:
