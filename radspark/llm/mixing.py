@@ -1,12 +1,13 @@
 """Mix sources to target weights: hash-random order in each source, distributed prefix sums, cut at the exact budget.
 
-Every row gets a random key from md5(seed, doc_id); the key's leading bits make ``BUCKETS`` ranges of one source.  Range sums
+Every row gets a random key: the leading bits of md5(seed, doc_id), those of md5(text), then both in full.  The leading bits make
+``BUCKETS`` times ``PARTS`` ranges of one source, so the texts of one repeated id, or without an id, lie in many ranges.  Range sums
 and a running sum over them give each range its offset, a window inside the range gives each row its own, so the largest
 task holds one range, not one source.  A source takes whole epochs while its budget allows and then rows in key order; the
 row at the cut gives exactly the words that are left.
 
 Null texts and texts without words have size 0 and give nothing; a null source is a source of its own and sorts last;
-repeated rows count one by one; ties of the key are broken by the text's md5.  Texts of any length count whole; an empty table
+repeated rows count one by one, in one range.  Texts of any length count whole; an empty table
 gives an empty result.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from radspark.llm._text import WORD
 
 WEIGHTS = (5, 2, 1)
-BUCKETS = 4096
+BUCKETS, PARTS = 1 << 9, 1 << 5
 
 
 def _key(value, seed: str = ""):
@@ -61,7 +62,10 @@ def _placed(docs: DataFrame, columns: tuple[str, ...], share: float, weights: tu
         F.col("source").isNull().alias("_none"),
         _key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed).alias("_key"),
         _key(text).alias("_tie"),
-    ).withColumn("_bucket", F.shiftright("_key", 48).cast("int"))
+    )
+    # the keys have 60 bits
+    leading = lambda c, n: F.shiftright(c, 60 - (n.bit_length() - 1)).cast("int")
+    rows = rows.withColumn("_bucket", leading("_key", BUCKETS) * PARTS + leading("_tie", PARTS))
     sums = rows.groupBy("_source", "_none", "_bucket").agg(F.sum("size").alias("_sum"))
     budget = targets(sums.groupBy("_source", "_none").agg(F.sum("_sum").alias("source_size")), share, weights, most)
     before = Window.partitionBy("_source", "_none").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

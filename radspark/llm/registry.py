@@ -81,7 +81,7 @@ l as (select *, cap / w as ratio,
   from w),
 t as (select source, source_size, least(cap, coalesce((select arg_min(level, (ratio, rank)) from l where level <= ratio) * w, cap)) as target from l),
 p as (
-  select d.*, t.source_size, t.target, floor(t.target + 1e-6) as budget, coalesce(sum(size) over (partition by d.source order by key, tie rows between unbounded preceding and 1 preceding), 0) as before
+  select d.*, t.source_size, t.target, floor(t.target + 1e-6) as budget, coalesce(sum(size) over (partition by d.source order by key >> 51, tie >> 55, key, tie rows between unbounded preceding and 1 preceding), 0) as before
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
   cast(case when source_size > 0 then floor(budget / source_size) * size + greatest(0, least(size, budget - floor(budget / source_size) * source_size - before)) else 0 end as bigint) as taken

@@ -85,7 +85,7 @@ def plain(rows, junk, leaks):
     for s in names:
         budget = int(target[s] + 1e-6)
         while budget:
-            for r in sorted(by[s], key=lambda r: (md5(f"mix{r[0]}"), md5(r[1]))):
+            for r in sorted(by[s], key=lambda r: (md5(f"mix{r[0]}") >> 51, md5(r[1]) >> 55, md5(f"mix{r[0]}"), md5(r[1]))):
                 n = min(budget, len(WORDS.findall(r[1])))
                 if n:
                     out[r[0], s, r[1][: list(WORDS.finditer(r[1]))[n - 1].end()] if n < len(WORDS.findall(r[1])) else r[1]] += 1

@@ -1,5 +1,6 @@
-"""Operators against plain versions of their definitions: decontamination, placement on the ring, long lists of url rules."""
+"""Operators against plain versions of their definitions: decontamination, placement on the ring, mixes, long lists of url rules."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from radspark.llm import _text, decontamination, sharding, urls
+from radspark.llm import _text, decontamination, mixing, sharding, urls
 
 rng = random.Random(21)
 WORDS = re.compile(_text.WORD)
@@ -192,3 +193,24 @@ def test_long_lists_of_rules(spark, monkeypatch):
     assert urls.judge(pages.limit(0), told).count() == 0
     with pytest.raises(ValueError):
         urls.judge(pages, [r[:3] for r in rules])
+
+
+def test_a_mix_of_texts_of_one_id(spark):
+    """A third of the rows has one id, a third none: budgets and order by the leading bits of both hashes hold all the same."""
+    rows = [(i, f"w{i} " * (i % 5 + 1), "a") for i in range(300)] + [(7, f"v{i} x", "a") for i in range(300)] + [(None, f"u{i} x y", "b") for i in range(300)] + [(1, "q", "b")] * 9
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    code = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    key = lambda r: (code(f"mix{'' if r[0] is None else r[0]}") >> 51, code(r[1]) >> 55, code(f"mix{'' if r[0] is None else r[0]}"), code(r[1]))
+    got = Counter((r.doc_id, r.text, r.taken) for r in mixing._placed(df, ("doc_id", "text"), 1.5, (5, 2, 1), 2.0, "mix").withColumnsRenamed({"_keep_doc_id": "doc_id", "_keep_text": "text"}).collect())
+    target = {r.source: r.target for r in mixing.mix(df).collect()}
+    want = Counter()
+    for s, t in target.items():
+        mine = sorted((r for r in rows if r[2] == s), key=key)
+        sizes = [len(r[1].split()) for r in mine]
+        budget = int(t + 1e-6)
+        left = budget % sum(sizes)
+        for r, n in zip(mine, sizes, strict=True):
+            take = min(n, left)
+            left -= take
+            want[r[0], r[1], budget // sum(sizes) * n + take] += 1
+    assert got == want
