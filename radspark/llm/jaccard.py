@@ -16,10 +16,11 @@ Every pair passes a parity sketch before its sets meet: each shingle flips one b
 sketches differ in k bits differ in k shingles at least.  A sketch has at least two bits for each shingle, in powers of two
 from ``FOLDED``, so that it doesn't saturate in long texts; the longer of two sketches is folded to the shorter one's length.
 
-Candidates meet by signature.  In each signature's group the smallest probing set is the first centre, the smallest one whose
-sketch rules out the first is the second, and so on for ``CENTRES`` of them.  A member makes a pair with each centre that its
-sketch leaves room for; pairs are tested by their full sketches and verified exactly.  What is left are the members, centres
-aside, of groups that lie in several components now: a join by signature compares their sketches in its condition, so that it
+Candidates meet by signature.  A signature's group of more than ``PART`` members is dealt out to parts.  In each group or part the
+smallest probing set is the first centre, the smallest one whose sketch rules out the first is the second, and so on for
+``CENTRES`` of them.  A member makes a pair with each centre that its sketch leaves room for, and so do the centres of a group's
+first part with those of its other parts; pairs are tested by their full sketches and verified exactly.  What is left are the
+members, centres of undivided groups aside, of groups that lie in several components now: a join by signature compares their sketches in its condition, so that it
 gives near pairs of an indexing and a probing set only, each at the smallest of its common signatures (where that one is among
 the ``LISTED`` smallest of both).  So a group of n similar sets costs n pairs, and no link between components is lost.
 
@@ -45,6 +46,8 @@ from radspark.plans.components import connected_components
 from radspark.plans.storage import drop, materialize, release
 
 RATIO, POOL, FOLDED, LISTED, CENTRES = 1.25, 16, 512, 16, 3
+#: Members of a signature that one task takes together.
+PART = 4096
 #: Longs of a folded sketch.
 FOLD = [f"s{k}" for k in range(FOLDED // 64)]
 #: Sets of more than LARGE shingles also bring a sketch of LARGE_BITS to the residual join.
@@ -225,13 +228,14 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """sig, node, role of the signatures that an indexing and another, probing node have."""
+    """sig, node, role, parts, part of the signatures that an indexing and another, probing node have."""
     of_sig = Window.partitionBy("sig")
     met = _signatures(docs, words, percent).select(
-        "*", F.min("node").over(of_sig).alias("_lo"), F.max("node").over(of_sig).alias("_hi"),
+        "*", F.min("node").over(of_sig).alias("_lo"), F.max("node").over(of_sig).alias("_hi"), F.ceil(F.count("*").over(of_sig) / PART).cast("int").alias("parts"),
         F.max(F.col("role") >= 2).over(of_sig).alias("_probe"), F.max(F.col("role") % 2).over(of_sig).alias("_index"),
     )
-    return materialize(met.where("_lo <> _hi and _probe and _index = 1").select("sig", "node", "role").distinct(), "candidates")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    return materialize(met.where("_lo <> _hi and _probe and _index = 1").select("sig", "node", "role", "parts", part).distinct(), "candidates")
 
 
 def _differing(x: str, y: str) -> Column:
@@ -240,18 +244,18 @@ def _differing(x: str, y: str) -> Column:
 
 
 def _centred(shared: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """sig, node, n, role, folded sketch, centre (whether the row is one) and, for each centre near the row, its node and size."""
-    of_sig = Window.partitionBy("sig")
+    """sig, node, n, role, parts, part, folded sketch, centre (whether the row is one) and, for each near centre of its part, node and size."""
+    of_part = Window.partitionBy("sig", "part")
     rows, far, centres, named = shared.join(table.select("node", "n", *FOLD), "node"), F.lit(True), F.lit(False), []
     for k in range(CENTRES):
         c = f"_c{k}."
-        rows = rows.withColumn(f"_far{k}", far).withColumn(f"_c{k}", F.min(F.when(F.col(f"_far{k}") & (F.col("role") >= 2), F.struct("node", "n", *FOLD))).over(of_sig))
+        rows = rows.withColumn(f"_far{k}", far).withColumn(f"_c{k}", F.min(F.when(F.col(f"_far{k}") & (F.col("role") >= 2), F.struct("node", "n", *FOLD))).over(of_part))
         near = _similar_size(F.col("n"), F.col(f"{c}n"), percent) & _open(_differing("", c), F.col("n") + F.col(f"{c}n"), percent)
         own = F.col("node") == F.col(f"{c}node")
         far = F.col(f"_far{k}") & ~F.coalesce(near, F.lit(True))
         centres = centres | F.coalesce(own, F.lit(False))
         named += [F.when(near & ~own, F.struct(F.col(f"{c}node").alias("node"), F.col(f"{c}n").alias("n"))).alias(f"near{k}")]
-    return materialize(rows.select("sig", "node", "n", "role", *FOLD, centres.alias("centre"), *named), "centred")
+    return materialize(rows.select("sig", "node", "n", "role", "parts", "part", *FOLD, centres.alias("centre"), *named), "centred")
 
 
 def _similar_size(n: Column, m: Column, percent: int) -> Column:
@@ -263,6 +267,15 @@ def _open(differ: Column, both: Column, percent: int) -> Column:
     return differ * (100 + percent) <= (100 - percent) * both
 
 
+def _across(met: DataFrame, percent: int) -> DataFrame:
+    """Near pairs (a, b, na, nb) of a centre of a signature's first part and one of another part."""
+    some = met.where("centre and parts > 1").select("sig", "part", "node", "n", *FOLD)
+    x, y = some.where("part = 0").alias("x"), some.where("part > 0").alias("y")
+    near = _similar_size(F.col("x.n"), F.col("y.n"), percent) & _open(_differing("x.", "y."), F.col("x.n") + F.col("y.n"), percent)
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") != F.col("y.node")) & near)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
 def _sketched(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that their full sketches leave room for."""
     left, right = (table.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
@@ -305,13 +318,17 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 
 
 def _mixed(met: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
-    """sig, node, n, role, component, sketches and first signatures of members, centres aside, of groups in several components."""
-    of_sig, of_node = Window.partitionBy("sig"), Window.partitionBy("node")
-    rows = met.where("not centre").select("sig", "node", "role").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.withColumns({"_lo": F.min("component").over(of_sig), "_hi": F.max("component").over(of_sig)}).where("_lo <> _hi").drop("_lo", "_hi")
-    rows = rows.withColumn("_place", F.row_number().over(of_node.orderBy("sig")))
+    """sig, node, n, role, component, sketches and first signatures of members, the centres of whole groups aside, of groups in several components."""
+    of_node = Window.partitionBy("node")
+    rows = met.where("not centre or parts > 1").select("sig", "node", "role").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(rows, "placed")
+    several = placed.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("sig")
+    several = materialize(several, "several")  # a table, so that the join can split a large group
+    rows = placed.join(several, "sig", "left_semi").withColumn("_place", F.row_number().over(of_node.orderBy("sig")))
     rows = rows.withColumn("sigs", F.collect_list(F.when(F.col("_place") <= LISTED, F.col("sig"))).over(of_node)).drop("_place")
-    return materialize(rows.join(table.select("node", "n", *FOLD, "large"), "node"), "mixed")
+    mixed = materialize(rows.join(table.select("node", "n", *FOLD, "large"), "node"), "mixed")
+    drop(placed, several)
+    return mixed
 
 
 def _rest(mixed: DataFrame, percent: int) -> DataFrame:
@@ -343,7 +360,7 @@ def linked_nodes(docs: DataFrame, members: DataFrame, words: int, percent: int)
     stars = reduce(DataFrame.union, (
         met.where(f"near{k} is not null").select(F.col(f"near{k}.node").alias("a"), F.col("node").alias("b"), F.col(f"near{k}.n").alias("na"), F.col("n").alias("nb"))
         for k in range(CENTRES)
-    ))
+    ), _across(met, percent))
     links = _linked(docs, _sketched(stars.distinct(), table, percent), words, percent)
     labels = connected_components(links)
     release(spark)

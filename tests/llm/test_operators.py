@@ -345,8 +345,9 @@ def plain_groups(rows, k, percent):
     return Counter((r[0], len(s[i]), least.get(find(i)) if s[i] else r[0]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_jaccard(docs, rows, k, percent):
+@pytest.mark.parametrize(("k", "percent", "part"), [(4, 85, 4096), (5, 80, 4096), (5, 80, 6)])
+def test_jaccard(docs, rows, monkeypatch, k, percent, part):
+    monkeypatch.setattr(jaccard, "PART", part)
     got = jaccard.groups(docs, k, percent).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_groups(rows, k, percent)
 
@@ -495,8 +496,10 @@ def test_headers_that_are_no_objects(spark):
     assert not secrets._has_header(base64.urlsafe_b64encode(b'"alg"').decode())
 
 
-def test_groups_of_many_unlinked_clusters(spark):
-    """Clusters of copies that share a long passage, more of them than there are centres, and rows of a repeated id."""
+@pytest.mark.parametrize("part", [4096, 5])
+def test_groups_of_many_unlinked_clusters(spark, monkeypatch, part):
+    """Clusters of copies that share a long passage, more of them than there are centres, and rows of a repeated id; with groups in parts."""
+    monkeypatch.setattr(jaccard, "PART", part)
     shared, g = prose(60), random.Random(9)
     rows = []
     for c in range(7):
