@@ -242,7 +242,8 @@ def convex_hull(spark, d) -> DataFrame:
 
 def cluster_cells(spark, d) -> DataFrame:
     found = api.detect_cluster_cells(points(spark, d, "events"), R, "v", study_area="bbox", cell_size=CELL, merge_dist=(None, 2.0 * CELL))
-    return found.clusters[f"v_cluster_sum_{R}"]
+    table = found.clusters[f"v_cluster_sum_{R}"]
+    return table.select("cluster_id", F.round("centroid_x", 6).alias("centroid_x"), F.round("centroid_y", 6).alias("centroid_y"), "total", "n_cells", "area")
 
 
 def _with(*parts: str) -> str:
@@ -332,6 +333,37 @@ def _weight_cells_sql() -> str:
     ) + f"select e.pid, round(least(1.0::double, greatest(0.0::double, coalesce(sum(sign * part), 0) / (pi() * {R * R}))), 9) as share from events_pts e left join corner using (pid) group by e.pid"
 
 
+#: A point is a corner of the upper hull if every slope from its left is over every slope to its right; the lower one mirrors it.
+_HULL = (
+    "sides as (select x, max(y) as y, 1 as s from events_pts group by x union all select x, min(y) as y, -1 as s from events_pts group by x), "
+    "slopes as (select p.s, p.x, p.y, min(p.s * (p.y - q.y)::double / (p.x - q.x)) filter (q.x < p.x) as before, max(p.s * (q.y - p.y)::double / (q.x - p.x)) filter (q.x > p.x) as after from sides p join sides q on p.s = q.s group by p.s, p.x, p.y), "
+    "corners as (select s, x, y from slopes where before is null or after is null or before > after), "
+    "ordered as (select x, y, min(case when s < 0 then 0 else 1 end) as part from corners group by x, y)"
+)
+
+#: Clusters of flagged cells: queen components, those with a twentieth of the largest cell's total, joined where borders are within two
+#: cells (a rule without centroids, so merges are components of components), and free cells with a centre strictly inside the hull.
+_CLUSTERS = (
+    "ev as (select pid, v, cast(floor((y - (select min(y) from events_pts)) / 166::double) as bigint) as row, cast(floor((x - (select min(x) from events_pts)) / 166::double) as bigint) as col from events_pts), "
+    "cells as (select row, col, cast(sum(v) as bigint) as total, bool_or(flag) as flag from ev join flags using (pid) group by row, col), "
+    "seeds as (select row, col, total from cells where flag), "
+    "{reach}, "
+    "sums as (select component from parts join seeds using (row, col) group by component having sum(total) >= 0.05 * (select max(total) from seeds)), "
+    "held as (select row, col, component, total from parts join seeds using (row, col) where component in (select component from sums)), "
+    "near as (select distinct p.component as a, q.component as b from held p join held q on abs(p.row - q.row) <= 3 and abs(p.col - q.col) <= 3 where power(greatest(abs(p.row - q.row) - 1, 0), 2) + power(greatest(abs(p.col - q.col) - 1, 0), 2) <= 4), "
+    "linked as (select a, b from near union select l.a, n.b from linked l join near n on n.a = l.b), "
+    "named as (select row, col, total, least as cluster from held join (select a, min(b) as least from linked group by a) t on t.a = component), "
+    "ranked as (select cluster, sum(total) as total, count(*) as n, avg(row + 0.5::double) as cy, avg(col + 0.5::double) as cx, row_number() over (order by sum(total) desc, count(*) desc, min((row, col))) as rank from named group by cluster), "
+    "corners as (select cluster, row + i as x, min(col) as low, max(col) + 1 as high from named, (values (0), (1)) t(i) group by cluster, row + i), "
+    "spans as (select l.cluster, m.x + 0.5::double as x, max((l.high * (r.x - m.x - 0.5::double) + r.high * (m.x + 0.5::double - l.x)) / (r.x - l.x)) as top, min((l.low * (r.x - m.x - 0.5::double) + r.low * (m.x + 0.5::double - l.x)) / (r.x - l.x)) as bottom "
+    "from corners l join corners r on r.cluster = l.cluster and l.x < r.x join (select cluster, unnest(range(min(x), max(x))) as x from corners group by cluster) m on m.cluster = l.cluster and l.x <= m.x and r.x > m.x group by l.cluster, m.x), "
+    "inside as (select cluster, cast(floor(x) as bigint) as row, unnest(range(cast(floor(bottom) as bigint) - 1, cast(ceil(top) as bigint) + 1)) as col, top, bottom from spans), "
+    "filled as (select row, col, arg_min(cluster, rank) as cluster from inside join ranked using (cluster) where col + 0.5::double > bottom + 1e-9 and col + 0.5::double < top - 1e-9 and not exists (select 1 from named n where n.row = inside.row and n.col = inside.col) group by row, col), "
+    "every as (select row, col, cluster, total from named union all select f.row, f.col, f.cluster, coalesce(c.total, 0) from filled f left join cells c on c.row = f.row and c.col = f.col), "
+    "final as (select cluster, sum(total) as total, count(*) as n, min((row, col)) as first from every group by cluster)"
+)
+
+
 def queries() -> dict:
     found = {f"radius_{s}": _stat(s) for s in STATS}
     found |= {
@@ -395,6 +427,9 @@ def oracle_sql() -> dict[str, str]:
         "weight_logit": _weight_sql("1 - valid"),
         "weight_exact": _with(EVENTS, BOX_SHARE) + f"select pid, round(share, 9) as share from shares where r = {R}",
         "weight_cells": _weight_cells_sql(),
+        "convex_hull": _with(EVENTS, _HULL) + "select cast(row_number() over (order by part, case when part = 0 then x else -x end, y) - 1 as int) as seq, x::double as x, y::double as y from ordered",
+        "cluster_cells": null_sums.format(f"{at(500)} as v") + seen_sum.replace("select pid, cast(a as bigint) as v_sum_500, a >", "flags as (select pid, a >").replace("group by s.pid, s.v) flags", "group by s.pid, s.v), flags").replace("as v_cluster_sum_500 from real_near", "as flag from real_near), ")
+        + _CLUSTERS.format(reach=REACH).replace(" near ", " close ").replace("near as", "close as") + " select cast(row_number() over (order by f.total desc, f.first) as int) as cluster_id, round((select min(x) from events_pts) + cx * 166, 6) as centroid_x, round((select min(y) from events_pts) + cy * 166, 6) as centroid_y, f.total::double as total, cast(f.n as int) as n_cells, f.n * 27556::double as area from final f join ranked using (cluster)",
         "detect_default": _with(EVENTS, NULLS_IN_CELLS, pairs("nulls")) + ", at_null as (select n.pid, " + at(500) + " as v from nulls n left join near using (pid) group by n.pid) " + seen_sum,
         "detect_weighted": _with(EVENTS, pairs(), BOX_SHARE) + f"select pid, round((count(*) - 1) / any_value(share), 6) as weighted from near join shares using (pid) where r = {R} group by pid",
         "radius_weighted": _with(EVENTS, pairs(), BOX_SHARE) + ", s as (select pid, any_value(share) filter (r = 250) as a, any_value(share) filter (r = 500) as b from shares group by pid), t as (select pid, " + f"{at(250)} as v1, {at(500)} as v2, count(*) filter (d2 <= 62500) as n1, count(*) as n2 from near group by pid) select pid, round(v1 / a, 5) as v_sum_250, round(v2 / b, 5) as v_sum_500, round(v1 / n1, 5) as v_avg_250, round(v2 / n2, 5) as v_avg_500 from t join s using (pid)",
