@@ -1,13 +1,13 @@
 """Mix sources to target weights: hash-random order in each source, distributed prefix sums, cut at the exact budget.
 
 Every row gets a random key: the leading bits of md5(seed, doc_id), those of md5(text), then both in full.  The leading bits make
-``BUCKETS`` times ``PARTS`` ranges of one source, so the texts of one repeated id, or without an id, lie in many ranges.  Range sums
-and a running sum over them give each range its offset, a window inside the range gives each row its own, so the largest
-task holds one range, not one source.  A source takes whole epochs while its budget allows and then rows in key order; the
+``BUCKETS`` buckets of one source and ``PARTS`` parts of each, so the texts of one repeated id, or without an id, lie in many parts.
+Running sums over buckets and over a bucket's parts give each part its offset, a window inside the part gives each row its own, so
+the largest task holds one part, not one source.  A source takes whole epochs while its budget allows and then rows in key order; the
 row at the cut gives exactly the words that are left.
 
 Null texts and texts without words have size 0 and give nothing; a null source is a source of its own and sorts last;
-repeated rows count one by one, in one range.  Texts of any length count whole; an empty table
+repeated rows count one by one, in one part.  Texts of any length count whole; an empty table
 gives an empty result.
 """
 
@@ -65,17 +65,23 @@ def _placed(docs: DataFrame, columns: tuple[str, ...], share: float, weights: tu
     )
     # the keys have 60 bits
     leading = lambda c, n: F.shiftright(c, 60 - (n.bit_length() - 1)).cast("int")
-    rows = rows.withColumn("_bucket", leading("_key", BUCKETS) * PARTS + leading("_tie", PARTS))
-    sums = rows.groupBy("_source", "_none", "_bucket").agg(F.sum("size").alias("_sum"))
-    budget = targets(sums.groupBy("_source", "_none").agg(F.sum("_sum").alias("source_size")), share, weights, most)
-    before = Window.partitionBy("_source", "_none").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").join(budget, ["_source", "_none"])
-    inside = Window.partitionBy("_source", "_none", "_bucket").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_source", "_none", "_bucket"])
+    rows = rows.withColumns({"_bucket": leading("_key", BUCKETS), "_part": leading("_tie", PARTS)})
+    source, bucket = ["_source", "_none"], ["_source", "_none", "_bucket"]
+    parts = rows.groupBy(*bucket, "_part").agg(F.sum("size").alias("_sum"))
+    sums = parts.groupBy(*bucket).agg(F.sum("_sum").alias("_sum"))
+    budget = targets(sums.groupBy(*source).agg(F.sum("_sum").alias("source_size")), share, weights, most)
+
+    def earlier(by: list[str], order: list[str], value: str):
+        """Sum of what comes before: over buckets of a source, parts of a bucket, rows of a part, so that no window holds more."""
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    buckets = sums.withColumn("_before", earlier(source, ["_bucket"], "_sum")).drop("_sum").join(budget, source)
+    offsets = parts.withColumn("_offset", earlier(bucket, ["_part"], "_sum")).drop("_sum").join(buckets, bucket)
+    placed = rows.withColumn("_inside", earlier([*bucket, "_part"], ["_key", "_tie"], "size")).join(offsets, [*bucket, "_part"])
     budget = F.floor(F.col("target") + 1e-6)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     left = budget - whole * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_offset") - F.col("_inside")))
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_before") - F.col("_offset") - F.col("_inside")))
     return placed.select(*kept, "size", "source_size", F.col("target").cast("double"), (whole * F.col("size") + cut).cast("long").alias("taken"))
 
 
