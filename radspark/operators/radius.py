@@ -74,6 +74,12 @@ def within(source: DataFrame, target: DataFrame, r: float, x: str = "x", y: str
     return source.join(far, met, "left_anti" if anti else "left_semi")
 
 
+def _number(c: str) -> Column:
+    """A coordinate; NaN is none, so that the point is in no cell."""
+    d = F.col(c).cast("double")
+    return F.when(~F.isnan(d), d)
+
+
 def offsets(k: int, radii: list[float]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     """Offsets of cells that some border cuts, and (i, j, mask of the radii that hold the cell) of those that none does."""
     cut, whole, most = [], [], radii[-1]
@@ -107,7 +113,7 @@ class Look(NamedTuple):
 
 def look_at(target: DataFrame, r: float, x: str, y: str, values: list[str]) -> Look:
     """One pass over the target by cells and tiles."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(r) * _WIDER)).cast("long")
+    cell = lambda c: F.floor(_number(c) / F.lit(float(r) * _WIDER)).cast("long")
     tile = lambda c: F.floor(F.col(c) / F.lit(TILE)).cast("long")
     each = range(len(values))
     first = [q for i, v in enumerate(values) for q in (F.max(_missing(target, v)).alias(f"_b{i}"), F.min(v).alias(f"_l{i}"), F.max(v).alias(f"_h{i}"), F.sum(F.col(v).cast("double")).alias(f"_s{i}"))]
@@ -139,7 +145,8 @@ def _together(spark: SparkSession) -> None:
 def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values: list[str], top: int, *, x: str, y: str, pid: str, x_tgt: str, y_tgt: str, look: Look | None = None, shifts: tuple[float, ...] = ()) -> DataFrame:
     """``source`` with _n_k and _s_k_p_i: count and sums of power p + 1 of values[i] within radii[k]; radii in order, the last over 0.
 
-    ``values`` are columns of ``target``, numbers without nulls; powers over 1 are those of value - shifts[i].  pid: unique among the source points.
+    ``values`` are columns of ``target``, numbers without nulls; powers over 1 are those of value - shifts[i].  pid: unique
+    among the source points.
     """
     _together(source.sparkSession)
     most = radii[-1]
@@ -147,7 +154,7 @@ def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values:
     k = max(1, min(MOST_K, round(math.sqrt(look.crowd / CROWD))))
     side, wide = float(most) * _WIDER / k, TILE * k
     cut, whole = offsets(k, radii)
-    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(side)).cast("long")
+    cell = lambda c: F.floor(_number(c) / F.lit(side)).cast("long")
     tile = lambda c: F.floor(c / F.lit(wide)).cast("long")
     by = ["_tx", "_ty"]
     src = source.withColumns({"_cx": cell(x), "_cy": cell(y)}).withColumns({"_tx": tile(F.col("_cx")), "_ty": tile(F.col("_cy"))})

@@ -194,6 +194,9 @@ def test_large_values_nulls_and_own_values(spark):
     with pytest.warns(UserWarning, match="nulls"):
         got = {r.pid: r for r in api.radius_search(holes, 5, "v", ["sum", "count"]).collect()}
     assert math.isnan(got[1].v_sum_5) and math.isnan(got[2].v_sum_5) and got[3].v_sum_5 == 7 and got[2].v_cnt_5 == 2 and got[4].v_cnt_5 == 0
+    nowhere = frame(spark, [(i, 0.5, 0.5, 1) for i in range(400)] + [(900, float("nan"), 0.5, 50), (901, 0.5, float("nan"), 50)])
+    got = {r.pid: r.v_sum_5 for r in api.radius_search(nowhere, 5, "v").collect()}
+    assert got[0] == 400 and got[900] == got[901] == 0
     assert radius.columns_with_nan(holes, ["pid", "x", "v"]) == ["x", "v"]
     target = frame(spark, [(1, 0.0, 0.0, 1), (2, 1.0, 0.0, 4), (3, 2.0, 0.0, 5)])
     some = target.where("pid < 3")
