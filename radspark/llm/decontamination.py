@@ -14,7 +14,8 @@ A number is digits with inner signs, digits with up to three letters, or a numbe
 letter that doesn't begin a sentence or line.  As names depend on case, windows with names are also compared with the names as
 literal words in their small form, so that a copy in capitals or small letters matches.  Rows with equal doc_id and text
 give one result, and so do repeated items; different texts under one item_id (a null one too) are items of their own.  Null and
-empty texts and items match nothing; texts of any length are searched whole; empty tables give an empty result.
+empty texts and items match nothing; texts of any length are searched whole; empty tables give an empty result.  Columns beside
+ids and texts aren't read; ``clean`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations

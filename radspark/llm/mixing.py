@@ -6,9 +6,9 @@ Running sums over buckets and over a bucket's parts give each part its offset, a
 the largest task holds one part, not one source.  A source takes whole epochs while its budget allows and then rows in key order; the
 row at the cut gives exactly the words that are left.
 
-Null texts and texts without words have size 0 and give nothing; a null source is a source of its own and sorts last;
-repeated rows count one by one, in one part.  Texts of any length count whole; an empty table
-gives an empty result.
+Null texts and texts without words have size 0 and give nothing; a null source is a source of its own and sorts last; repeated
+rows count one by one, in one part.  Texts of any length count whole; an empty table gives an empty result.  Columns beside
+doc_id, text and source aren't read; ``mixed_documents`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations

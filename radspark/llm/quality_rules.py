@@ -6,9 +6,10 @@ it doesn't depend on length; it passes if the score is at least ``threshold``.
 bucket with few expected trusted hits has a ratio near 0.  Nothing is drawn at random.
 
 A shuffled join by id flags the trusted texts, alike at every size; else each scan keeps a document in its row: counts meet in
-one aggregate over buckets, and the finished ratios, an array of fixed length, come back as a scalar subquery.  Null texts have no words; a document
-without words scores 0 and fails the base rule.  Texts of any length are measured whole, repeated rows one by one; an empty table
-gives an empty result, and without trusted rows every ratio is at most 0.
+one aggregate over buckets, and the finished ratios, an array of fixed length, come back as a scalar subquery.  Null texts have
+no words; a document without words scores 0 and fails the base rule.  Texts of any length are measured whole, repeated rows one
+by one; an empty table gives an empty result, and without trusted rows every ratio is at most 0.  A score equal to the threshold
+passes.  Columns beside doc_id, text and the quality label aren't read, whatever their names.
 """
 
 from __future__ import annotations

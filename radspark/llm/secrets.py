@@ -8,7 +8,8 @@ the leftmost non-overlapping matches.
 Beside the base kinds the scan finds tokens that carry their own proof: prefixed tokens whose last six characters are the
 base-62 CRC-32 of the thirty before (github, npm), JSON web tokens whose header decodes to an object with "alg" (jwt), and
 private-key header lines (pem).  Null texts count as empty; offsets are code points.  Texts are scanned whole whatever their
-length, repeated rows one by one; an empty table gives an empty result.
+length, repeated rows one by one; spans that begin together are told in the order of the kinds.  An empty table gives an empty
+result; columns beside doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

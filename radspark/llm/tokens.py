@@ -11,7 +11,8 @@ at all their spaces that are stable, and each distinct piece of a batch is encod
 for byte; a memory of bounded size carries over).
 
 Null and empty texts have no tokens; repeated rows are counted one by one; texts of any length are counted whole; an empty
-table gives an empty result.  A special string inside a text is handled as the library's default does.
+table gives an empty result; columns beside doc_id and text aren't read, whatever their names.  A special string inside a text is
+handled as the library's default does.
 """
 
 from __future__ import annotations

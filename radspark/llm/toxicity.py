@@ -16,6 +16,7 @@ the nearest examples of the first index, then of the second.
 Examples are at most ``max_rows`` labelled rows in hash order (bounded, and so is the index); all documents are scored,
 whole.  A text without words of the examples (null and empty ones too) has no neighbours and the score of vote 0; repeated
 rows are scored one by one; an empty table gives an empty result; without examples of both labels every score is their share.
+Columns beside doc_id and text, and labels beside the one learnt, aren't read, whatever their names.
 """
 
 from __future__ import annotations

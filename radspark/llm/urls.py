@@ -10,7 +10,8 @@ distinct hosts and paths give their candidate keys, these meet the rules in a so
 its own part of the sorted digests, strings are compared, and the best rule of each host and path is joined back.
 
 A null url or one without ``://`` has an empty host and path and fits no rule; repeated rows are judged one by one; urls of
-any length are judged whole; an empty table gives an empty result, and without rules every url gets ``default``.
+any length are judged whole; an empty table gives an empty result, and without rules every url gets ``default``.  Columns beside
+page_id and url aren't read, whatever their names.
 """
 
 from __future__ import annotations
