@@ -129,8 +129,17 @@ def grams(codes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def distinct_by_doc(doc: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, code) pairs, sorted by row and code."""
-    order = np.lexsort((codes, doc))
-    doc, codes = doc[order], codes[order]
-    keep = np.ones(len(doc), bool)
-    keep[1:] = (doc[1:] != doc[:-1]) | (codes[1:] != codes[:-1])
-    return doc[keep], codes[keep]
+    if not len(doc):
+        return doc, codes
+    # one number holds the row and the code's leading bits; where codes differ in the others alone, the order needs both
+    bits = np.uint64(max(1, int(doc.max()).bit_length()))
+    key = (doc.astype(np.uint64) << (np.uint64(64) - bits)) | (codes >> bits)
+    order = np.argsort(key)
+    key, sorted_codes = key[order], codes[order]
+    same = key[1:] == key[:-1]
+    if (same & (sorted_codes[1:] != sorted_codes[:-1])).any():
+        order = np.lexsort((codes, doc))
+        sorted_codes, rows = codes[order], doc[order]
+        same = (rows[1:] == rows[:-1]) & (sorted_codes[1:] == sorted_codes[:-1])
+    keep = np.concatenate(([True], ~same))
+    return doc[order][keep], sorted_codes[keep]

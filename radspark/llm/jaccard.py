@@ -16,18 +16,20 @@ Every pair passes a parity sketch before its sets meet: each shingle flips one b
 sketches differ in k bits differ in k shingles at least.  A sketch has at least two bits for each shingle, in powers of two
 from ``FOLDED``, so that it doesn't saturate in long texts; the longer of two sketches is folded to the shorter one's length.
 
-Candidates meet by signature.  A signature's group of more than ``PART`` members is dealt out to parts.  In each group or part the
-smallest probing set is the first centre, the smallest one whose sketch rules out the first is the second, and so on for
+Candidates meet by signature.  A signature's group of more than ``PART`` members is dealt out to parts.  In each group or part
+the smallest probing set is the first centre, the smallest one whose sketch rules out the first is the second, and so on for
 ``CENTRES`` of them.  A member makes a pair with each centre that its sketch leaves room for, and so do the centres of a group's
 first part with those of its other parts; pairs are tested by their full sketches and verified exactly.  What is left are the
-members, centres of undivided groups aside, of groups that lie in several components now: a join by signature compares their sketches in its condition, so that it
-gives near pairs of an indexing and a probing set only, each at the smallest of its common signatures (where that one is among
-the ``LISTED`` smallest of both).  So a group of n similar sets costs n pairs, and no link between components is lost.
+members, centres of undivided groups aside, of groups that lie in several components now: a join by signature compares their
+sketches in its condition, so that it gives near pairs only, each at the smallest of its common signatures (where that one is
+among the ``LISTED`` smallest of both), whatever its two roles there.  So a group of n similar sets costs n pairs, and no link
+between components is lost.
 
 Shingles and sets are known by 64-bit hashes, also in the exact verification (see _text).
 Null texts and texts without words have an empty set (0 shingles) and are linked with nothing; fewer words than a shingle make
 one shingle of them all; equal sets are one node, so repeated rows and texts are one too.  Texts of any length go in whole; a
-null doc_id is placed but names no component; an empty table gives an empty result.
+null doc_id is placed but names no component; an empty table gives an empty result.  ``groups`` reads doc_id and text alone;
+``deduplicated`` keeps all columns, whatever their names, of the row with the smallest doc_id, then text hash.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def signatures(doc: np.ndarray, code: np.ndarray, n: np.ndarray, bands: Bands, o
     doc, code = doc[use], code[use]
     seg = ((code >> np.uint64(20)) % np.maximum(h[doc], 1).astype(np.uint64)).astype(np.int64)
     place = base[doc] + seg
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place)
     place, value = place[order], _text.mix(code[order] + np.uint64(0x2545F4914F6CDD1D))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
     at = np.searchsorted(place, np.arange(base[-1] + 1))
@@ -244,7 +246,7 @@ def _differing(x: str, y: str) -> Column:
 
 
 def _centred(shared: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """sig, node, n, role, parts, part, folded sketch, centre (whether the row is one) and, for each near centre of its part, node and size."""
+    """sig, node, n, parts, part, folded sketch, centre (whether the row is one) and, for each near centre of its part, node and size."""
     of_part = Window.partitionBy("sig", "part")
     rows, far, centres, named = shared.join(table.select("node", "n", *FOLD), "node"), F.lit(True), F.lit(False), []
     for k in range(CENTRES):
@@ -255,7 +257,7 @@ def _centred(shared: DataFrame, table: DataFrame, percent: int) -> DataFrame:
         far = F.col(f"_far{k}") & ~F.coalesce(near, F.lit(True))
         centres = centres | F.coalesce(own, F.lit(False))
         named += [F.when(near & ~own, F.struct(F.col(f"{c}node").alias("node"), F.col(f"{c}n").alias("n"))).alias(f"near{k}")]
-    return materialize(rows.select("sig", "node", "n", "role", "parts", "part", *FOLD, centres.alias("centre"), *named), "centred")
+    return materialize(rows.select("sig", "node", "n", "parts", "part", *FOLD, centres.alias("centre"), *named), "centred")
 
 
 def _similar_size(n: Column, m: Column, percent: int) -> Column:
@@ -318,9 +320,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
 
 
 def _mixed(met: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
-    """sig, node, n, role, component, sketches and first signatures of members, the centres of whole groups aside, of groups in several components."""
+    """sig, node, n, component, sketches and first signatures of members, the centres of whole groups aside, of groups in several components."""
     of_node = Window.partitionBy("node")
-    rows = met.where("not centre or parts > 1").select("sig", "node", "role").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = met.where("not centre or parts > 1").select("sig", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(rows, "placed")
     several = placed.groupBy("sig").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("sig")
     several = materialize(several, "several")  # a table, so that the join can split a large group
@@ -336,13 +338,12 @@ def _rest(mixed: DataFrame, percent: int) -> DataFrame:
     x, y = mixed.alias("x"), mixed.alias("y")
     both = F.col("x.n") + F.col("y.n")
     apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    roles = ((F.col("x.role") >= 2) & (F.col("y.role") % 2 == 1)) | ((F.col("y.role") >= 2) & (F.col("x.role") % 2 == 1))
     # plain columns first: a condition with one column for each long would be too long a method for the JVM to compile
     more = F.aggregate(F.zip_with("x.large", "y.large", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
     large = (F.least("x.n", "y.n") <= LARGE) | _open(more, both, percent)
     once = F.coalesce(F.array_min(F.array_intersect("x.sigs", "y.sigs")), F.col("x.sig")) == F.col("x.sig")
     near = _similar_size(F.col("x.n"), F.col("y.n"), percent) & _open(_differing("x.", "y."), both, percent)
-    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & roles & near & once & large)
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart & near & once & large)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
 

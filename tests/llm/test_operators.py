@@ -469,6 +469,18 @@ def test_spans_of_every_length():
     assert _text.same_spans(data, start, end, start[other], end[other]).tolist() == want
 
 
+def test_distinct_pairs():
+    """Also codes that differ in their last bits only, so that the leading bits don't tell them apart."""
+    g = np.random.default_rng(6)
+    for rows, spread in ((1, 1 << 62), (40, 1 << 62), (3000, 1 << 62), (70_000, 1 << 62), (50, 8), (1, 3)):
+        doc = np.concatenate((np.sort(g.integers(0, rows, 3000)), g.integers(0, rows, 20)))
+        codes = g.integers(0, spread, 3020).astype(np.uint64)
+        codes[::3] = codes[0]
+        got = _text.distinct_by_doc(doc, codes)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == sorted(set(zip(doc.tolist(), codes.tolist(), strict=True)))
+    assert len(_text.distinct_by_doc(np.zeros(0, np.int64), np.zeros(0, np.uint64))[0]) == 0
+
+
 def test_texts_without_boundaries_take_linear_time(bpe):
     counter = tokens.Counter(bpe)
     encoded = []
@@ -519,3 +531,16 @@ def test_copies_of_toxic_examples(spark):
     told = spark.createDataFrame([(odd, 1, 1)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.score(docs.union(more), labels.union(told)).collect()}
     assert [got[i].evidence[0] for i in (2000, 2001)] == [odd, odd] and got[2000].predicted == got[2001].predicted == 1 and got[2002].predicted == 0
+
+
+def test_the_rest_takes_each_near_pair_once(spark):
+    """Members of one signature in different components: each near pair of them once, whatever signatures it has in common besides."""
+    fold = ", ".join(f"{c} bigint" for c in jaccard.FOLD)
+    row = lambda sig, node, component, sigs, s0=0: (sig, node, 100, component, sigs, [], s0, *[0] * (len(jaccard.FOLD) - 1))
+    rows = [row(1, 10, 10, [1, 2]), row(2, 10, 10, [1, 2]), row(1, 11, 11, [1, 2]), row(2, 11, 11, [1, 2])]  # twice together, one pair
+    rows += [row(3, 12, 12, [3]), row(3, 13, 12, [3]), row(3, 14, 14, [3], -1)]  # one component, and one that differs too much
+    rows += [row(4, 15, 15, [1, 3]), row(4, 16, 16, [2, 3]), row(5, 15, 15, [1, 3]), row(5, 16, 16, [2, 3])]  # unlisted signatures
+    df = spark.createDataFrame(rows, f"sig bigint, node bigint, n int, component bigint, sigs array<bigint>, large array<bigint>, {fold}")
+    assert sorted(map(tuple, jaccard._rest(df, 80).collect())) == [(10, 11, 100, 100)]
+    unlisted = df.where("sig in (4, 5)").withColumn("sigs", F.when(F.col("node") == 15, F.array(F.lit(1))).otherwise(F.array(F.lit(2))).cast("array<bigint>"))
+    assert sorted(map(tuple, jaccard._rest(unlisted, 80).collect())) == [(15, 16, 100, 100)]
