@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from radspark.llm._text import WORD
+from radspark.plans.storage import materialize
 
 WEIGHTS = (5, 2, 1)
 BUCKETS, PARTS = 1 << 9, 1 << 5
@@ -67,7 +68,8 @@ def _placed(docs: DataFrame, columns: tuple[str, ...], share: float, weights: tu
     leading = lambda c, n: F.shiftright(c, 60 - (n.bit_length() - 1)).cast("int")
     rows = rows.withColumns({"_bucket": leading("_key", BUCKETS), "_part": leading("_tie", PARTS)})
     source, bucket = ["_source", "_none"], ["_source", "_none", "_bucket"]
-    parts = rows.groupBy(*bucket, "_part").agg(F.sum("size").alias("_sum"))
+    # a small table, read three times: at most BUCKETS * PARTS rows for each source
+    parts = materialize(rows.groupBy(*bucket, "_part").agg(F.sum("size").alias("_sum")), "ranges")
     sums = parts.groupBy(*bucket).agg(F.sum("_sum").alias("_sum"))
     budget = targets(sums.groupBy(*source).agg(F.sum("_sum").alias("source_size")), share, weights, most)
 
