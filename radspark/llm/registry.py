@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from radspark.llm import classifier, decontamination, jaccard, mixing, quality_rules, secrets, sharding, tokens, toxicity, urls
 
