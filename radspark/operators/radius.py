@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from radspark.plans.spec import STATS, Radii, column_name, parse_r, stat_name
+from radspark.plans.spec import STATS, column_name, parse_r, stat_name
 
 POWERS = {"sum": 1, "count": 0, "mean": 1, "variance": 2, "std": 2, "cv": 2, "skewness": 3, "kurtosis": 4}
 TILE, MOST_K, HOT = 4, 12, 200_000

@@ -266,7 +266,7 @@ def _cross(x1, y1, x2, y2) -> str:
 
 
 def _utm_sql() -> str:
-    from radspark.functions.geometry import A, EASTING, FLATTENING, K0, _series
+    from radspark.functions.geometry import EASTING, FLATTENING, K0, _series
 
     a, alpha, _ = _series()
     e = (FLATTENING * (2 - FLATTENING)) ** 0.5
