@@ -4,9 +4,10 @@ The plane is cut into cells of a ``K``-th of the largest radius and tiles of ``T
 tile, target points to every tile within reach (2.6 copies at most on average); all else happens inside a tile without another
 shuffle.  A target cell that lies inside the disk of every point of a source cell gives its power sums as a whole, once for
 each source cell; cells cut by the border of a disk are joined point by point.  All statistics, columns and radii come from
-the same joins.  K follows from the mean number of target points near a target point, so pairs grow with the border of a disk
-rather than its area.  Tiles with more than ``HOT`` source points are salted: their source points are dealt out, and
-their target points copied to each part.
+the same joins.  Points at the same place are one in all joins: target points are counted and summed by place first, and source
+points get the sums of their place, so repeated places cost no pairs.  K follows from the mean number of places near a
+place, so pairs grow with the border of a disk rather than its area.  Tiles with more than ``HOT`` source points are
+salted: their places are dealt out, and their target points copied to each part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from radspark.plans.spec import STATS, column_name, parse_r, stat_name
 
 POWERS = {"sum": 1, "count": 0, "mean": 1, "variance": 2, "std": 2, "cv": 2, "skewness": 3, "kurtosis": 4}
 TILE, MOST_K, HOT = 4, 12, 200_000
-#: Points per cell at which a finer grid stops to pay.
+#: Places per cell at which a finer grid stops to pay.
 CROWD = 6.0
 _WIDER = 1 + 1e-9
 
@@ -96,7 +97,7 @@ def offsets(k: int, radii: list[float]) -> tuple[list[tuple[int, int]], list[tup
 
 
 class Look(NamedTuple):
-    """Mean number of points in a point's cell of size r, most points of a tile, and missing, least, largest and mean of each value column."""
+    """Mean number of places in a place's cell of size r, most points of a tile, points, and missing, least, largest and mean of each value column."""
 
     crowd: float
     largest: int
@@ -112,18 +113,19 @@ class Look(NamedTuple):
 
 
 def look_at(target: DataFrame, r: float, x: str, y: str, values: list[str]) -> Look:
-    """One pass over the target by cells and tiles."""
-    cell = lambda c: F.floor(_number(c) / F.lit(float(r) * _WIDER)).cast("long")
+    """One pass over the target by places, cells and tiles."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(r) * _WIDER)).cast("long")
     tile = lambda c: F.floor(F.col(c) / F.lit(TILE)).cast("long")
     each = range(len(values))
     first = [q for i, v in enumerate(values) for q in (F.max(_missing(target, v)).alias(f"_b{i}"), F.min(v).alias(f"_l{i}"), F.max(v).alias(f"_h{i}"), F.sum(F.col(v).cast("double")).alias(f"_s{i}"))]
     again = [q for i in each for q in (F.max(f"_b{i}").alias(f"_b{i}"), F.min(f"_l{i}").alias(f"_l{i}"), F.max(f"_h{i}").alias(f"_h{i}"), F.sum(f"_s{i}").alias(f"_s{i}"))]
-    cells = target.groupBy(cell(x).alias("cx"), cell(y).alias("cy")).agg(F.count("*").alias("n"), *first)
-    tiles = cells.groupBy(tile("cx").alias("tx"), tile("cy").alias("ty")).agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), *again)
-    got = tiles.agg(F.sum("n").alias("n"), F.sum("nn").alias("nn"), F.max("n").alias("most"), *again).first()
+    places = target.groupBy(_number(x).alias("_x"), _number(y).alias("_y")).agg(F.count("*").alias("n"), *first)
+    cells = places.groupBy(cell("_x").alias("cx"), cell("_y").alias("cy")).agg(F.sum("n").alias("n"), F.count("*").alias("m"), *again)
+    tiles = cells.groupBy(tile("cx").alias("tx"), tile("cy").alias("ty")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("mm"), *again)
+    got = tiles.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("mm").alias("mm"), F.max("n").alias("most"), *again).first()
     n = got["n"] or 0
     told = {v: (bool(got[f"_b{i}"]), float(got[f"_l{i}"] or 0), float(got[f"_h{i}"] or 0), float(got[f"_s{i}"] or 0) / max(n, 1)) for i, v in enumerate(values)}
-    return Look(got["nn"] / n if n else 0.0, got["most"] or 0, n, told)
+    return Look(got["mm"] / got["m"] if n else 0.0, got["most"] or 0, n, told)
 
 
 def _missing(df: DataFrame, v: str) -> Column:
@@ -142,11 +144,10 @@ def _together(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
-def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values: list[str], top: int, *, x: str, y: str, pid: str, x_tgt: str, y_tgt: str, look: Look | None = None, shifts: tuple[float, ...] = ()) -> DataFrame:
+def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values: list[str], top: int, *, x: str, y: str, x_tgt: str, y_tgt: str, look: Look | None = None, shifts: tuple[float, ...] = ()) -> DataFrame:
     """``source`` with _n_k and _s_k_p_i: count and sums of power p + 1 of values[i] within radii[k]; radii in order, the last over 0.
 
-    ``values`` are columns of ``target``, numbers without nulls; powers over 1 are those of value - shifts[i].  pid: unique
-    among the source points.
+    ``values`` are columns of ``target``, numbers without nulls; powers over 1 are those of value - shifts[i].
     """
     _together(source.sparkSession)
     most = radii[-1]
@@ -157,37 +158,39 @@ def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values:
     cell = lambda c: F.floor(_number(c) / F.lit(side)).cast("long")
     tile = lambda c: F.floor(c / F.lit(wide)).cast("long")
     by = ["_tx", "_ty"]
-    src = source.withColumns({"_cx": cell(x), "_cy": cell(y)}).withColumns({"_tx": tile(F.col("_cx")), "_ty": tile(F.col("_cy"))})
+    spot = {"_x": _number(x), "_y": _number(y)}
+    src = source.withColumns(spot).withColumns({"_cx": cell("_x"), "_cy": cell("_y")}).withColumns({"_tx": tile(F.col("_cx")), "_ty": tile(F.col("_cy"))})
     power = [p for i, v in enumerate(values) for p in (q.alias(f"_p{n}_{i}") for n, q in enumerate(_powers(F.col(v), top, shifts[i] if shifts else 0)))]
-    tgt = target.select(F.col(x_tgt).cast("double").alias("_ux"), F.col(y_tgt).cast("double").alias("_uy"), *power, cell(x_tgt).alias("_cx"), cell(y_tgt).alias("_cy"))
+    sums = [(n, i, f"_p{n}_{i}") for i in range(len(values)) for n in range(top)]
+    tgt = target.select(_number(x_tgt).alias("_ux"), _number(y_tgt).alias("_uy"), *power).where("_ux is not null and _uy is not null").repartition("_ux", "_uy")
+    tgt = tgt.groupBy("_ux", "_uy").agg(F.count("*").alias("_c"), *(F.sum(p).alias(p) for *_, p in sums)).withColumns({"_cx": cell("_ux"), "_cy": cell("_uy")})
     for c, t in (("_cx", "_tx"), ("_cy", "_ty")):
         tgt = tgt.withColumn(t, F.explode(F.sequence(tile(F.col(c) - F.lit(k + 1)), tile(F.col(c) + F.lit(k + 1)))))
     if look.largest > HOT:
         parts = src.groupBy("_tx", "_ty").agg(F.count("*").alias("_m")).where(F.col("_m") > HOT).select("_tx", "_ty", F.ceil(F.col("_m") / HOT).cast("int").alias("_m"))
-        src = src.join(parts, ["_tx", "_ty"], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(pid), F.col("_m")), F.lit(0)).cast("int")).drop("_m")
+        src = src.join(parts, ["_tx", "_ty"], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_x", "_y"), F.col("_m")), F.lit(0)).cast("int")).drop("_m")
         tgt = tgt.join(parts, ["_tx", "_ty"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1))).drop("_m")
         by.append("_salt")
     src, tgt = src.repartition(*by), tgt.repartition(*by)
     at = [*by, "_cx", "_cy"]
-    sums = [(n, i, f"_p{n}_{i}") for i in range(len(values)) for n in range(top)]
 
     def moved(df: DataFrame, steps) -> DataFrame:
         """Rows for each offset, at the offset's cell; the own cell stays in _ox, _oy."""
         told = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(s, "ijm"))) for s in steps)))  # noqa: B905
         return df.withColumnsRenamed({"_cx": "_ox", "_cy": "_oy"}).withColumn("_o", told).withColumns({"_cx": F.col("_ox") + F.col("_o.i"), "_cy": F.col("_oy") + F.col("_o.j")})
 
-    near = moved(src.select(pid, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *at), cut).join(tgt.hint("shuffle_hash"), at)
+    near = moved(src.select(*spot, *at).where("_x is not null and _y is not null").distinct(), cut).join(tgt.hint("shuffle_hash"), at)
     dx, dy = F.col("_x") - F.col("_ux"), F.col("_y") - F.col("_uy")
     near = near.withColumn("_d2", dx * dx + dy * dy).where(F.col("_d2") <= F.lit(float(most)) * F.lit(float(most)))
     of, last = [], len(radii) - 1
     for n, d in enumerate(radii):
         inside = (lambda q: q) if n == last else (lambda q, d=d: F.when(F.col("_d2") <= F.lit(float(d)) * F.lit(float(d)), q))
-        of.append(F.count(inside(F.lit(1))).alias(f"_n_{n}"))
+        of.append(F.sum(inside(F.col("_c"))).alias(f"_n_{n}"))
         of += [F.sum(inside(F.col(p))).alias(f"_s_{n}_{q}_{i}") for q, i, p in sums]
     names = [f"_n_{n}" for n in range(len(radii))] + [f"_s_{n}_{q}_{i}" for n in range(len(radii)) for q, i, _ in sums]
-    found = src.join(near.groupBy(*by, pid).agg(*of).hint("shuffle_hash"), [*by, pid], "left")
+    found = src.join(near.groupBy(*by, *spot).agg(*of).hint("shuffle_hash"), [*by, *spot], "left")
     if whole:
-        cells = tgt.groupBy(*at).agg(F.count("*").alias("_n"), *(F.sum(p).alias(p) for *_, p in sums))
+        cells = tgt.groupBy(*at).agg(F.sum("_c").alias("_n"), *(F.sum(p).alias(p) for *_, p in sums))
         inner = moved(src.select(*at).distinct(), whole).join(cells.hint("shuffle_hash"), at)
         of = []
         for n in range(len(radii)):
@@ -278,7 +281,7 @@ def radius_search(
     number = lambda v: F.col(v).cast("long") if whole[v] else F.coalesce(F.col(v).cast("double"), F.lit(float("nan")))
     clean = target.select(F.col(x_tgt).alias("_qx"), F.col(y_tgt).alias("_qy"), *(number(v).alias(f"_v{i}") for i, v in enumerate(summed)))
     reach = distinct if distinct[-1] else [*distinct, most]  # only coincident points: a search radius all the same
-    found = disk_sums(pts, clean, reach, [f"_v{i}" for i in range(len(summed))], top, x=x, y=y, pid=pid, x_tgt="_qx", y_tgt="_qy", look=look, shifts=tuple(shift.values()))
+    found = disk_sums(pts, clean, reach, [f"_v{i}" for i in range(len(summed))], top, x=x, y=y, x_tgt="_qx", y_tgt="_qy", look=look, shifts=tuple(shift.values()))
     if share is not None:
         found = found.join(share, pid, "left")
     weighted = {d: f"_share_{k}" for k, d in enumerate([d for d in distinct if d > 0])} if share is not None else {}

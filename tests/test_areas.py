@@ -392,3 +392,19 @@ def test_described_cells(spark, pts):
         clusters.build_clusters(pts.withColumn("cluster", F.lit(True)), flat, "cluster", "v")
     some = grids.aggregate_to_grid(pts, "v", 20, {"v": lambda c: F.max(F.col(c) * 2)}).collect()
     assert {(r.cell_row, r.cell_col): r.v for r in some} == {(r.row, r.col): 2 * r.m for r in grid.assign(pts).groupBy("row", "col").agg(F.max("v").alias("m")).collect()}
+
+
+def test_repeated_places_cost_no_pairs(spark):
+    """Copies of each point count in full, but the cells don't get finer nor the joins longer by them."""
+    g = random.Random(8)
+    rows = [(i, float(g.randrange(0, 60)), float(g.randrange(0, 60)), g.randrange(1, 9)) for i in range(80)]
+    once = frame(spark, rows)
+    copies = once.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(24)))).select((F.col("pid") + F.col("k") * 1000).alias("pid"), "x", "y", (F.col("v") + F.col("k")).alias("v"))
+    assert radius.look_at(copies, 10, "x", "y", ["v"]).crowd == radius.look_at(once, 10, "x", "y", ["v"]).crowd
+    got = {r.pid: r for r in api.radius_search(copies, 10, "v", ["sum", "count"], exclude_self=True).collect()}
+    for i, a, b, own in rows:
+        near = [q[3] for q in rows if (q[1] - a) ** 2 + (q[2] - b) ** 2 <= 100]
+        want = 25 * sum(near) + 300 * len(near)
+        for k in (0, 24):
+            assert (got[i + k * 1000].v_sum_10, got[i + k * 1000].v_cnt_10) == (want - own - k, 25 * len(near) - 1)
+    assert len(got) == 2000
