@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from radspark import api
 from radspark.functions.geometry import Strips, _cross, clipped_area, concave_hull, edges_of, polygons, ring_area, rings_share
-from radspark.operators import clusters, detect, radius
+from radspark.operators import clusters, detect, radius, strips
 from radspark.operators.study_area import cell_share, diagnostics, frame_cells, parse_weight, polygon_area, shares, study_area
 from radspark.plans import grid as grids
 from radspark.plans import storage
@@ -408,3 +408,35 @@ def test_repeated_places_cost_no_pairs(spark):
         for k in (0, 24):
             assert (got[i + k * 1000].v_sum_10, got[i + k * 1000].v_cnt_10) == (want - own - k, 25 * len(near) - 1)
     assert len(got) == 2000
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_strips_match_brute_force(whole):
+    """Borders on lattice points, several radii (0 too), negative values and sums of over 64 bits."""
+    g = np.random.default_rng(1)
+    place = (lambda n: g.integers(-20, 40, n).astype(float)) if whole else (lambda n: g.random(n) * 60 - 7.3)
+    for n, m, radii in ((300, 3000, [5.0]), (100, 40_000, [0.0, 2.5, 10.0]), (5, 1, [10.0])):
+        x, y, ux, uy = place(n), place(n), place(m), place(m)
+        v = g.integers(-1000, 1000, m)
+        wide = v.astype(float) ** 2 * 1e15
+        got = strips.disk_sums(x, y, ux, uy, [np.ones(m, np.int64), v, wide], radii)
+        d2 = (x[:, None] - ux) ** 2 + (y[:, None] - uy) ** 2
+        for (count, total, far), r in zip(got, radii, strict=True):
+            near = d2 <= r * r
+            assert (count == near.sum(1)).all() and (total == near @ v).all() and far == pytest.approx(near @ wide, rel=1e-12)
+
+
+def test_dense_tiles_are_summed_by_strips(spark, monkeypatch):
+    """The same results as by joins, from tiles that are dealt out too."""
+    g = random.Random(9)
+    df = frame(spark, [(i, float(g.randrange(0, 90)), float(g.randrange(0, 90)), g.randrange(-9, 900)) for i in range(500)] + [(900, None, 1.0, 5), (901, 400.0, float("nan"), 5)])
+    searches = [([5, 20], ["sum", "count", "kurtosis"]), ([(0, 5), (5, 20)], "sum")]
+    run = lambda r, stat: sorted(map(tuple, api.radius_search(df, r, "v", stat, exclude_self=True).collect()), key=lambda q: q[0])
+    joined = [run(*s) for s in searches]
+    monkeypatch.setattr(radius, "DENSE", 1.0)
+    plan = api.radius_search(df, 20, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL")
+    monkeypatch.setattr(radius, "HOT", 100)
+    for s, want in zip(searches, joined, strict=True):
+        for a, b in zip(run(*s), want, strict=True):
+            assert a[:1] + a[3:] == pytest.approx(b[:1] + b[3:], rel=1e-9, nan_ok=True)
