@@ -7,8 +7,10 @@ each source cell; cells cut by the border of a disk are joined point by point.
 the same joins.  Points at the same place are one in all joins: target points are counted and summed by place first, and source
 points get the sums of their place, so repeated places cost no pairs.  K follows from the mean number of places near a
 place, so pairs grow with the border of a disk rather than its area.  Where places are ``DENSE`` and sums are exact in whole numbers, a tile's
-places are summed by strips instead (see strips.py), with still less work for each place.  Tiles with more than ``HOT`` source points are
-salted: their places are dealt out, and their target points copied to each part.
+places are summed by strips instead (see strips.py), with still less work for each place, or, where that is faster and all places have
+whole coordinates, by transforms of the tile's lattice (see raster.py), whose work doesn't grow with the places.  Tiles with more than ``HOT`` source points are
+salted: their places are dealt out, and their target points copied to each part.  As each part is a transform of its own, tables of whole
+coordinates are salted from ``PARTS`` times as many.
 """
 
 from __future__ import annotations
@@ -24,15 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from radspark.operators import strips
+from radspark.operators import raster, strips
 from radspark.plans.spec import STATS, column_name, parse_r, stat_name
 
+INTEGERS = ("byte", "short", "integer", "long")
 POWERS = {"sum": 1, "count": 0, "mean": 1, "variance": 2, "std": 2, "cv": 2, "skewness": 3, "kurtosis": 4}
 TILE, MOST_K, HOT = 4, 12, 200_000
 #: Places per cell at which a finer grid stops to pay.
 CROWD = 6.0
 #: Places per cell of size r from which tiles are summed by strips.
 DENSE = 100.0
+#: Times ``HOT`` from which tiles are salted where a part costs a transform; points for each shuffle partition of a larger table.
+PARTS, DEALT = 10, 50_000
 _WIDER = 1 + 1e-9
 
 
@@ -179,12 +184,17 @@ def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values:
     tgt = tgt.groupBy("_ux", "_uy").agg(F.count("*").alias("_c"), *(F.sum(p).alias(p) for *_, p in sums)).withColumns({"_cx": cell("_ux"), "_cy": cell("_uy")})
     for c, t in (("_cx", "_tx"), ("_cy", "_ty")):
         tgt = tgt.withColumn(t, F.explode(F.sequence(tile(F.col(c) - F.lit(k + 1)), tile(F.col(c) + F.lit(k + 1)))))
-    if look.largest > HOT:
-        parts = src.groupBy("_tx", "_ty").agg(F.count("*").alias("_m")).where(F.col("_m") > HOT).select("_tx", "_ty", F.ceil(F.col("_m") / HOT).cast("int").alias("_m"))
+    dense = whole_numbers and look.crowd > DENSE
+    integers = all(df.schema[c].dataType.typeName() in INTEGERS for df, c in ((source, x), (source, y), (target, x_tgt), (target, y_tgt)))
+    hot = HOT * PARTS if dense and integers else HOT
+    if look.largest > hot:
+        parts = src.groupBy("_tx", "_ty").agg(F.count("*").alias("_m")).where(F.col("_m") > hot).select("_tx", "_ty", F.ceil(F.col("_m") / hot).cast("int").alias("_m"))
         src = src.join(parts, ["_tx", "_ty"], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_x", "_y"), F.col("_m")), F.lit(0)).cast("int")).drop("_m")
         tgt = tgt.join(parts, ["_tx", "_ty"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1))).drop("_m")
         by.append("_salt")
-    src, tgt = src.repartition(*by), tgt.repartition(*by)
+    # a count of their own for dense tiles: partitions joined by their bytes would put many of them into one task
+    dealt = [max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), look.n // DEALT)] if dense and look.n > HOT else []
+    src, tgt = src.repartition(*dealt, *by), tgt.repartition(*dealt, *by)
     at = [*by, "_cx", "_cy"]
 
     def moved(df: DataFrame, steps) -> DataFrame:
@@ -193,9 +203,9 @@ def disk_sums(source: DataFrame, target: DataFrame, radii: list[float], values:
         return df.withColumnsRenamed({"_cx": "_ox", "_cy": "_oy"}).withColumn("_o", told).withColumns({"_cx": F.col("_ox") + F.col("_o.i"), "_cy": F.col("_oy") + F.col("_o.j")})
 
     names = [f"_n_{n}" for n in range(len(radii))] + [f"_s_{n}_{q}_{i}" for n in range(len(radii)) for q, i, _ in sums]
-    if whole_numbers and look.crowd > DENSE:
+    if dense:
         one = src.select(*by, *spot).where("_x is not null and _y is not null").distinct()
-        found = src.join(_by_strips(one, tgt, by, radii, sums).repartition(*by).hint("shuffle_hash"), [*by, *spot], "left")
+        found = src.join(_by_strips(one, tgt, by, radii, sums).repartition(*dealt, *by).hint("shuffle_hash"), [*by, *spot], "left")
         return found.select(*source.columns, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names))
 
     near = moved(src.select(*spot, *at).where("_x is not null and _y is not null").distinct(), cut).join(tgt.hint("shuffle_hash"), at)
@@ -231,7 +241,9 @@ def _by_strips(spots: DataFrame, tgt: DataFrame, by: list[str], radii: list[floa
         if one.empty or other.empty:
             return pd.DataFrame({c: [] for c in kinds})
         values = [other[c].to_numpy() for c in ("_c", *(p for *_, p in sums))]
-        told = strips.disk_sums(*(f[c].to_numpy() for f, c in ((one, "_x"), (one, "_y"), (other, "_ux"), (other, "_uy"))), values, radii)
+        places = [f[c].to_numpy() for f, c in ((one, "_x"), (one, "_y"), (other, "_ux"), (other, "_uy"))]
+        told = raster.disk_sums(*places, values, radii) if raster.pays(*places, len(values), radii, strips.count(len(other))) else None
+        told = told or strips.disk_sums(*places, values, radii)
         flat = {f"_n_{n}": told[n][0] for n in range(len(radii))} | {f"_s_{n}_{q}_{i}": told[n][k] for n in range(len(radii)) for k, (q, i, _) in enumerate(sums, 1)}
         return pd.DataFrame({c: np.asarray(one[c]) if c in one else flat[c] for c in kinds})
 
@@ -311,7 +323,7 @@ def radius_search(
     look = look or look_at(target, most, x_tgt, y_tgt, summed)
     if missing := [v for v in summed if look.values[v][0]]:
         warnings.warn(f"nulls or NaN in {', '.join(missing)}", stacklevel=2)
-    whole = {v: v not in missing and target.schema[v].dataType.typeName() in ("byte", "short", "integer", "long") for v in summed}
+    whole = {v: v not in missing and target.schema[v].dataType.typeName() in INTEGERS for v in summed}
     shift = {v: look.shift(v, whole[v], top) for v in summed}
     number = lambda v: F.col(v).cast("long") if whole[v] else F.coalesce(F.col(v).cast("double"), F.lit(float("nan")))
     clean = target.select(F.col(x_tgt).alias("_qx"), F.col(y_tgt).alias("_qy"), *(number(v).alias(f"_v{i}") for i, v in enumerate(summed)))

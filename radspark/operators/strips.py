@@ -20,6 +20,11 @@ _HALF = float(1 << 32)
 _SLACK = 1e-9
 
 
+def count(places: int) -> int:
+    """Strips per radius for a tile with so many places."""
+    return min(MOST_STRIPS, max(1, round(math.sqrt(places / 36) / 2)))
+
+
 def _columns(values: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, ...]]]:
     """Columns of 64-bit whole numbers, and for each value the column or the two halves that stand for it."""
     out, of = [], []
@@ -41,7 +46,7 @@ def disk_sums(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, valu
     """
     columns, of = _columns(values)
     most = radii[-1]
-    n = min(MOST_STRIPS, max(1, round(math.sqrt(len(ux) / 36) / 2)))
+    n = count(len(ux))
     h, low = most / n, uy.min()
     strip = np.floor((uy - low) / h).astype(np.int64)
     order = np.lexsort((ux, strip))

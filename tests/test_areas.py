@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from radspark import api
 from radspark.functions.geometry import Strips, _cross, clipped_area, concave_hull, edges_of, polygons, ring_area, rings_share
-from radspark.operators import clusters, detect, radius, strips
+from radspark.operators import clusters, detect, radius, raster, strips
 from radspark.operators.study_area import cell_share, diagnostics, frame_cells, parse_weight, polygon_area, shares, study_area
 from radspark.plans import grid as grids
 from radspark.plans import storage
@@ -440,3 +440,47 @@ def test_dense_tiles_are_summed_by_strips(spark, monkeypatch):
     for s, want in zip(searches, joined, strict=True):
         for a, b in zip(run(*s), want, strict=True):
             assert a[:1] + a[3:] == pytest.approx(b[:1] + b[3:], rel=1e-9, nan_ok=True)
+
+
+@pytest.mark.parametrize("rows", [1, 400, 9000])
+def test_transforms_match_brute_force(rows):
+    """Exact sums on the lattice: border points, several radii (0 too), negative values and sums of over 64 bits."""
+    g = np.random.default_rng(2)
+    place = lambda n: np.unique(g.integers(-30, 90, (n, 2)), axis=0).astype(float).T
+    (x, y), (ux, uy) = place(200), place(rows)
+    v = g.integers(-(1 << 40), 1 << 40, len(ux))
+    wide = np.rint(v.astype(float) ** 2 / 7)
+    radii = [0.0, 2.5, 10.0]
+    got = raster.disk_sums(x, y, ux, uy, [np.ones(len(ux), np.int64), v, wide], radii)
+    d2 = (x[:, None] - ux) ** 2 + (y[:, None] - uy) ** 2
+    for (count, total, far), r in zip(got, radii, strict=True):
+        near = d2 <= r * r
+        assert (count == near.sum(1)).all() and (total == near @ v).all()
+        assert far == pytest.approx([float(sum(map(int, wide[k]))) for k in near], rel=1e-15)
+
+
+def test_transforms_only_where_they_pay():
+    """Work by transforms is that of the lattice; fractions, far coordinates and few places are left to strips."""
+    u = np.stack(np.meshgrid(np.arange(60.0), np.arange(60.0))).reshape(2, -1)
+    pays = lambda x, y, r=10.0: raster.pays(x, y, *u, 2, [r], strips.count(len(u[0])))
+    assert pays(*u) and not pays(u[0] + 0.5, u[1]) and not pays(u[0], u[1] + 2.0**60)
+    assert not pays(u[0][:1], u[1][:1]) and not pays(*u, 1e6) and not pays(u[0] + math.inf, u[1])
+
+
+def test_dense_lattices_are_summed_whole(spark, monkeypatch):
+    """Whole coordinates, with a dense tile: the same results as by joins, and parts only where there are many more points."""
+    g = random.Random(4)
+    rows = [(i, g.randrange(0, 80), g.randrange(0, 80), g.randrange(-9, 900)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "pid bigint, x bigint, y bigint, v bigint")
+    x, y = (np.array(c, float) for c in zip(*{q[1:3] for q in rows}, strict=True))
+    assert raster.pays(x, y, x, y, 5, [5.0, 20.0], strips.count(len(x)))
+    run = lambda: sorted(map(tuple, api.radius_search(df, [5, 20], "v", ["sum", "count", "kurtosis"], exclude_self=True).collect()))
+    monkeypatch.setattr(radius, "DENSE", 1e9)
+    joined = run()
+    monkeypatch.setattr(radius, "DENSE", 1.0)
+    for hot in (1000, 100):
+        monkeypatch.setattr(radius, "HOT", hot)
+        plan = api.radius_search(df, [5, 20], "v")._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInPandas" in plan and ("_salt" in plan) == (hot == 100)
+        for a, b in zip(run(), joined, strict=True):
+            assert a[:8] == b[:8] and a == pytest.approx(b, rel=1e-9, nan_ok=True)
