@@ -124,9 +124,9 @@ class Look(NamedTuple):
 
 
     def whole(self, v: str, shift: float, top: int) -> bool:
-        """Whether sums of a column of whole numbers are exact in the halves of strips.py."""
+        """Whether sums of a column of whole numbers are exact in the parts of strips.py, and few parts do."""
         _, low, high, _ = self.values[v]
-        return self.n * max(abs(low), abs(high)) < 1 << 62 and self.n * max(abs(low - shift), abs(high - shift)) ** top < 1 << 84
+        return self.n * max(abs(low), abs(high)) < 1 << 62 and self.n * max(abs(low - shift), abs(high - shift)) ** top < 1 << 256
 
 
 def look_at(target: DataFrame, r: float, x: str, y: str, values: list[str]) -> Look:

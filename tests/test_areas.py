@@ -484,3 +484,15 @@ def test_dense_lattices_are_summed_whole(spark, monkeypatch):
         assert "FlatMapCoGroupsInPandas" in plan and ("_salt" in plan) == (hot == 100)
         for a, b in zip(run(), joined, strict=True):
             assert a[:8] == b[:8] and a == pytest.approx(b, rel=1e-9, nan_ok=True)
+
+
+def test_fourth_powers_of_wide_ranges_are_whole():
+    """Kurtosis of millions of points with values in the hundred thousands is left to strips or transforms, not to joins."""
+    assert radius.Look(1000.0, 1, 36_000_000, {"v": (False, 0.0, 540_000.0, 270_000.0)}).whole("v", 270_000.0, 4)
+    g = np.random.default_rng(5)
+    u = np.unique(g.integers(0, 40, (900, 2)), axis=0).astype(float).T
+    wide = np.rint(g.standard_normal(len(u[0])) * 2.0**110)
+    near = ((u[0][:, None] - u[0]) ** 2 + (u[1][:, None] - u[1]) ** 2) <= 49
+    want = [float(sum(int(q) for q in wide[k])) for k in near]
+    for found in (strips, raster):
+        assert found.disk_sums(*u, *u, [wide], [7.0])[0][0] == pytest.approx(want, rel=1e-12, abs=2.0**70)
